@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_classifier, quality_rules, token_counts
+from . import license_scan, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeated_words(spark, read_documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     rules = quality_rules.learn_rules(docs, _labels(spark, sf_dir))
@@ -41,16 +45,27 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, _labels(spark, sf_dir)))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_bytes(spark, read_documents(spark, sf_dir))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(spark, read_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), _vocabulary(), window=1024)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_license_scan": op4_license_scan,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_packing": op9_packing,
     }
 
