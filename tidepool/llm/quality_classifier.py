@@ -185,3 +185,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     scored = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, whose score is at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for rows, data, at in blocks(batches):
+            good = m.scores(np.array([m.margin(on) for on in features(rows, data, at)])) >= threshold
+            yield rows.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, read_documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_items(spark, read_documents(spark, sf_dir), benchmark)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     return quality_classifier.score(docs, quality_classifier.fit(docs, _labels(spark, sf_dir)))
@@ -57,16 +63,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), _vocabulary(), window=1024)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(spark, read_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_token_counts": op3_token_counts,
         "op4_license_scan": op4_license_scan,
+        "op5_decontamination": op5_decontamination,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_packing": op9_packing,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 

@@ -213,3 +213,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, n_byte
     roots = components(work, edges)
     named = work.write(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, n_bytes: int = 16, max_bits: int = 20, postings: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least doc_id, with all its columns.
+
+    Sets of 5-word shingles of similarity 0.8 have SimHashes that differ in 15 % of their bits, 19.5 of 128,
+    so documents are linked at 20 bits or fewer.  No number of bytes is shared for certain then; ``postings``
+    triples of bytes meet at similarity 0.8, 0.85 and 0.9 with probability 0.78, 0.95 and 0.997, and links
+    inside a group add to that.  Rows without a doc_id stay.  Rows with one doc_id and text become one.
+    """
+    found = near_duplicates(spark, docs, words, n_bytes, max_bits, spread_triples(n_bytes, postings))
+    others = Workspace(spark, "copies").write(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copied_id")).distinct(), "others")
+    return docs.join(others, F.col("doc_id") == F.col("copied_id"), "left_anti").dropDuplicates(["doc_id", "text"])
