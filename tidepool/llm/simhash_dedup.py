@@ -225,4 +225,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, n_bytes: int
     """
     found = near_duplicates(spark, docs, words, n_bytes, max_bits, spread_triples(n_bytes, postings))
     others = Workspace(spark, "copies").write(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copied_id")).distinct(), "others")
-    return docs.join(others, F.col("doc_id") == F.col("copied_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.join(others, docs["doc_id"] == others["copied_id"], "left_anti").dropDuplicates(["doc_id", "text"])
