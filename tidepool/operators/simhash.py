@@ -36,7 +36,7 @@ def merge_equal(prints: DataFrame, settings: SimhashSettings = SimhashSettings()
 def bands(fp: Column, n: int) -> Column:
     """(band, value) for n bands of 64 / n bits."""
     width = 64 // n
-    value = lambda i: F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    value = lambda i: fp if n == 1 else F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     return F.array(*(F.struct(F.lit(i).alias("band"), value(i).alias("value")) for i in range(n)))
 
 
