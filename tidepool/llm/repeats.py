@@ -145,7 +145,7 @@ SHARD = "shard int, docs binary, entries binary, settled binary"
 RETURN = "bucket int, entries binary"
 
 
-def _shard_rows(entries: Entries, fields: dict[str, str], seeds: np.ndarray, doc: np.ndarray, key: np.ndarray, shards: int, salt: int) -> Iterator[dict]:
+def _shard_rows(entries: Entries, fields: dict[str, str], seeds: np.ndarray, doc: np.ndarray, key: np.ndarray, shards: list[int], salt: int) -> Iterator[dict]:
     """Packed rows for shards; copies inside the block are settled here and travel with one of the rows."""
     order, repeat = _repeats(entries["path"], doc[entries["row"]])
     entries = {f: v[order] for f, v in entries.items()}
@@ -153,14 +153,14 @@ def _shard_rows(entries: Entries, fields: dict[str, str], seeds: np.ndarray, doc
     done = {"key": key[entries["row"]], "start": entries["start"], "count": entries.get("count", np.ones(len(order), np.uint32)), "kind": np.full(len(order), SETTLED, np.uint8)}
     settled = _pack(done, BACK, repeat)
     kept = np.flatnonzero(~repeat)
-    to = ((seeds[kept] >> U64(20)) % U64(shards)).astype(np.int64)
+    to = ((seeds[kept] >> U64(20)) % U64(len(shards))).astype(np.int64)
     if settled:
-        yield {"shard": salt % shards, "docs": b"", "entries": b"", "settled": settled}
-    for k, part in _dealt(to, shards):
+        yield {"shard": shards[salt % len(shards)], "docs": b"", "entries": b"", "settled": settled}
+    for k, part in _dealt(to, len(shards)):
         part = kept[part]
         rows, own = np.unique(entries["row"][part], return_inverse=True)
         mine = {f: v[part] for f, v in entries.items()} | {"row": own}
-        yield {"shard": k, "docs": np.stack((doc[rows], key[rows])).astype("<i8").tobytes(), "entries": _pack(mine, fields, slice(None)), "settled": b""}
+        yield {"shard": shards[k], "docs": np.stack((doc[rows], key[rows])).astype("<i8").tobytes(), "entries": _pack(mine, fields, slice(None)), "settled": b""}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -175,7 +175,7 @@ def _numbered(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("doc_id").to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column("doc_id").to_numpy(), rows.column("key").to_numpy()
 
 
-def paths(docs: DataFrame, window: Window, shards: int) -> DataFrame:
+def paths(docs: DataFrame, window: Window, shards: list[int]) -> DataFrame:
     """The paths of all documents, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +258,10 @@ def branching(index: Entries) -> np.ndarray:
     return out
 
 
-def _returned(parts: list[Entries], buckets: int) -> Iterator[dict]:
+def _returned(parts: list[Entries], buckets: list[int]) -> Iterator[dict]:
     entries = _gather([{f: p[f] for f in BACK} for p in parts])
-    to = entries["key"] % buckets
-    for k, part in _dealt(to, buckets):
-        yield {"bucket": k, "entries": _pack(entries, BACK, part)}
+    for k, part in _dealt(entries["key"] % len(buckets), len(buckets)):
+        yield {"bucket": buckets[k], "entries": _pack(entries, BACK, part)}
 
 
 def _marked(entries: Entries, kind: int) -> Entries:
@@ -270,7 +269,7 @@ def _marked(entries: Entries, kind: int) -> Entries:
     return {"key": entries["key"], "start": entries["start"], "count": entries.get("count", np.ones(n, np.uint32)), "kind": np.full(n, kind, np.uint8)}
 
 
-def settle(sharded: DataFrame, fields: dict[str, str], buckets: int) -> DataFrame:
+def settle(sharded: DataFrame, fields: dict[str, str], buckets: list[int]) -> DataFrame:
     """What each shard settles, and which paths are to be opened, dealt to buckets of documents."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -312,7 +311,7 @@ def _placed(back: Entries, kind: int, key: np.ndarray, at: np.ndarray) -> tuple[
     return rows, at[rows] + back["start"][own].astype(np.int64), back["count"][own].astype(np.int64)
 
 
-def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: int, buckets: int) -> DataFrame:
+def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: list[int], buckets: list[int]) -> DataFrame:
     """The windows of the paths that are to be opened, dealt to shards."""
 
     def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
@@ -337,8 +336,15 @@ def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: int
     return _bucketed(docs.filter("doc_id is not null"), buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, SHARD)
 
 
-def _bucketed(docs: DataFrame, buckets: int):
-    return docs.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket")
+def _bucketed(docs: DataFrame, buckets: list[int]):
+    return docs.withColumn("bucket", F.get(F.lit(buckets).cast("array<int>"), F.pmod("key", F.lit(len(buckets))).cast("int"))).groupBy("bucket")
+
+
+def one_to_each(spark: SparkSession, parts: int) -> list[int]:
+    """Numbers of which Spark's hash partitioning deals one to each of so many partitions."""
+    dealt = spark.range(parts * 32).select(F.col("id").cast("int").alias("n")).withColumn("part", F.pmod(F.hash("n"), F.lit(parts)))
+    found = {r.part: r.n for r in dealt.groupBy("part").agg(F.min("n").alias("n")).collect()}
+    return [found.get(k, parts * 32 + k) for k in range(parts)]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -346,7 +352,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts_of(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def cut(docs: DataFrame, back: DataFrame, window: Window, buckets: int, columns: str, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+def cut(docs: DataFrame, back: DataFrame, window: Window, buckets: list[int], columns: str, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
     """finish(rows, data, at, repeated units, unit places) for blocks of documents, with what came back for them."""
 
     def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
@@ -374,8 +380,9 @@ def _arrow_schema(columns: str) -> pa.Schema:
 def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, window: Window, columns: str, finish: Callable) -> DataFrame:
     """The three rounds, each written before the next one so that its shuffle files can go."""
     work = Workspace(spark, name)
-    # several shards for each partition even out how a hash deals them
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One shard and one bucket to a partition.  A shard sends at most one row to each bucket, so more of them would
+    # only cut the same entries into more rows.
+    parts = one_to_each(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed_docs = keyed(docs)
     back = work.write(settle(paths(keyed_docs, window, parts), PATH, parts), "paths")
     opened = opened_windows(keyed_docs, back, window, parts, parts)
