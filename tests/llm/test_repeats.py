@@ -3,13 +3,15 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from tidepool.llm import substring_dedup, suffix_dedup
+from tidepool.llm import queries, substring_dedup, suffix_dedup
 from tidepool.llm.repeats import IndexFamily, merged
 
 from . import cases
+from ..conftest import SF
 
 
 def words_expected(made):
@@ -59,3 +61,12 @@ def test_index_family_keeps_the_least_document_whatever_the_order():
     assert all(least[p] == d for p, d in zip(whole["path"].tolist(), whole["doc"].tolist(), strict=True))
     found = np.concatenate([f["at"] for f in family.found])
     assert sorted(found.tolist()) == [i for i in range(400) if doc[i] > least[path[i]]]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_registered_query_against_sql(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = duck.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))

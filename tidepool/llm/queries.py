@@ -83,5 +83,31 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP1 = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+f as (select k, min(doc_id) as d from win group by k),
+hit as (select win.doc_id, win.i from win join f using (k) where f.d < win.doc_id),
+gone as (select distinct doc_id, i + j as i from hit, range(0, 13) r(j)),
+p as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+q as (select p.doc_id, count(*) filter (where gone.i is not null) as n, string_agg(p.word, ' ' order by p.i) filter (where gone.i is null) as kept
+      from p left join gone on p.doc_id = gone.doc_id and p.i = gone.i group by p.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join q on w.doc_id = q.doc_id"""
+
+OP7 = r"""
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+c as (select doc_id, j, substr(x, 2000 * j + 1, 2098) as part, length(x) // 2 - 1000 * j as rest from (select doc_id, x, unnest(range(0, (length(x) // 2 + 999) // 1000)) as j from h)),
+b as (select doc_id, 1000 * j + i as i, substr(part, 2 * i + 1, 2) as byte, case when i + 50 <= rest then substr(part, 2 * i + 1, 100) end as k
+      from (select doc_id, j, part, rest, unnest(range(0, least(1000, rest))) as i from c)),
+f as (select k, min(doc_id) as d from b where k is not null group by k),
+s as (select b.doc_id, b.i, b.byte, coalesce(f.d < b.doc_id, false) as hit from b left join f using (k)),
+g as (select doc_id, i, byte, max(hit) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from s),
+e as (select *, gone and not lag(gone, 1, false) over (partition by doc_id order by i) as opens from g),
+q as (select doc_id, count(*) filter (where gone) as n, count(*) filter (where opens) as spans, string_agg(byte, '' order by i) filter (where not gone) as kept from e group by doc_id)
+select h.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from h left join q on h.doc_id = q.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express: no XXH64, tokenizer, learned model or greedy template is among it."""
+    return {"op1_substring_dedup": OP1, "op7_suffix_array_dedup": OP7}
