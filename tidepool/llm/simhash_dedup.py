@@ -116,8 +116,8 @@ def linked(a: np.ndarray, b: np.ndarray, max_bits: int, least_shared: int) -> np
     return kept[_differing(a[kept], b[kept]) <= max_bits]
 
 
-def _spanning(fp: np.ndarray, max_bits: int, least_shared: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among all fingerprints of one large posting."""
+def _spanning(fp: np.ndarray, max_bits: int, least_shared: int, steps: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among all fingerprints of one large posting, closer ones in earlier steps."""
     n, links = len(fp), []
     forest = _Forest(n)
 
@@ -125,12 +125,13 @@ def _spanning(fp: np.ndarray, max_bits: int, least_shared: int) -> list[tuple[in
         links.extend((a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, b))
 
     size = fp.view(np.uint8).reshape(n, -1)
-    for turn in range(size.shape[1]):  # neighbours in orders that begin at each byte
-        order = np.lexsort(np.roll(size, -turn, axis=1).T[::-1])
-        for step in (1, 2, 3):
-            a, b = order[:-step], order[step:]
-            k = linked(fp[a], fp[b], max_bits, least_shared)
-            add(a[k], b[k])
+    orders = [np.lexsort(np.roll(size, -turn, axis=1).T[::-1]) for turn in range(size.shape[1])]
+    for part in range(1, steps + 1):
+        for order in orders:  # neighbours in orders that begin at each byte
+            for step in (1, 2, 3):
+                a, b = order[:-step], order[step:]
+                k = linked(fp[a], fp[b], max_bits * part // steps, least_shared)
+                add(a[k], b[k])
     parts = np.array([forest.find(i) for i in range(n)])
     names, sizes = np.unique(parts, return_counts=True)
     largest = names[sizes.argmax()]
@@ -141,7 +142,7 @@ def _spanning(fp: np.ndarray, max_bits: int, least_shared: int) -> list[tuple[in
     return links
 
 
-def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16) -> DataFrame:
+def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16, steps: int = 1) -> DataFrame:
     """Pairs (a, b) of class representatives that span all links found in any posting; classes: rep, fp."""
     chosen = np.array(triples)
 
@@ -183,7 +184,7 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
                 out_b.append(rep[i + step])
                 step += 1
             for at, n in zip(first[sizes > large].tolist(), sizes[sizes > large].tolist(), strict=True):
-                if got := _spanning(fp[at : at + n], max_bits, least_shared):
+                if got := _spanning(fp[at : at + n], max_bits, least_shared, steps):
                     i, j = np.array(got).T
                     out_a.append(rep[at + i])
                     out_b.append(rep[at + j])
@@ -215,14 +216,78 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, n_byte
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, n_bytes: int = 16, max_bits: int = 20, postings: int = 80) -> DataFrame:
+def _words(text: str) -> list[bytes]:
+    return text.encode().translate(_LOWER).split()
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different 32-bit fingerprints of a text's shingles, in order."""
+    found = _words(text)
+    if not found:
+        return np.zeros(0, np.uint32)
+    k = min(words, len(found))
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)), np.uint32, len(found) - k + 1))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets; two empty ones are equal."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
+
+
+def similar_links(work: Workspace, keyed: DataFrame, candidates: DataFrame, words: int, least: float) -> DataFrame:
+    """The candidate pairs whose shingle sets reach the least similarity; keyed: node, text for each node of a pair."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x, words).astype("<u4").tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            kept = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in pairs], bool)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    held = work.write(keyed.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    x, y = (held.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float = 0.8, n_bytes: int = 16, max_bits: int = 28, postings: int = 256) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id, with all its columns.
 
-    Sets of 5-word shingles of similarity 0.8 have SimHashes that differ in 15 % of their bits, 19.5 of 128,
-    so documents are linked at 20 bits or fewer.  No number of bytes is shared for certain then; ``postings``
-    triples of bytes meet at similarity 0.8, 0.85 and 0.9 with probability 0.78, 0.95 and 0.997, and links
-    inside a group add to that.  Rows without a doc_id stay.  Rows with one doc_id and text become one.
+    Documents are linked if their sets of 5-word shingles have a similarity of at least 0.8.  Such sets have SimHashes
+    that differ in some 15 % of their bits, 18 of 128, so fingerprints within 28 bits are candidates.  No number of
+    bytes is shared for certain then: 256 triples of bytes meet at similarity 0.8 to 0.85 with probability 0.94 and at
+    0.85 to 0.9 with 0.99, as measured, and links inside a group add to that.  Candidates are verified on the sets.
+    In postings of more than 16 texts a forest of close candidates is verified in place of all pairs.
+
+    Texts of the same words are one node.  Rows without a doc_id stay.  Rows with one doc_id and text become one.
     """
-    found = near_duplicates(spark, docs, words, n_bytes, max_bits, spread_triples(n_bytes, postings))
-    others = Workspace(spark, "copies").write(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copied_id")).distinct(), "others")
-    return docs.join(others, docs["doc_id"] == others["copied_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    work = Workspace(spark, "copies")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(_words(x))) for x in texts], np.uint64).view(np.int64)
+            fps = [simhash(x, words, n_bytes) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "key", "node", "fp"])
+
+    keyed = texts_of(docs).filter("doc_id is not null").withColumn("key", key)
+    prints = work.write(keyed.mapInArrow(run, "doc_id long, key long, node long, fp binary"), "fingerprints")
+    classes = work.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min_by("key", "doc_id").alias("key")), "classes")
+    found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 3, steps=4), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(classes, "node").select("node", F.col("key").alias("text_key"))
+    chosen = keyed.join(ends, F.col("key") == F.col("text_key")).select("node", "text")
+    roots = components(work, work.write(similar_links(work, chosen, found, words, least), "links"))
+    of_root = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    of_root = work.write(of_root, "roots")
+    first = work.write(of_root.groupBy("root").agg(F.min("least").alias("first")), "first")
+    named = work.write(of_root.join(first, "root").select("node", "first"), "named")
+    others = work.write(prints.join(named, "node").filter("doc_id <> first").select(F.col("key").alias("copy_key")).distinct(), "others")
+    held = docs.select(F.struct("*").alias("document"), key.alias("document_key"))
+    kept = held.join(others, F.col("document_key") == F.col("copy_key"), "left_anti")
+    return kept.select(*(F.col(f"document.`{c}`").alias(c) for c in docs.columns)).dropDuplicates(["doc_id", "text"])
