@@ -41,6 +41,8 @@ SETTLED, OPEN = 1, 2
 PATH = {"path": "<u8", "left": "<u4", "right": "<u4", "row": "<u4", "start": "<u4", "count": "<u4"}
 WINDOW = {"path": "<u8", "row": "<u4", "start": "<u4"}
 BACK = {"key": "<i8", "start": "<u4", "count": "<u4", "kind": "u1"}
+#: Where the smaller document has the same, for those who ask for sources.
+SOURCE = {"source_key": "<i8", "source_start": "<u4"}
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,17 @@ class Window:
     units: Units
     size: int
     seed: int
+    sources: bool = False
 
     @property
     def half(self) -> int:
         return (self.size - self.seed + 1) // 2
 
+    @property
+    def back(self) -> dict[str, str]:
+        """Fields of what goes back to documents."""
+        return BACK | SOURCE if self.sources else BACK
+
 
 def _pack(entries: Entries, fields: dict[str, str], k: slice | np.ndarray) -> bytes:
     return b"".join(entries[f][k].astype(t).tobytes() for f, t in fields.items())
@@ -124,13 +132,13 @@ def cut_paths(units: np.ndarray, at: np.ndarray, window: Window) -> tuple[Entrie
     }, seeds[anchor]
 
 
-def _repeats(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of entries by path and document, and in that order: whether a smaller document has the path."""
+def _repeats(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by path and document, and in that order: whether a smaller document has the path, and the entry of the least one."""
     order = np.lexsort((doc, path))
     p, d = path[order], doc[order]
-    first = np.append(True, p[1:] != p[:-1])
-    least = d[first][np.cumsum(first) - 1]
-    return order, d > least
+    first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
+    source = np.repeat(first, np.diff(np.append(first, len(p))))
+    return order, d > d[source], order[source]
 
 
 def _dealt(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -145,13 +153,13 @@ SHARD = "shard int, docs binary, entries binary, settled binary"
 RETURN = "bucket int, entries binary"
 
 
-def _shard_rows(entries: Entries, fields: dict[str, str], seeds: np.ndarray, doc: np.ndarray, key: np.ndarray, shards: list[int], salt: int) -> Iterator[dict]:
+def _shard_rows(entries: Entries, fields: dict[str, str], back: dict[str, str], seeds: np.ndarray, doc: np.ndarray, key: np.ndarray, shards: list[int], salt: int) -> Iterator[dict]:
     """Packed rows for shards; copies inside the block are settled here and travel with one of the rows."""
-    order, repeat = _repeats(entries["path"], doc[entries["row"]])
+    order, repeat, source = _repeats(entries["path"], doc[entries["row"]])
+    places = {"source_key": key[entries["row"][source]], "source_start": entries["start"][source]}
     entries = {f: v[order] for f, v in entries.items()}
     seeds = seeds[order]
-    done = {"key": key[entries["row"]], "start": entries["start"], "count": entries.get("count", np.ones(len(order), np.uint32)), "kind": np.full(len(order), SETTLED, np.uint8)}
-    settled = _pack(done, BACK, repeat)
+    settled = _pack(_marked(entries | places | {"key": key[entries["row"]]}, SETTLED), back, repeat)
     kept = np.flatnonzero(~repeat)
     to = ((seeds[kept] >> U64(20)) % U64(len(shards))).astype(np.int64)
     if settled:
@@ -183,7 +191,7 @@ def paths(docs: DataFrame, window: Window, shards: list[int]) -> DataFrame:
             doc, key = _numbered(rows)
             entries, seeds = cut_paths(*window.units(data, at), window)
             if len(seeds):
-                yield _batch(list(_shard_rows(entries, PATH, seeds, doc, key, shards, int(key[0]))), _SHARD)
+                yield _batch(list(_shard_rows(entries, PATH, window.back, seeds, doc, key, shards, int(key[0]))), _SHARD)
 
     return docs.filter("doc_id is not null").mapInArrow(run, SHARD)
 
@@ -199,8 +207,9 @@ def _index(row: dict, fields: dict[str, str]) -> Entries:
 def merged(a: Entries, b: Entries) -> tuple[Entries, Entries]:
     """One level from two, each in order of path; entries that a smaller document repeats leave it and come second."""
     both = _gather([a, b])
-    order, repeat = _repeats(both["path"], both["doc"])
-    return {f: v[order[~repeat]] for f, v in both.items()}, {f: v[order[repeat]] for f, v in both.items()}
+    order, repeat, source = _repeats(both["path"], both["doc"])
+    places = {f"source_{f}": both[f][source[repeat]] for f in ("key", "start") if f in both}
+    return {f: v[order[~repeat]] for f, v in both.items()}, {f: v[order[repeat]] for f, v in both.items()} | places
 
 
 class IndexFamily:
@@ -258,25 +267,26 @@ def branching(index: Entries) -> np.ndarray:
     return out
 
 
-def _returned(parts: list[Entries], buckets: list[int]) -> Iterator[dict]:
-    entries = _gather([{f: p[f] for f in BACK} for p in parts])
+def _returned(parts: list[Entries], back: dict[str, str], buckets: list[int]) -> Iterator[dict]:
+    entries = _gather([{f: p[f] for f in back} for p in parts])
     for k, part in _dealt(entries["key"] % len(buckets), len(buckets)):
-        yield {"bucket": buckets[k], "entries": _pack(entries, BACK, part)}
+        yield {"bucket": buckets[k], "entries": _pack(entries, back, part)}
 
 
 def _marked(entries: Entries, kind: int) -> Entries:
     n = len(entries["key"])
-    return {"key": entries["key"], "start": entries["start"], "count": entries.get("count", np.ones(n, np.uint32)), "kind": np.full(n, kind, np.uint8)}
+    out = {"key": entries["key"], "start": entries["start"], "count": entries.get("count", np.ones(n, np.uint32)), "kind": np.full(n, kind, np.uint8)}
+    return out | {f: entries.get(f, np.zeros(n, np.int64)) for f in SOURCE}
 
 
-def settle(sharded: DataFrame, fields: dict[str, str], buckets: list[int]) -> DataFrame:
+def settle(sharded: DataFrame, fields: dict[str, str], back: dict[str, str], buckets: list[int]) -> DataFrame:
     """What each shard settles, and which paths are to be opened, dealt to buckets of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         family, parts = IndexFamily(), []
         for row in table.to_pylist():
             if row["settled"]:
-                parts.append(_unpack(row["settled"], BACK))
+                parts.append(_unpack(row["settled"], back))
             if row["entries"]:
                 family.add(_index(row, fields))
         whole = family.whole()
@@ -285,13 +295,14 @@ def settle(sharded: DataFrame, fields: dict[str, str], buckets: list[int]) -> Da
             opened = branching(whole)
             parts.append(_marked({f: v[opened] for f, v in whole.items()}, OPEN))
         parts = [p for p in parts if len(p["key"])]
-        return pa.Table.from_pylist(list(_returned(parts, buckets)) if parts else [], schema=_RETURN)
+        return pa.Table.from_pylist(list(_returned(parts, back, buckets)) if parts else [], schema=_RETURN)
 
     return sharded.groupBy("shard").applyInArrow(run, RETURN)
 
 
-def _came_back(table: pa.Table) -> Entries | None:
-    parts = [_unpack(x, BACK) for x in table.column("entries").to_pylist()]
+def came_back(table: pa.Table, back: dict[str, str]) -> Entries | None:
+    """The entries that came back for a bucket of documents."""
+    parts = [_unpack(x, back) for x in table.column("entries").to_pylist()]
     return _gather(parts) if parts else None
 
 
@@ -316,7 +327,7 @@ def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: lis
 
     def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
         out: list[dict] = []
-        held = _came_back(returned) if rows.num_rows else None
+        held = came_back(returned, window.back) if rows.num_rows else None
         if held is not None:
             chosen = held["kind"] == OPEN
             held = {f: v[chosen] for f, v in held.items()}
@@ -330,13 +341,13 @@ def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: lis
                 row = np.repeat(row, count)
                 prints = RollingHash(units).of(every, every + window.size)
                 entries = {"path": prints, "row": row.astype(np.uint32), "start": (every - places[row]).astype(np.uint32)}
-                out += _shard_rows(entries, WINDOW, prints, doc, key, shards, int(key[0]))
+                out += _shard_rows(entries, WINDOW, window.back, prints, doc, key, shards, int(key[0]))
         return pa.Table.from_pylist(out, schema=_SHARD)
 
-    return _bucketed(docs.filter("doc_id is not null"), buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, SHARD)
+    return bucketed(docs.filter("doc_id is not null"), buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, SHARD)
 
 
-def _bucketed(docs: DataFrame, buckets: list[int]):
+def bucketed(docs: DataFrame, buckets: list[int]):
     return docs.withColumn("bucket", F.get(F.lit(buckets).cast("array<int>"), F.pmod("key", F.lit(len(buckets))).cast("int"))).groupBy("bucket")
 
 
@@ -352,39 +363,50 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts_of(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def cut(docs: DataFrame, back: DataFrame, window: Window, buckets: list[int], columns: str, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
-    """finish(rows, data, at, repeated units, unit places) for blocks of documents, with what came back for them."""
+Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
+
+
+def cut_block(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, window: Window, held: Entries | None, finish: Finish) -> pa.RecordBatch:
+    """finish(rows, data, at, repeated units, unit places) for one block and the settled entries of its bucket."""
+    places = window.units(data, at)[1]
+    edges = np.zeros(int(places[-1]) + 1, np.int64)
+    if held is not None:
+        _, first, count = _placed(held, SETTLED, part.column("key").to_numpy(), places)
+        np.add.at(edges, first, 1)
+        np.add.at(edges, first + count - 1 + window.size, -1)
+    return finish(part, data, at, np.cumsum(edges[:-1]) > 0, places)
+
+
+def cut(docs: DataFrame, back: DataFrame, window: Window, buckets: list[int], columns: str, finish: Finish) -> DataFrame:
+    """The documents, cut where they lie by what came back for them."""
+    schema = arrow_schema(columns)
 
     def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
-        held = _came_back(returned)
-        out = []
-        for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK):
-            places = window.units(data, at)[1]
-            edges = np.zeros(int(places[-1]) + 1, np.int64)
-            if held is not None:
-                _, first, count = _placed(held, SETTLED, part.column("key").to_numpy(), places)
-                np.add.at(edges, first, 1)
-                np.add.at(edges, first + count - 1 + window.size, -1)
-            out.append(finish(part, data, at, np.cumsum(edges[:-1]) > 0, places))
-        return pa.Table.from_batches(out) if out else finish_schema.empty_table()
-
-    finish_schema = _arrow_schema(columns)
-    return _bucketed(docs, buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, columns)
-
-
-def _arrow_schema(columns: str) -> pa.Schema:
+        held = came_back(returned, window.back)
+        out = [cut_block(part, data, at, window, held, finish) for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK)]
+        return pa.Table.from_batches(out) if out else schema.empty_table()
+
+    return bucketed(docs, buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, columns)
+
+
+def arrow_schema(columns: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "string": pa.string()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, window: Window, columns: str, finish: Callable) -> DataFrame:
-    """The three rounds, each written before the next one so that its shuffle files can go."""
-    work = Workspace(spark, name)
+def find_repeats(spark: SparkSession, work: Workspace, keyed_docs: DataFrame, window: Window) -> tuple[DataFrame, list[int]]:
+    """What is settled for each bucket of documents, and the buckets.  Each round is written before the next one, so that its shuffle files can go."""
     # One shard and one bucket to a partition.  A shard sends at most one row to each bucket, so more of them would
     # only cut the same entries into more rows.
     parts = one_to_each(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed_docs = keyed(docs)
-    back = work.write(settle(paths(keyed_docs, window, parts), PATH, parts), "paths")
+    back = work.write(settle(paths(keyed_docs, window, parts), PATH, window.back, parts), "paths")
     opened = opened_windows(keyed_docs, back, window, parts, parts)
-    more = work.write(settle(opened, WINDOW, parts), "windows")
-    return cut(keyed_docs, back.unionByName(more), window, parts, columns, finish)
+    more = work.write(settle(opened, WINDOW, window.back, parts), "windows")
+    return back.unionByName(more), parts
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, window: Window, columns: str, finish: Finish) -> DataFrame:
+    """finish of all documents with the units that repeat a smaller document's windows."""
+    keyed_docs = keyed(docs)
+    back, parts = find_repeats(spark, Workspace(spark, name), keyed_docs, window)
+    return cut(keyed_docs, back, window, parts, columns, finish)

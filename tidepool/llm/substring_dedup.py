@@ -1,11 +1,15 @@
 """Substring dedup of words on a compacted De Bruijn graph.
 
-Edges are windows of ``size`` consecutive words and nodes their overlaps.  Where every occurrence of an edge
-goes on to the same next edge, edges lie on a nonbranching path; a path that one seed holds together is
-compacted to a single entry before anything is shuffled.  Equal paths meet and keep the document with the
-least doc_id as their source; paths that branch are opened into their edges, which meet in turn.  The source
-coordinates (document, first word, words) of everything that an earlier document has go back to the
-documents by joins, where the words are removed.
+Edges are windows of ``size`` consecutive words and nodes their overlaps.
+
+1. Edges that one seed holds together in a text lie on a path; paths are what is shuffled.  Equal paths meet,
+   and every path that a smaller document has too gets that document's coordinates as its source.  Paths that
+   branch from others of the same seed are opened into their edges, which meet in the same way (``repeats``).
+2. Repeated paths that follow each other without a branch, in the text as in the source, are compacted to one
+   span: (document, first word, words, source document, first word there).
+3. Spans are verified by joins on their coordinates: the digest of the words at the span's place has to be the
+   digest of the words at its source.
+4. Verified spans are cut from the documents.
 
 Defined cases: null and empty texts have no words.  Nothing is removed from rows without a doc_id, and
 nothing because of them.  Rows with one doc_id do not repeat each other and come out each.  A text of fewer
@@ -19,10 +23,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import word_spans, word_units
-from .repeats import Window, remove_repeats
+from .common import Workspace, blocks, word_spans, word_units
+from .repeats import BLOCK, SETTLED, Window, arrow_schema, bucketed, came_back, cut_block, find_repeats, keyed
 
+SPAN = "key long, start long, words long, source_key long, source_start long"
+DIGEST = "key long, start long, words long, digest string"
 COLUMNS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -43,6 +50,80 @@ def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, gone: np.nda
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(places).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def compacted(back: DataFrame, window: Window) -> DataFrame:
+    """Spans from what came back: repeated paths in a row whose sources are in a row too."""
+    schema = arrow_schema(SPAN)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = came_back(table, window.back)
+        own = np.flatnonzero(held["kind"] == SETTLED) if held is not None else []
+        if not len(own):
+            return schema.empty_table()
+        key, source_key = held["key"][own], held["source_key"][own]
+        start, shift = held["start"][own].astype(np.int64), held["source_start"][own].astype(np.int64) - held["start"][own]
+        end = start + held["count"][own]
+        order = np.lexsort((start, shift, source_key, key))
+        key, source_key, start, shift, end = (x[order] for x in (key, source_key, start, shift, end))
+        goes_on = (key[1:] == key[:-1]) & (source_key[1:] == source_key[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] <= end[:-1])
+        first = np.flatnonzero(np.append(True, ~goes_on))
+        last = np.maximum.reduceat(end, first)
+        words = last - start[first] + window.size - 1
+        columns = [key[first], start[first], words, source_key[first], start[first] + shift[first]]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return back.groupBy("bucket").applyInArrow(run, SPAN)
+
+
+def digests(keyed_docs: DataFrame, places: DataFrame, buckets: list[int]) -> DataFrame:
+    """The digest of the words at each place (key, start, words)."""
+    schema = arrow_schema(DIGEST)
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        order = asked.column("key").to_numpy().argsort(kind="stable")
+        key, start, words = (asked.column(c).to_numpy()[order] for c in ("key", "start", "words"))
+        out: list[tuple] = []
+        done: set[int] = set()
+        for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK):
+            starts, ends, first = word_spans(data, at)
+            held = data.tobytes()
+            for k, own in enumerate(part.column("key").to_pylist()):
+                low, high = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+                if low == high or own in done:  # a repeated row has the same words
+                    continue
+                done.add(own)
+                found = [held[a:b] for a, b in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
+                for s, n in zip(start[low:high].tolist(), words[low:high].tolist(), strict=True):
+                    out.append((own, s, n, hashlib.blake2b(b" ".join(found[s : s + n]), digest_size=16).hexdigest()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
+
+    return bucketed(keyed_docs, buckets).cogroup(bucketed(places, buckets)).applyInArrow(run, DIGEST)
+
+
+def verified(work: Workspace, keyed_docs: DataFrame, spans: DataFrame, buckets: list[int]) -> DataFrame:
+    """The spans whose words are the words at their source.  A source that very many spans name is one row on its side."""
+    source = spans.select(F.col("source_key").alias("key"), F.col("source_start").alias("start"), "words")
+    found = work.write(digests(keyed_docs, spans.select("key", "start", "words").union(source).distinct(), buckets), "digests")
+    there = found.select(F.col("key").alias("source_key"), F.col("start").alias("source_start"), "words", F.col("digest").alias("source_digest"))
+    met = spans.join(found, ["key", "start", "words"]).join(there, ["source_key", "source_start", "words"])
+    return met.filter(F.col("digest") == F.col("source_digest")).select("key", "start", "words")
+
+
 def drop_repeated_words(spark: SparkSession, docs: DataFrame, size: int = 13, seed: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row."""
-    return remove_repeats(spark, docs, "words", Window(_words, size, seed), COLUMNS, _finish)
+    window = Window(_words, size, seed, sources=True)
+    work = Workspace(spark, "words")
+    keyed_docs = keyed(docs)
+    back, parts = find_repeats(spark, work, keyed_docs, window)
+    spans = work.write(compacted(back, window), "spans")
+    gone = work.write(verified(work, keyed_docs, spans, parts), "verified")
+    schema = arrow_schema(COLUMNS)
+
+    def run(rows: pa.Table, cut: pa.Table) -> pa.Table:
+        n = cut.num_rows
+        held = {"key": cut.column("key").to_numpy(), "start": cut.column("start").to_numpy(), "count": cut.column("words").to_numpy() - (size - 1), "kind": np.full(n, SETTLED)} if n else None
+        out = [cut_block(part, data, at, window, held, _finish) for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK)]
+        return pa.Table.from_batches(out) if out else schema.empty_table()
+
+    return bucketed(keyed_docs, parts).cogroup(bucketed(gone, parts)).applyInArrow(run, COLUMNS)
