@@ -58,9 +58,9 @@ def frequency_rank(canonical: DataFrame, top: int = 20) -> DataFrame:
 
 
 def layers(canonical: DataFrame) -> DataFrame:
-    """seq and layer: 3 where a canonical occurs first, else 1."""
-    w = Window.partitionBy("canonical").orderBy("seq")
-    return canonical.select("seq", F.when(F.row_number().over(w) == 1, 3).otherwise(1).alias("layer"))
+    """seq and layer: 3 where a canonical occurs first, else 1.  A join, so that a very frequent canonical can be split."""
+    first = canonical.groupBy("canonical").agg(F.min("seq").alias("first_seq"))
+    return canonical.join(first, "canonical").select("seq", F.when(F.col("seq") == F.col("first_seq"), 3).otherwise(1).alias("layer"))
 
 
 def running_trust(canonical: DataFrame, settings: CacheSettings = CacheSettings()) -> DataFrame:
