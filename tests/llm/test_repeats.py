@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from tidepool.llm import queries, substring_dedup, suffix_dedup
-from tidepool.llm.repeats import IndexFamily, merged
+from tidepool.llm.common import Workspace
+from tidepool.llm.repeats import IndexFamily, Window, find_repeats, keyed, merged, one_to_each
 
 from . import cases
 from ..conftest import SF
@@ -70,3 +71,29 @@ def test_registered_query_against_sql(spark, name):
     want = duck.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_spans_are_verified_at_their_source(spark):
+    made = [(1, "a b c d e f", "en", "s", 0), (2, "x c d e f y", "en", "s", 0)]
+    docs = keyed(cases.documents(spark, made))
+    key = {r.doc_id: r.key for r in docs.collect()}
+    right, wrong = (key[2], 1, 4, key[1], 2), (key[2], 0, 4, key[1], 2)
+    spans = spark.createDataFrame([right, wrong], substring_dedup.SPAN)
+    got = substring_dedup.verified(Workspace(spark, "test"), docs, spans, one_to_each(spark, 4)).collect()
+    assert [tuple(r) for r in got] == [right[:3]]
+
+
+def test_paths_in_a_row_become_one_span(spark):
+    passage = " ".join(f"w{i}" for i in range(200))
+    docs = cases.documents(spark, [(1, f"p q {passage}", "en", "s", 0), (2, f"{passage} r", "en", "s", 0)])
+    window = Window(substring_dedup._words, 13, 5, sources=True)
+    back, _ = find_repeats(spark, Workspace(spark, "test"), keyed(docs), window)
+    spans = substring_dedup.compacted(back, window).collect()
+    assert sorted((r.start, r.start + r.words, r.source_start - r.start) for r in spans)[0][0] == 0
+    assert max(r.start + r.words for r in spans) == 200 and len(spans) <= 3 and {r.source_start - r.start for r in spans} == {2}
+
+
+def test_shards_are_dealt_one_to_a_partition(spark):
+    ids = one_to_each(spark, 7)
+    parts = spark.createDataFrame([(i,) for i in ids], "n int").selectExpr("pmod(hash(n), 7) as p").collect()
+    assert sorted(r.p for r in parts) == list(range(7))
