@@ -147,9 +147,8 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
     chosen = np.array(triples)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, _CHUNK // len(chosen))  # an Arrow batch of postings stays small
+        for batch in (x.slice(k, step) for x in batches for k in range(0, x.num_rows, step)):
             n = batch.num_rows
             fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
             keys = np.arange(len(chosen)) << 24 | fp[:, chosen[:, 0]] << 16 | fp[:, chosen[:, 1]] << 8 | fp[:, chosen[:, 2]]
