@@ -251,7 +251,7 @@ def similar_links(work: Workspace, keyed: DataFrame, candidates: DataFrame, word
 
     held = work.write(keyed.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
     x, y = (held.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
-    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return candidates.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float = 0.8, n_bytes: int = 16, max_bits: int = 28, postings: int = 256) -> DataFrame:
@@ -280,7 +280,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     classes = work.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min_by("key", "doc_id").alias("key")), "classes")
     found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 3, steps=4), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(classes, "node").select("node", F.col("key").alias("text_key"))
-    chosen = keyed.join(ends, F.col("key") == F.col("text_key")).select("node", "text")
+    # merge joins at every size: texts are dealt by key once, and what they meet grows with the corpus
+    chosen = keyed.join(ends.hint("merge"), F.col("key") == F.col("text_key")).select("node", "text")
     roots = components(work, work.write(similar_links(work, chosen, found, words, least), "links"))
     of_root = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = work.write(of_root, "roots")
@@ -288,5 +289,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     named = work.write(of_root.join(first, "root").select("node", "first"), "named")
     others = work.write(prints.join(named, "node").filter("doc_id <> first").select(F.col("key").alias("copy_key")).distinct(), "others")
     held = docs.select(F.struct("*").alias("document"), key.alias("document_key"))
-    kept = held.join(others, F.col("document_key") == F.col("copy_key"), "left_anti")
-    return kept.select(*(F.col(f"document.`{c}`").alias(c) for c in docs.columns)).dropDuplicates(["doc_id", "text"])
+    kept = held.join(others.hint("merge"), F.col("document_key") == F.col("copy_key"), "left_anti")
+    repeated = work.write(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("repeated_key")), "repeated")
+    if not repeated.isEmpty():  # rows that are there more than once
+        again = F.col("document_key") == F.col("repeated_key")
+        kept = kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["document_key"]))
+    return kept.select(*(F.col(f"document.`{c}`").alias(c) for c in docs.columns))
