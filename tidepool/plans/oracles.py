@@ -117,6 +117,7 @@ def oracle_sql() -> dict[str, str]:
             s as (select term, regexp_replace(term, '[^a-z]|[aeiou]', '', 'g') as key from t where term <> '')
             select key, min(term) as term from s where key <> '' group by key having count(*) = 1""",
         "canonical_registry": _canonical(registry),
+        "stream_registry_counts": _canonical(registry),
         "first_five_examples": _canonical("select canonical, string_agg(raw, '|' order by seq) as examples from (select *, row_number() over (partition by canonical order by seq) as rn from r) where rn <= 5 group by canonical"),
         "members_last_n": _canonical("select canonical, string_agg(raw, '|' order by seq) as members from (select *, row_number() over (partition by canonical order by seq desc) as rn from r) where rn <= 5 group by canonical"),
         "unique_and_dedup_rate": _canonical(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import ClusterSettings
 from ..functions import text as tx
 from ..operators import clustering, dictionary, keywords, metrics, mining, pipeline, registry, simhash, vectors
-from ..sources import dictionaries, messages
+from ..sources import dictionaries, messages, sinks
+from ..streaming import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +118,21 @@ def drill_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(registry.last_members(lines), "canonical").select("stream", "cluster_id", "canonical", "members")
 
 
+#: Small intervals, so that maintenance, promotion and expiry all happen in the samples.
+BUSY_CLUSTERS = ClusterSettings(
+    centroid_threshold=0.3, anchor_threshold=0.45, hot_centroid_threshold=0.35, hot_anchor_threshold=0.5, maintenance_interval=100_000, hot_count=5, hot_ttl_seconds=2_000_000, merge_threshold=0.6, split_threshold=0.6
+)
+
+
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.running_counts(pipeline.canonical(m)), "complete")
+
+
+def streamed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.assignments(pipeline.canonical(m), SAMPLE_CLUSTERS), "append", files=1)
+    return out.drop("late")
+
+
 def stage_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.stage_distances(_canonical(spark, sf_dir))
 
@@ -168,6 +184,12 @@ def queries() -> dict[str, Query]:
         "top3_longest_examples": lambda s, d: vectors.longest_examples(pipeline.kept(_lines(s, d)), "stream"),
         "leader_follower_assignments": lambda s, d: clustering.assignments(c(s, d), SAMPLE_CLUSTERS),
         "leader_follower_clusters": lambda s, d: clustering.clusters(c(s, d), SAMPLE_CLUSTERS),
+        "maintenance_merge_split": lambda s, d: clustering.clusters(c(s, d), BUSY_CLUSTERS),
+        "hot_cluster_ttl": lambda s, d: clustering.clusters(c(s, d), BUSY_CLUSTERS).filter("tier = 'p'"),
+        "rendered_clusters": lambda s, d: sinks.rendered(clustering.clusters(c(s, d), SAMPLE_CLUSTERS)),
+        "stage_normalized": lambda s, d: sinks.stages(_lines(s, d))["step2_normalized"],
+        "stream_registry_counts": streamed_counts,
+        "stream_leader_follower": streamed_assignments,
         "cluster_drill_through": drill_through,
         "confusable_pairs_mining": mined,
         "new_term_candidates": terms,
