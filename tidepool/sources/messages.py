@@ -10,15 +10,26 @@ from . import dictionaries
 MESSAGE = "msg_id string, stream string, seq long, ts timestamp, raw_text string"
 
 
+#: Up to so many bytes an input is dealt to all cores; larger ones have row groups enough.
+SMALL_INPUT = 128 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A small input, which may lie in a single row group, dealt to all cores; a larger one as it is."""
+    size = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else frame
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message for each line of ``documents``, in order of document and line; the language is the stream."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "raw_text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "raw_text"))
     seq = F.col("doc_id") * 100000 + F.col("pos")
     return lines.select(seq.cast("string").alias("msg_id"), F.col("lang").alias("stream"), seq.alias("seq"), F.timestamp_seconds(seq).alias("ts"), "raw_text")
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     seq = F.col("conv_id").cast("long") * 10000 + F.col("turn")
     return turns.select(seq.cast("string").alias("msg_id"), F.col("role").alias("stream"), seq.alias("seq"), F.timestamp_seconds(seq).alias("ts"), F.col("text").alias("raw_text"))
 
