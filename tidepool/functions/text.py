@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +33,36 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
 
 
+def visible(text: Column) -> Column:
+    """The text without control, format, unassigned and private characters; line breaks and tabs stay."""
+    return F.regexp_replace(text, "[\\p{C}&&[^\\n\\r\\t]]", "")
+
+
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """frame with a column that is computed once for a row, however many filters and projections use it.
+
+    A generator of one row is what the optimizer neither repeats nor moves filters through.
+    """
+    return frame.select(*(c for c in frame.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+def dealt(frame: DataFrame) -> DataFrame:
+    """frame dealt to all cores, for costly expressions on few bytes, which adaptive execution would leave to one task."""
+    spark = frame.sparkSession
+    return frame.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cleanse(text: Column, settings: CleanseSettings = CleanseSettings()) -> Column:
     """The cleaned text, or null for one that is dropped: empty, digit noise, or too short or long."""
-    visible = F.regexp_replace(text, "[\\p{C}&&[^\\n\\r\\t]]", "")
-    return accept(squeeze(nfkc(visible)), settings)
+    return accept(squeeze(nfkc(visible(text))), settings)
 
 
 def accept(cleaned: Column, settings: CleanseSettings = CleanseSettings()) -> Column:
-    noise = cleaned.rlike(f"^\\p{{Nd}}{{{settings.digit_noise},}}$")
-    return F.when((cleaned != "") & F.length(cleaned).between(settings.min_length, settings.max_length) & ~noise, cleaned)
+    def of(c: Column) -> Column:
+        noise = c.rlike(f"^\\p{{Nd}}{{{settings.digit_noise},}}$")
+        return F.when((c != "") & F.length(c).between(settings.min_length, settings.max_length) & ~noise, c)
+
+    return F.transform(F.array(cleaned), of)[0]
 
 
 def cleanse_lite(text: Column, settings: CleanseSettings = CleanseSettings()) -> Column:

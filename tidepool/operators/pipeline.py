@@ -11,7 +11,8 @@ from ..functions import text as tx
 
 def cleansed(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """All messages, with ``cleaned`` (null if dropped) and ``filtered``."""
-    out = messages.withColumn("cleaned", tx.cleanse(F.col("raw_text"), settings.cleanse))
+    out = tx.once(messages, "visible", tx.visible(F.col("raw_text"))).withColumn("folded", tx.nfkc(F.col("visible")))
+    out = tx.once(out, "cleaned", tx.accept(tx.squeeze(F.col("folded")), settings.cleanse)).drop("visible", "folded")
     return out.withColumn("filtered", F.col("cleaned").isNull())
 
 
@@ -22,7 +23,7 @@ def kept(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def canonical(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Kept messages with ``canonical``.  Cycles are compressed once: a second pass could change the text again."""
-    return kept(messages, settings).withColumn("canonical", tx.compress_cycle(F.col("cleaned")))
+    return tx.once(kept(messages, settings), "canonical", tx.compress_cycle(F.col("cleaned")))
 
 
 def stage_changes(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -23,7 +23,7 @@ def fingerprint(text: Column, ngram: int = 3) -> Column:
 
 def fingerprints(texts: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
     """texts (canonical, first_seq, n) with fp."""
-    return texts.withColumn("fp", fingerprint(F.col("canonical"), settings.ngram))
+    return tx.once(tx.dealt(texts), "fp", fingerprint(F.col("canonical"), settings.ngram))
 
 
 def merge_equal(prints: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
@@ -48,10 +48,7 @@ def near_pairs(prints: DataFrame, distance: int | None = None, settings: Simhash
     """
     distance = settings.candidate_distance if distance is None else distance
     n = next(k for k in (1, 2, 4, 8, 16, 32, 64) if k > distance)
-    # the fingerprint is bound before it is used for each band, so that it is computed once for a text
-    of = lambda fp: F.transform(bands(fp, n), lambda b: F.struct(fp.alias("fp"), b["band"].alias("band"), b["value"].alias("value")))
-    bound = F.transform(F.array("fp"), of)[0]
-    posted = prints.filter(F.length("canonical") >= settings.min_length).select("canonical", "first_seq", F.explode(bound).alias("b")).select("canonical", "first_seq", "b.fp", "b.band", "b.value")
+    posted = prints.filter(F.length("canonical") >= settings.min_length).select("canonical", "first_seq", "fp", F.explode(bands(F.col("fp"), n)).alias("b")).select("canonical", "first_seq", "fp", "b.band", "b.value")
     a, b = (posted.select(*(F.col(c).alias(f"{c}_{s}") if c not in ("band", "value") else F.col(c) for c in posted.columns)) for s in ("a", "b"))
     met = a.join(b, ["band", "value"]).filter((F.col("first_seq_a") < F.col("first_seq_b")) | ((F.col("first_seq_a") == F.col("first_seq_b")) & (F.col("canonical_a") < F.col("canonical_b"))))
     differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
