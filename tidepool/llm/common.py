@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 
