@@ -134,7 +134,7 @@ class Items:
     max_share: float
     walks: int = 0
     sets: int = 8
-    width: int = 2
+    width: int = 4
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -265,7 +265,11 @@ def found_in_block(items: Items, data: np.ndarray, at: np.ndarray) -> list[tuple
     for row, i, start in items.candidates(units, places):
         k, n = items.edits(i), len(items.words[i])
         a, b = max(int(places[row]), start - k), min(int(places[row + 1]), start + n + k)
-        distance, begin, size = fitting_distance(items.words[i].tolist(), units[a:b].tolist())
+        item, region = items.words[i].tolist(), units[a:b].tolist()
+        there = set(region)
+        if sum(x in there for x in item) < n - k:  # each word of the item that the region lacks costs an edit
+            continue
+        distance, begin, size = fitting_distance(item, region)
         if distance <= k:
             spot = (distance, a + begin - int(places[row]), size, n)
             name = (row, items.ids[i])
