@@ -87,3 +87,24 @@ def test_one_of_each_group_stays(spark):
     # 5 has copies 6, 7 and near copies 11 to 18; the row without an id stays
     assert 5 in ids and not {6, 7, *range(11, 19)} & set(ids) and None in ids and ids.count(5) == 1
     assert {8, 9, 10, 19, 20} <= set(ids)
+
+
+def test_near_copies_of_one_text_all_go(spark):
+    """A base and 1000 variants that are similar to it (0.84) and not to each other (0.73)."""
+    base = [f"w{k}" for k in range(300)]
+    made = [(0, " ".join(base), "en", "s", 0)]
+    for v in range(1, 1001):
+        words = list(base)
+        for k in range(5):
+            words[(v * 7) % 55 + 60 * k] = f"v{v}x{k}"
+        made.append((v, " ".join(words), "en", "s", 0))
+    assert [r.doc_id for r in simhash_dedup.keep_one(spark, cases.documents(spark, made)).select("doc_id").collect()] == [0]
+
+
+def test_sets_across():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 12, n).astype("<u4")) for n in (0, 0, *range(1, 40))]
+    packed = [s.tobytes() for s in sets]
+    i, j = simhash_dedup.similar_across(packed[:20], packed, 0.8)
+    want = {(i, j) for i in range(20) for j in range(len(sets)) if simhash_dedup.similarity(sets[i], sets[j]) >= 0.8}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want

@@ -142,8 +142,11 @@ def _spanning(fp: np.ndarray, max_bits: int, least_shared: int, steps: int) -> l
     return links
 
 
-def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16, steps: int = 1) -> DataFrame:
-    """Pairs (a, b) of class representatives that span all links found in any posting; classes: rep, fp."""
+def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16, steps: int = 1, tell: bool = False) -> DataFrame:
+    """Pairs (a, b) of class representatives that span all links found in any posting; classes: rep, fp.
+
+    tell adds the column large: whether the pair comes from a forest, which stands for more links than it has.
+    """
     chosen = np.array(triples)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,7 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
             key, rep = key[:cut], table.column("rep").to_numpy()[:cut]
             fp = np.frombuffer(b"".join(table.column("fp").slice(0, cut).to_pylist()), np.uint64).reshape(cut, -1)
             _, first, sizes = np.unique(key, return_index=True, return_counts=True)
-            out_a, out_b = [], []
+            out_a, out_b, of_forest = [], [], []
             small = np.repeat(sizes <= large, sizes)
             step = 1
             while step < min(int(sizes.max()), large):
@@ -181,16 +184,19 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
                 i = i[linked(fp[i], fp[i + step], max_bits, least_shared)]
                 out_a.append(rep[i])
                 out_b.append(rep[i + step])
+                of_forest.append(np.zeros(len(i), np.int64))
                 step += 1
             for at, n in zip(first[sizes > large].tolist(), sizes[sizes > large].tolist(), strict=True):
                 if got := _spanning(fp[at : at + n], max_bits, least_shared, steps):
                     i, j = np.array(got).T
                     out_a.append(rep[at + i])
                     out_b.append(rep[at + j])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+                    of_forest.append(np.ones(len(i), np.int64))
+            a, b, forest = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, of_forest))
             if len(a):
-                ends = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+                ends = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b), *([forest] if tell else []))), axis=1)
+                columns = [pa.array(ends[0]), pa.array(ends[1]), *([pa.array(ends[2] > 0)] if tell else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "large"][: len(columns)])
 
         for batch in batches:
             if batch.num_rows:
@@ -200,7 +206,10 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
             yield from pairs(True)
 
     posted = classes.mapInArrow(post, "key long, rep long, fp binary")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    dealt = posted.repartition("key").sortWithinPartitions("key")
+    if tell:
+        return dealt.mapInArrow(meet, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, n_bytes: int = 8, max_bits: int = 4, triples: list[tuple[int, ...]] | None = None) -> DataFrame:
@@ -235,25 +244,88 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) + len(b) else 1.0
 
 
-def similar_links(work: Workspace, keyed: DataFrame, candidates: DataFrame, words: int, least: float) -> DataFrame:
-    """The candidate pairs whose shingle sets reach the least similarity; keyed: node, text for each node of a pair."""
+def shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
+    """node and shingles for each node; keyed: node, text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(x, words).astype("<u4").tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
+    return keyed.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def similar_links(held: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """The candidate pairs whose shingle sets reach the least similarity; held: node, shingles for each node of a pair."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
             kept = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= least for x, y in pairs], bool)
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    held = work.write(keyed.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
     x, y = (held.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "x"), ("b", "y")))
     return candidates.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def similar_across(x: list[bytes], y: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of sets, one of x and one of y, that reach the least similarity."""
+    sets = [np.frombuffer(b, "<u4") for b in y]
+    sizes = np.array([len(b) for b in sets], np.int64)
+    items = np.concatenate(sets)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    out_i, out_j = [], []
+    for i, b in enumerate(x):
+        a = np.frombuffer(b, "<u4")
+        low, high = np.searchsorted(items, a, "left"), np.searchsorted(items, a, "right")
+        counts = high - low
+        ends = np.cumsum(counts)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - counts), counts)
+        shared = np.bincount(owner[at], minlength=len(sets))
+        whole = len(a) + sizes - shared
+        j = np.flatnonzero(np.where(whole > 0, shared / np.maximum(whole, 1), 1.0) >= least)
+        out_i.append(np.full(len(j), i))
+        out_j.append(j)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def displaced_links(work: Workspace, held: DataFrame, forest: DataFrame, found: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """Links that join what verification left apart inside the trees of forest; found: the links verified so far.
+
+    Whatever a large posting holds is one tree of forest.  A link between two verified parts of a tree has an
+    end outside the tree's largest part, so the nodes outside are compared with all of the tree, set by set, in
+    blocks of about block nodes on a side.
+    """
+    trees = components(work, forest)
+    trees = work.write(trees.union(trees.select(F.col("root").alias("node"), "root").distinct()).toDF("node", "tree"), "trees")
+    parts = components(work, found)
+    placed = work.write(trees.join(parts, "node", "left").select("node", "tree", F.coalesce("root", "node").alias("part")), "parts")
+    sizes = work.write(placed.groupBy("tree", "part").agg(F.count("*").alias("n")), "sizes")
+    largest = sizes.groupBy("tree").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most"))
+    blocked = F.ceil(F.col("n") / block).cast("int")
+    rest = F.ceil((F.col("n") - F.col("most.n")) / block).cast("int")
+    split = work.write(largest.filter("n > most.n").select("tree", F.col("most.part").alias("most"), blocked.alias("n_y"), rest.alias("n_x")), "split")
+    # the tree's size says how often a node is sent, so a node of a small tree is sent once
+    nodes = placed.join(split, "tree").join(held.hint("merge"), "node")
+
+    def side(nodes: DataFrame, own: str, other: str) -> DataFrame:
+        dealt = nodes.withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"n_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+        return dealt.select(*(F.col(c).alias(c) for c in ("tree", "x", "y", "node", "shingles"))).groupBy("tree", "x", "y")
+
+    def compare(outside: pa.Table, every: pa.Table) -> pa.Table:
+        a, b = outside.column("node").to_numpy(), every.column("node").to_numpy()
+        out: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            joined = _Forest(len(names))
+            i, j = similar_across(outside.column("shingles").to_pylist(), every.column("shingles").to_pylist(), least)
+            out = [(int(names[u]), int(names[v])) for u, v in zip(at[i].tolist(), at[len(a) + j].tolist(), strict=True) if joined.join(u, v)]
+        return pa.table({"a": pa.array([u for u, _ in out], pa.int64()), "b": pa.array([v for _, v in out], pa.int64())})
+
+    return side(nodes.filter("part <> most"), "x", "y").cogroup(side(nodes, "y", "x")).applyInArrow(compare, "a long, b long")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float = 0.8, n_bytes: int = 16, max_bits: int = 28, postings: int = 256) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id, with all its columns.
 
@@ -262,7 +334,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     bytes is shared for certain then: 256 triples of bytes should meet at similarity 0.8 to 0.85 with probability 0.94
     and at 0.85 to 0.9 with 0.99 (80 of them met with 0.59 and 0.78), and links inside a group add to that.  Candidates
     are verified on the sets.
-    In postings of more than 16 texts a forest of close candidates is verified in place of all pairs.
+    In postings of more than 16 texts a forest of close candidates is verified first; what stays apart in it is then
+    compared set by set with all that the forest spans, so no link is lost by the choice of the forest.
 
     Texts of the same words are one node.  Rows without a doc_id stay.  Rows with one doc_id and text become one.
     """
@@ -279,18 +352,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     keyed = texts_of(docs).filter("doc_id is not null").withColumn("key", key)
     prints = work.write(keyed.mapInArrow(run, "doc_id long, key long, node long, fp binary"), "fingerprints")
     classes = work.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min_by("key", "doc_id").alias("key")), "classes")
-    found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 3, steps=4), "candidates")
+    found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 3, steps=4, tell=True), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(classes, "node").select("node", F.col("key").alias("text_key"))
     # merge joins at every size: texts are dealt by key once, and what they meet grows with the corpus
     chosen = keyed.join(ends.hint("merge"), F.col("key") == F.col("text_key")).select("node", "text")
-    roots = components(work, work.write(similar_links(work, chosen, found, words, least), "links"))
+    held = work.write(shingle_sets(chosen, words), "shingles")
+    linked_pairs = work.write(similar_links(held, found.select("a", "b"), least), "links")
+    more = work.write(displaced_links(work, held, found.filter("large").select("a", "b"), linked_pairs, least), "displaced")
+    roots = components(work, linked_pairs.union(more))
     of_root = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = work.write(of_root, "roots")
     first = work.write(of_root.groupBy("root").agg(F.min("least").alias("first")), "first")
     named = work.write(of_root.join(first, "root").select("node", "first"), "named")
     others = work.write(prints.join(named, "node").filter("doc_id <> first").select(F.col("key").alias("copy_key")).distinct(), "others")
-    held = docs.select(F.struct("*").alias("document"), key.alias("document_key"))
-    kept = held.join(others.hint("merge"), F.col("document_key") == F.col("copy_key"), "left_anti")
+    whole = docs.select(F.struct("*").alias("document"), key.alias("document_key"))
+    kept = whole.join(others.hint("merge"), F.col("document_key") == F.col("copy_key"), "left_anti")
     repeated = work.write(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("repeated_key")), "repeated")
     if not repeated.isEmpty():  # rows that are there more than once
         again = F.col("document_key") == F.col("repeated_key")
