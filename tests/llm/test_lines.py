@@ -57,6 +57,24 @@ def test_copied_documents_keep_their_lines(spark):
     assert all(r.n_dropped == 0 for r in line_dedup.drop_lines(spark, cases.documents(spark, made)).collect())
 
 
+def test_footers_of_several_lines_go(spark):
+    footer = "all rights reserved\nwrite to us\nabout this site\nback to top"
+    made = [(k, f"{'abcdefghij'[k % 10]}{'x' * k} one\n{'y' * (k + 1)} two\n{'z' * (k + 1)} three\n{footer}", "en", "s", 0) for k in range(40)]
+    got = line_dedup.drop_lines(spark, cases.documents(spark, made)).collect()
+    assert all(r.n_dropped == 4 and r.text.count("\n") == 2 for r in got)
+
+
+def test_copies_do_not_mask_boilerplate(spark):
+    """A line in 14 texts, in 10 copies of one text and in 10 near copies of it."""
+    line, names = "subscribe to our letter", "abcdefghijklmn"
+    made = [(k, f"{n * 3} one\n{n * 4} two\n{line}\n{n * 5} three\n{n * 6} four", "en", "s", 0) for k, n in enumerate(names)]
+    copy = ["first of copy", "second of copy", line, "third of copy", "fourth of copy", "fifth of copy"]
+    made += [(100 + k, "\n".join(copy), "en", "s", 0) for k in range(10)]
+    made += [(200 + k, "\n".join([*copy[:4], f"{'pqrstuvwxy'[k] * 4} changed", copy[5]]), "en", "s", 0) for k in range(10)]
+    got = line_dedup.drop_lines(spark, cases.documents(spark, made)).collect()
+    assert all(line not in r.text and r.n_dropped == 1 for r in got)
+
+
 def test_documents_keep_columns_and_count_anew(spark):
     made = cases.rows()
     docs = cases.clashing(cases.documents(spark, made))

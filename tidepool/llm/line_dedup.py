@@ -3,11 +3,19 @@
 A line's words are its tokens; a token with a digit is a variable field.  The tree has the number of tokens
 on its first level and the leading tokens on the next ``depth`` ones; a leaf holds templates.  Lines of one
 leaf that agree in at least ``similarity`` of their places are one template, whose other places are variable
-fields too.  A template recurs if at least ``min_docs`` documents have it in different surroundings: among
-the lines before it, or among those after it, there are at least ``surroundings`` times as many different
-ones as it has documents.  A line that is copied together with its neighbours belongs to a copied document
-or passage, which other operators treat; what recurs in ever new surroundings is boilerplate, and it is
-dropped from every document.
+fields too.  A template recurs if at least ``min_docs`` documents have it in different surroundings, which
+are told in two ways:
+
+* among the lines before it, or among those after it, there are at least ``surroundings`` times as many
+  different ones as it has documents;
+* lines of templates of ``min_docs`` documents or more that follow one another are a run, judged as one unit
+  by what surrounds it: the two lines before the run, or the two after it, if neither is of such a template.
+  ``min_docs`` different ones are enough, however many copies of documents hold the line besides: a copy is a
+  run from end to end, which nothing surrounds, and in a near copy the lines around a changed one recur.
+
+A line that is copied with its whole document is for other operators to treat; what recurs in ever new
+surroundings is boilerplate, in one line or several, and it is dropped from every document.  A run that has a
+single line between it and a text's end or the next run looks like a near copy and is left to the first rule.
 
 Lines are told apart by 64-bit fingerprints.  Equal lines of a block are one row before the shuffle by leaf,
 so a line that every document has costs a leaf one row for each block.  Counts are two-level aggregates.
@@ -25,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, RollingHash, Workspace, _mixed, blocks, texts_of, word_spans, word_units
 
@@ -57,6 +66,11 @@ class Lines:
         head = prints.of(self.first, self.first + np.minimum(self.count, depth))
         self.leaf = _mixed(head + self.count.astype(U64) * U64(0x9E3779B97F4A7C15))
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each line among those with words of its row, and how many these are."""
+        first = np.searchsorted(self.row, self.row, "left")
+        return np.arange(len(self.row)) - first, np.searchsorted(self.row, self.row, "right") - first
+
     def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """The line before and the line after each, 0 at a text's ends."""
         before, after = np.zeros(len(self.line), U64), np.zeros(len(self.line), U64)
@@ -66,21 +80,29 @@ class Lines:
         return before, after
 
 
+def _pairs(near: np.ndarray, turn: int) -> np.ndarray:
+    """A fingerprint of the two lines on one side of each, given the nearest one; of no meaning where there are fewer."""
+    return _mixed(near * U64(0x9E3779B97F4A7C15) + np.roll(near, turn))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def placed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """key, number, line, before, after for each line with words."""
+    """key, number, line, before, after for each line with words, its place among n_lines of them, and the two lines on each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches):
             lines = Lines(data, at, depth)
             before, after = lines.neighbours()
             key = rows.column("key").to_numpy()[lines.row]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lines.number.astype(np.int32)), _signed(lines.line), _signed(before), _signed(after)], ["key", "number", "line", "before", "after"])
+            place, n_lines = (pa.array(x.astype(np.int32)) for x in lines.places())
+            columns = [pa.array(key), pa.array(lines.number.astype(np.int32)), _signed(lines.line), _signed(before), _signed(after)]
+            columns += [place, n_lines, _signed(_pairs(before, 1)), _signed(_pairs(after, -1))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "number", "line", "before", "after", "place", "n_lines", "before_two", "after_two"])
 
-    return docs.mapInArrow(run, "key long, number int, line long, before long, after long")
+    return docs.mapInArrow(run, "key long, number int, line long, before long, after long, place int, n_lines int, before_two long, after_two long")
 
 
 def distinct_lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -161,6 +183,24 @@ def templates(distinct: DataFrame, similarity: float) -> DataFrame:
     return distinct.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(run, "line long, template long")
 
 
+def run_surroundings(frequent: DataFrame) -> DataFrame:
+    """template, head and tail: the two lines before and after the run of each line, null where a line next to the run is no other text's.
+
+    frequent: the lines of placed_lines whose templates have enough documents, so runs are places without a gap.
+    """
+    of_text = Window.partitionBy("key").orderBy("place")
+    so_far, from_here = of_text.rowsBetween(Window.unboundedPreceding, 0), of_text.rowsBetween(0, Window.unboundedFollowing)
+    before = F.col("place") - F.coalesce(F.lag("place").over(of_text), F.lit(-1))  # 0 for a repeated row
+    after = F.coalesce(F.lead("place").over(of_text), F.col("n_lines")) - F.col("place")
+    first, last = before.alias("from_last"), after.alias("to_next")
+    edges = frequent.select("key", "template", "place", "n_lines", "before_two", "after_two", first, last)
+    opens = (F.col("from_last") > 1) | (F.col("place") == 0)
+    closes = (F.col("to_next") > 1) | (F.col("place") == F.col("n_lines") - 1)
+    head = F.when(opens, F.struct(F.when(F.col("from_last") > 2, F.col("before_two")).alias("of")))
+    tail = F.when(closes, F.struct(F.when(F.col("to_next") > 2, F.col("after_two")).alias("of")))
+    return edges.select("template", F.last(head, True).over(so_far)["of"].alias("head"), F.first(tail, True).over(from_here)["of"].alias("tail"))
+
+
 def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
@@ -172,18 +212,21 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, depth: int = 3, simila
     lines = work.write(placed_lines(keyed, depth), "placed")
     named = work.write(templates(distinct_lines(keyed, depth), similarity), "templates")
     # the tree's names for lines: a line without another name is its own template
-    of_template = lines.join(named, "line", "left").select("key", "number", "before", "after", F.coalesce("template", "line").alias("template"))
+    of_template = lines.join(named, "line", "left").select("key", "number", "before", "after", "place", "n_lines", "before_two", "after_two", F.coalesce("template", "line").alias("template"))
     of_template = work.write(of_template, "named")
     often = work.write(of_template.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template"), "often")
     frequent = work.write(of_template.join(often, "template", "left_semi"), "frequent")
 
-    def different(column: str, name: str) -> DataFrame:
-        pairs = frequent.groupBy("template", column).agg(F.lit(1).alias("one"))
-        return pairs.groupBy("template").agg(F.count("*").alias(name))
+    def different(rows: DataFrame, column: str, name: str) -> DataFrame:
+        pairs = rows.groupBy("template", column).agg(F.lit(1).alias("one"))
+        return pairs.groupBy("template").agg(F.count(column).alias(name))
 
-    counts = different("key", "n_docs").join(different("before", "n_before"), "template").join(different("after", "n_after"), "template")
-    recurring = counts.filter((F.col("n_docs") >= min_docs) & (F.greatest("n_before", "n_after") >= surroundings * F.col("n_docs"))).select("template")
-    recurring = work.write(recurring, "recurring")
+    n_docs = work.write(different(frequent, "key", "n_docs").filter(F.col("n_docs") >= min_docs), "documents")
+    counts = n_docs.join(different(frequent, "before", "n_before"), "template").join(different(frequent, "after", "n_after"), "template")
+    apart = counts.filter(F.greatest("n_before", "n_after") >= surroundings * F.col("n_docs")).select("template")
+    around = work.write(run_surroundings(frequent.join(n_docs, "template", "left_semi")), "runs")
+    n_around = [different(around, c, "n").filter(F.col("n") >= min_docs).select("template") for c in ("head", "tail")]
+    recurring = work.write(apart.union(n_around[0]).union(n_around[1]).distinct(), "recurring")
     gone = frequent.join(recurring, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("number")).alias("gone"))
     return work.write(gone, "gone")
 
