@@ -42,5 +42,12 @@ def test_index_finds_wordings_and_leaves_prose_alone(spark):
     assert got[4].score == 0.0
 
 
+def test_a_file_of_all_templates_has_all_labels(spark):
+    made = [(1, "\n\n".join(x[1] for x in license_scan.TEMPLATES), "en", "s", 0)]
+    made += [(10 + k, f"prose number {k} about the weather and a walk", "en", "s", 0) for k in range(200)]
+    got = {r.doc_id: r for r in license_scan.scan(spark, cases.documents(spark, made)).collect()}
+    assert got[1].labels == ",".join(sorted({x[0] for x in license_scan.TEMPLATES})) and got[1].score == 1.0
+
+
 def test_empty_table(spark):
     assert license_scan.scan(spark, cases.documents(spark, [])).count() == 0

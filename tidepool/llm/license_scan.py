@@ -2,14 +2,13 @@
 
 The templates below are public wordings.  Every content word of a template is posted with its place
 there.  One pass over the texts notes where these words stand; document frequencies come from that, over
-all documents.  Each file's rarest (highest-IDF) licence words are looked up, postings that agree on the
-same relative position (place in the file less place in the template) are intersected, and an alignment
-counts if the words matched carry enough of the template's IDF and its mandatory key phrase stands there
-in full.  All of it is DataFrame work; the postings are as small as the templates and are broadcast.
+all documents.  Every licence word of a file is looked up, postings that agree on the same relative position
+(place in the file less place in the template) are intersected, and an alignment counts if the words matched
+carry enough of the template's IDF, so its rare words, and its mandatory key phrase stands there in full.
+However many templates a file holds, each is judged for itself.  All of it is DataFrame work; the postings are as small as the templates and are broadcast.
 
 Defined cases: null and empty texts have no words, no labels and score 0.  Rows with an equal doc_id are
-scanned each for itself.  Ties in rarity go to the alphabetically first word.  An empty table gives an
-empty result.
+scanned each for itself.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import Workspace, texts_of
 
@@ -87,7 +85,7 @@ def _found(words: Column) -> Column:
     return F.transform(F.array(hits), of)[0]
 
 
-def scan(spark: SparkSession, docs: DataFrame, rare_words: int = 8, least_share: float = 0.6) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, least_share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
     work = Workspace(spark, "licenses")
     words = F.array_remove(F.split(F.translate("text", CAPITALS, LOWER), BETWEEN), "")
@@ -104,20 +102,16 @@ def scan(spark: SparkSession, docs: DataFrame, rare_words: int = 8, least_share:
     weighted = posted.join(F.broadcast(idf), "word")
     whole = weighted.groupBy("template").agg(F.sum("idf").alias("whole"), F.sum(F.col("mandatory").cast("int")).alias("n_mandatory"))
 
-    # the file's rarest licence words: a file has at most as many as the templates
-    own = hits.groupBy("row", "word").agg(F.lit(1).alias("one")).join(F.broadcast(idf), "word")
-    rarest = own.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).filter(F.col("rank") <= rare_words).select("row", "word", F.lit(1).alias("rare"))
-    marked = hits.join(rarest, ["row", "word"], "left")
     aligned = (
-        marked.withColumnRenamed("place", "stands")
+        hits.withColumnRenamed("place", "stands")
         .join(F.broadcast(weighted), "word")
         .groupBy("row", "template", (F.col("stands") - F.col("place")).alias("shift"))
-        .agg(F.sum("idf").alias("matched"), F.count("rare").alias("n_rare"), F.sum(F.col("mandatory").cast("int")).alias("keys"))
+        .agg(F.sum("idf").alias("matched"), F.sum(F.col("mandatory").cast("int")).alias("keys"))
     )
     labels = spark.createDataFrame([(t, x[0]) for t, x in enumerate(TEMPLATES)], T.StructType([T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType())]))
     kept = (
         aligned.join(F.broadcast(whole), "template")
-        .filter((F.col("n_rare") > 0) & (F.col("keys") == F.col("n_mandatory")) & (F.col("matched") >= least_share * F.col("whole")))
+        .filter((F.col("keys") == F.col("n_mandatory")) & (F.col("matched") >= least_share * F.col("whole")))
         .join(F.broadcast(labels), "template")
         .groupBy("row")
         .agg(F.collect_set("label").alias("found"), F.max(F.col("matched") / F.col("whole")).alias("share"))
