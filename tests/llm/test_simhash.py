@@ -108,3 +108,10 @@ def test_sets_across():
     i, j = simhash_dedup.similar_across(packed[:20], packed, 0.8)
     want = {(i, j) for i in range(20) for j in range(len(sets)) if simhash_dedup.similarity(sets[i], sets[j]) >= 0.8}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_repeated_lines_do_not_part_equal_sets(spark):
+    text, line = " ".join(f"w{k}" for k in range(300)), " ".join(f"r{k}" for k in range(12))
+    made = [(k, "\n".join([text, *[line] * n]), "en", "s", 0) for k, n in enumerate((2, 10, 30, 100))]
+    assert len({simhash_dedup.simhash(r[1], 5, 16, distinct=True) for r in made}) == 1
+    assert [r.doc_id for r in simhash_dedup.keep_one(spark, cases.documents(spark, made)).select("doc_id").collect()] == [0]

@@ -36,8 +36,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CHUNK = 50_000
 
 
-def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42) -> bytes:
-    """Majority bits of the XXH64 of all word shingles; beyond 8 bytes, of further mixings of each hash."""
+def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42, distinct: bool = False) -> bytes:
+    """Majority bits of the XXH64 of all word shingles, or of the distinct ones; beyond 8 bytes, of further mixings of each hash."""
     found = text.encode().translate(_LOWER).split()  # bytes split at [\x20\x09-\x0D]
     if not found:
         return bytes(n_bytes)
@@ -48,6 +48,8 @@ def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42) -> byte
     places = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_digest
     hashes = np.frombuffer(b"".join([digest(joined[s:e], seed) for s, e in places]), ">u8")
+    if distinct:
+        hashes = np.unique(hashes)
     counts = np.zeros(8 * n_bytes, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -333,7 +335,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     that differ in some 15 % of their bits, 18 of 128, so fingerprints within 28 bits are candidates.  No number of
     bytes is shared for certain then: 256 triples of bytes should meet at similarity 0.8 to 0.85 with probability 0.94
     and at 0.85 to 0.9 with 0.99 (80 of them met with 0.59 and 0.78), and links inside a group add to that.  Candidates
-    are verified on the sets.
+    are verified on the sets, and so fingerprints are those of the sets, in which a repeated shingle counts once.
     In postings of more than 16 texts a forest of close candidates is verified first; what stays apart in it is then
     compared set by set with all that the forest spans, so no link is lost by the choice of the forest.
 
@@ -346,7 +348,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
         for batch in batches:
             texts = batch.column("text").to_pylist()
             nodes = np.array([xxhash.xxh64_intdigest(b" ".join(_words(x))) for x in texts], np.uint64).view(np.int64)
-            fps = [simhash(x, words, n_bytes) for x in texts]
+            fps = [simhash(x, words, n_bytes, distinct=True) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "key", "node", "fp"])
 
     keyed = texts_of(docs).filter("doc_id is not null").withColumn("key", key)
