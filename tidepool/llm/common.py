@@ -11,13 +11,17 @@ Conventions that hold for every operator of this subpackage
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +57,10 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # no cluster has named a folder: a test on one machine
-            root = "file://" + tempfile.gettempdir()
+        if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            root = "file://" + tempfile.gettempdir()  # one process, one machine: a test
         self.root = f"{root.rstrip('/')}/tidepool-{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
@@ -95,6 +101,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # no such call in this C library
+        return None
+
+
+def release() -> None:
+    """Give freed memory back: workers wait between tasks, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of batches with a column ``text``, in blocks of about size bytes: rows, bytes, places."""
     for batch in batches:
@@ -106,6 +127,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterat
             end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
             yield batch.slice(row, end - row), held[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    release()
 
 
 #: [\x20\x09-\x0D], the characters between words.
@@ -178,9 +200,31 @@ def byte_units(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+#: Words of more bytes are told apart by XXH64, so that memory does not follow the longest word.
+LONG_WORD = 1 << 12
+
+
 def word_units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint of each word."""
-    return RollingHash(_BYTE[data]).of(starts, ends)
+    out = np.empty(len(starts), U64)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    for k in long.tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
+    short = np.setdiff1d(np.arange(len(starts)), long) if len(long) else np.arange(len(starts))
+    a = 0
+    while a < len(short):
+        first = int(starts[short[a]])
+        b = max(a + 1, int(np.searchsorted(ends[short], first + BLOCK_BYTES, "right"))) if len(data) > BLOCK_BYTES else len(short)
+        own = short[a:b]
+        out[own] = RollingHash(_BYTE[data[first : ends[own[-1]]]]).of(starts[own] - first, ends[own] - first)
+        a += len(own)
+    return out
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and count."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def row_of(counts: np.ndarray) -> np.ndarray:

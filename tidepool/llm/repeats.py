@@ -1,21 +1,12 @@
-"""Windows that already start in a document with a smaller doc_id: the machinery of the two substring operators.
-
-A text is a sequence of units (words or bytes).  Two texts share a window of K units only if they share the
-seed of m < K units that the window's least fingerprint picks, so consecutive windows with one seed make a
-*path*, which travels as one entry of about 20 bytes instead of one for each window:
-
-1. ``paths`` cuts every text into paths.  Inside a block of text, equal paths keep only the least document;
-   the rest are settled on the spot.  Entries go to shards by their seed, packed as arrays.
-2. In a shard, equal paths (same units around the same seed) keep the least document; the others are settled:
-   all their windows are repeats.  Paths whose seed goes on equally for half a window to one side in another
-   document, but not along the whole path, *branch*: they may share some windows.
-3. Branching paths alone are opened: the fingerprints of their windows go to shards, and windows that a
-   smaller document holds are settled.
-4. What is settled goes back to the documents, which are cut where they lie.
-
-Every step is a map over bounded blocks or a group whose size is that of the input over the number of
-shards.  A passage that a third of all documents share costs one entry for each block, not for each
-document.  Fingerprints have 64 bits and are compared only inside a shard.
+"""What the two substring operators share: runs of windows that one seed holds together, and the way back to the texts.
+
+A window of K units (words or bytes) is dealt by its seed, the m < K of its units with the least fingerprint: equal
+windows have equal seeds, wherever they stand, and consecutive windows mostly share one, so they travel as one *run*.
+Seeds only say where windows meet; whether they are equal is told by other means.
+
+A text is known by its doc_id and a fingerprint of the text, which tells rows apart that share a doc_id.  What is
+found for a text comes back as one list of places, joined to the text.  Long texts are worked on in chunks that
+overlap by a window, so memory follows the chunk; a seed does not depend on where a chunk begins.
 """
 
 from __future__ import annotations
@@ -25,58 +16,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, U64, Workspace, blocks, texts_of
+from .common import RollingHash, U64, spread, texts_of
 
-#: Units of a block: fingerprint of each, and at which unit each row starts (one more than rows).
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-Entries = dict[str, np.ndarray]
-
-BLOCK = 1 << 20
+#: Bytes of text that a kernel cuts into runs at once, and window starts that it hashes at once.
+BLOCK = 8 << 20
+CHUNK = 1 << 20
 _PLACE = U64((1 << 24) - 1)
-SETTLED, OPEN = 1, 2
-#: Fields of packed entries in shards of paths, in shards of windows, and on their way back to documents.
-PATH = {"path": "<u8", "left": "<u4", "right": "<u4", "row": "<u4", "start": "<u4", "count": "<u4"}
-WINDOW = {"path": "<u8", "row": "<u4", "start": "<u4"}
-BACK = {"key": "<i8", "start": "<u4", "count": "<u4", "kind": "u1"}
-#: Where the smaller document has the same, for those who ask for sources.
-SOURCE = {"source_key": "<i8", "source_start": "<u4"}
-
-
-@dataclass(frozen=True)
-class Window:
-    units: Units
-    size: int
-    seed: int
-    sources: bool = False
-
-    @property
-    def half(self) -> int:
-        return (self.size - self.seed + 1) // 2
-
-    @property
-    def back(self) -> dict[str, str]:
-        """Fields of what goes back to documents."""
-        return BACK | SOURCE if self.sources else BACK
 
 
-def _pack(entries: Entries, fields: dict[str, str], k: slice | np.ndarray) -> bytes:
-    return b"".join(entries[f][k].astype(t).tobytes() for f, t in fields.items())
-
-
-def _unpack(data: bytes, fields: dict[str, str]) -> Entries:
-    width = sum(np.dtype(t).itemsize for t in fields.values())
-    n, at, out = len(data) // width, 0, {}
-    for f, t in fields.items():
-        out[f] = np.frombuffer(data, t, n, at)
-        at += n * np.dtype(t).itemsize
-    return out
-
-
-def _gather(parts: list[Entries]) -> Entries:
-    return {f: np.concatenate([p[f] for p in parts]) for f in parts[0]}
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tie, which tells rows apart that share a doc_id but not a text: 0 where no doc_id is there twice."""
+    texts = texts_of(docs)
+    again = texts.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return texts.withColumn("tie", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text"))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -90,323 +46,105 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def cut_paths(units: np.ndarray, at: np.ndarray, window: Window) -> tuple[Entries, np.ndarray]:
-    """The paths of the rows of a block, and the seed of each."""
-    n, size, m = len(units), window.size, window.seed
-    none = {f: np.zeros(0, np.dtype(t)) for f, t in PATH.items()}, np.zeros(0, U64)
-    if n < size:
-        return none
-    prints = RollingHash(units)
-    seeds = prints.windows(m)
-    place = _PLACE if n <= int(_PLACE) else U64((1 << 40) - 1)
-    least = _least((seeds & ~place) | np.arange(len(seeds), dtype=U64), size - m + 1)
-    bad = np.zeros(n - size + 2, np.int32)  # windows that would run over the end of a row
-    edges = at[1:-1]
-    np.add.at(bad, np.clip(edges - size + 1, 0, n - size + 1), 1)
-    np.add.at(bad, np.clip(edges, 0, n - size + 1), -1)
-    starts = np.flatnonzero(np.cumsum(bad[:-1]) == 0)
-    if not len(starts):
-        return none
-    seed_at = (least[starts] & place).astype(np.int64)
-    new = np.append(True, (seed_at[1:] != seed_at[:-1]) | (starts[1:] != starts[:-1] + 1))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    begin, end, anchor = starts[first], starts[last] + size, seed_at[first]
-    row = np.searchsorted(at, begin, "right") - 1
-    half = window.half
-
-    def side(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        inside = (a >= at[row]) & (b <= at[row + 1])
-        out = np.zeros(len(a), np.uint32)  # 0: the text ends before
-        out[inside] = (prints.of(a[inside], b[inside]) >> U64(32)).astype(np.uint32) | np.uint32(1)
-        return out
-
-    path = prints.of(begin, end) ^ ((anchor - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return {
-        "path": path,
-        "left": side(anchor - half, anchor + m),
-        "right": side(anchor, anchor + m + half),
-        "row": row.astype(np.uint32),
-        "start": (begin - at[row]).astype(np.uint32),
-        "count": (last - first + 1).astype(np.uint32),
-    }, seeds[anchor]
-
-
-def _repeats(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of entries by path and document, and in that order: whether a smaller document has the path, and the entry of the least one."""
-    order = np.lexsort((doc, path))
-    p, d = path[order], doc[order]
-    first = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
-    source = np.repeat(first, np.diff(np.append(first, len(p))))
-    return order, d > d[source], order[source]
-
-
-def _dealt(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Entries by where they go, each part in its order."""
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(n + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        yield k, order[edges[k] : edges[k + 1]]
-
-
-SHARD = "shard int, docs binary, entries binary, settled binary"
-RETURN = "bucket int, entries binary"
-
-
-def _shard_rows(entries: Entries, fields: dict[str, str], back: dict[str, str], seeds: np.ndarray, doc: np.ndarray, key: np.ndarray, shards: list[int], salt: int) -> Iterator[dict]:
-    """Packed rows for shards; copies inside the block are settled here and travel with one of the rows."""
-    order, repeat, source = _repeats(entries["path"], doc[entries["row"]])
-    places = {"source_key": key[entries["row"][source]], "source_start": entries["start"][source]}
-    entries = {f: v[order] for f, v in entries.items()}
-    seeds = seeds[order]
-    settled = _pack(_marked(entries | places | {"key": key[entries["row"]]}, SETTLED), back, repeat)
-    kept = np.flatnonzero(~repeat)
-    to = ((seeds[kept] >> U64(20)) % U64(len(shards))).astype(np.int64)
-    if settled:
-        yield {"shard": shards[salt % len(shards)], "docs": b"", "entries": b"", "settled": settled}
-    for k, part in _dealt(to, len(shards)):
-        part = kept[part]
-        rows, own = np.unique(entries["row"][part], return_inverse=True)
-        mine = {f: v[part] for f, v in entries.items()} | {"row": own}
-        yield {"shard": shards[k], "docs": np.stack((doc[rows], key[rows])).astype("<i8").tobytes(), "entries": _pack(mine, fields, slice(None)), "settled": b""}
-
-
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-_SHARD = pa.schema([("shard", pa.int32()), ("docs", pa.binary()), ("entries", pa.binary()), ("settled", pa.binary())])
-_RETURN = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
-
-
-def _numbered(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return rows.column("doc_id").to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column("doc_id").to_numpy(), rows.column("key").to_numpy()
-
-
-def paths(docs: DataFrame, window: Window, shards: list[int]) -> DataFrame:
-    """The paths of all documents, dealt to shards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, BLOCK):
-            doc, key = _numbered(rows)
-            entries, seeds = cut_paths(*window.units(data, at), window)
-            if len(seeds):
-                yield _batch(list(_shard_rows(entries, PATH, window.back, seeds, doc, key, shards, int(key[0]))), _SHARD)
-
-    return docs.filter("doc_id is not null").mapInArrow(run, SHARD)
-
-
-def _index(row: dict, fields: dict[str, str]) -> Entries:
-    """Entries of one packed row, with their documents."""
-    docs = np.frombuffer(row["docs"], "<i8").reshape(2, -1)
-    out = _unpack(row["entries"], fields)
-    at = out.pop("row")
-    return out | {"doc": docs[0][at], "key": docs[1][at]}
-
-
-def merged(a: Entries, b: Entries) -> tuple[Entries, Entries]:
-    """One level from two, each in order of path; entries that a smaller document repeats leave it and come second."""
-    both = _gather([a, b])
-    order, repeat, source = _repeats(both["path"], both["doc"])
-    places = {f"source_{f}": both[f][source[repeat]] for f in ("key", "start") if f in both}
-    return {f: v[order[~repeat]] for f, v in both.items()}, {f: v[order[repeat]] for f, v in both.items()} | places
-
-
-class IndexFamily:
-    """Sorted levels of geometrically growing size, as a binary counter.
-
-    A new batch is merge-scanned against the level of its own size; where paths agree the smaller document
-    stays, and the two become one level of the next size, which meets the level there, and so on.
-    """
-
-    def __init__(self) -> None:
-        self.levels: list[Entries | None] = []
-        self.found: list[Entries] = []
-
-    def add(self, batch: Entries, at: int = 0) -> None:
-        while True:
-            while len(self.levels) <= at:
-                self.levels.append(None)
-            level = self.levels[at]
-            if level is None:
-                self.levels[at] = batch
-                return
-            self.levels[at] = None
-            batch, repeats = merged(level, batch)
-            self.found.append(repeats)
-            at += 1
-
-    def whole(self) -> Entries | None:
-        """All levels as one."""
-        out = None
-        for level in self.levels:
-            if level is not None:
-                if out is None:
-                    out = level
-                else:
-                    out, repeats = merged(out, level)
-                    self.found.append(repeats)
-        return out
-
-
-def branching(index: Entries) -> np.ndarray:
-    """Entries whose seed goes on equally to one side along another path of another document."""
-    out = np.zeros(len(index["path"]), bool)
-    for side in ("left", "right"):
-        own = np.flatnonzero(index[side])
-        own = own[np.argsort(index[side][own], kind="stable")]
-        if not len(own):
-            continue
-        value = index[side][own]
-        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-        differ = np.ones(len(first), bool)
-        for f in ("path", "doc"):
-            x = index[f][own]
-            differ &= np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first)
-        out[own[np.repeat(differ, np.diff(np.append(first, len(own))))]] = True
-    return out
-
-
-def _returned(parts: list[Entries], back: dict[str, str], buckets: list[int]) -> Iterator[dict]:
-    entries = _gather([{f: p[f] for f in back} for p in parts])
-    for k, part in _dealt(entries["key"] % len(buckets), len(buckets)):
-        yield {"bucket": buckets[k], "entries": _pack(entries, back, part)}
-
-
-def _marked(entries: Entries, kind: int) -> Entries:
-    n = len(entries["key"])
-    out = {"key": entries["key"], "start": entries["start"], "count": entries.get("count", np.ones(n, np.uint32)), "kind": np.full(n, kind, np.uint8)}
-    return out | {f: entries.get(f, np.zeros(n, np.int64)) for f in SOURCE}
-
-
-def settle(sharded: DataFrame, fields: dict[str, str], back: dict[str, str], buckets: list[int]) -> DataFrame:
-    """What each shard settles, and which paths are to be opened, dealt to buckets of documents."""
-
-    def run(table: pa.Table) -> pa.Table:
-        family, parts = IndexFamily(), []
-        for row in table.to_pylist():
-            if row["settled"]:
-                parts.append(_unpack(row["settled"], back))
-            if row["entries"]:
-                family.add(_index(row, fields))
-        whole = family.whole()
-        parts += [_marked(x, SETTLED) for x in family.found]
-        if whole is not None and "left" in fields:
-            opened = branching(whole)
-            parts.append(_marked({f: v[opened] for f, v in whole.items()}, OPEN))
-        parts = [p for p in parts if len(p["key"])]
-        return pa.Table.from_pylist(list(_returned(parts, back, buckets)) if parts else [], schema=_RETURN)
-
-    return sharded.groupBy("shard").applyInArrow(run, RETURN)
-
-
-def came_back(table: pa.Table, back: dict[str, str]) -> Entries | None:
-    """The entries that came back for a bucket of documents."""
-    parts = [_unpack(x, back) for x in table.column("entries").to_pylist()]
-    return _gather(parts) if parts else None
-
-
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start and count."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
-
-
-def _placed(back: Entries, kind: int, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For entries of a kind, for every row of the block with their key: row, place of the first window in the block, windows."""
-    order = np.argsort(key, kind="stable")
-    own = np.flatnonzero(back["kind"] == kind)
-    low, high = (np.searchsorted(key[order], back["key"][own], s) for s in ("left", "right"))
-    rows = order[_spread(low, high - low)]
-    own = np.repeat(own, high - low)
-    return rows, at[rows] + back["start"][own].astype(np.int64), back["count"][own].astype(np.int64)
-
-
-def opened_windows(docs: DataFrame, back: DataFrame, window: Window, shards: list[int], buckets: list[int]) -> DataFrame:
-    """The windows of the paths that are to be opened, dealt to shards."""
-
-    def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
-        out: list[dict] = []
-        held = came_back(returned, window.back) if rows.num_rows else None
-        if held is not None:
-            chosen = held["kind"] == OPEN
-            held = {f: v[chosen] for f, v in held.items()}
-            needed = np.isin(rows.column("key").to_numpy(), held["key"])
-            rows = rows.filter(pa.array(needed)).combine_chunks()
-            for part, data, at in blocks(iter(rows.to_batches()), BLOCK):
-                doc, key = _numbered(part)
-                units, places = window.units(data, at)
-                row, first, count = _placed(held, OPEN, key, places)
-                every = _spread(first, count)
-                row = np.repeat(row, count)
-                prints = RollingHash(units).of(every, every + window.size)
-                entries = {"path": prints, "row": row.astype(np.uint32), "start": (every - places[row]).astype(np.uint32)}
-                out += _shard_rows(entries, WINDOW, window.back, prints, doc, key, shards, int(key[0]))
-        return pa.Table.from_pylist(out, schema=_SHARD)
-
-    return bucketed(docs.filter("doc_id is not null"), buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, SHARD)
-
-
-def bucketed(docs: DataFrame, buckets: list[int]):
-    return docs.withColumn("bucket", F.get(F.lit(buckets).cast("array<int>"), F.pmod("key", F.lit(len(buckets))).cast("int"))).groupBy("bucket")
-
-
-def one_to_each(spark: SparkSession, parts: int) -> list[int]:
-    """Numbers of which Spark's hash partitioning deals one to each of so many partitions."""
-    dealt = spark.range(parts * 32).select(F.col("id").cast("int").alias("n")).withColumn("part", F.pmod(F.hash("n"), F.lit(parts)))
-    found = {r.part: r.n for r in dealt.groupBy("part").agg(F.min("n").alias("n")).collect()}
-    return [found.get(k, parts * 32 + k) for k in range(parts)]
+@dataclass
+class Runs:
+    """Consecutive windows of one row that share a seed: first window, windows, the seed's fingerprint, and that of all units."""
 
+    begin: np.ndarray
+    count: np.ndarray
+    seed: np.ndarray
+    whole: np.ndarray
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells rows apart that share a doc_id but not a text."""
-    return texts_of(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-
-
-Finish = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
-
-
-def cut_block(part: pa.RecordBatch, data: np.ndarray, at: np.ndarray, window: Window, held: Entries | None, finish: Finish) -> pa.RecordBatch:
-    """finish(rows, data, at, repeated units, unit places) for one block and the settled entries of its bucket."""
-    places = window.units(data, at)[1]
-    edges = np.zeros(int(places[-1]) + 1, np.int64)
-    if held is not None:
-        _, first, count = _placed(held, SETTLED, part.column("key").to_numpy(), places)
-        np.add.at(edges, first, 1)
-        np.add.at(edges, first + count - 1 + window.size, -1)
-    return finish(part, data, at, np.cumsum(edges[:-1]) > 0, places)
-
+    def at(self, k: np.ndarray) -> Runs:
+        return Runs(self.begin[k], self.count[k], self.seed[k], self.whole[k])
 
-def cut(docs: DataFrame, back: DataFrame, window: Window, buckets: list[int], columns: str, finish: Finish) -> DataFrame:
-    """The documents, cut where they lie by what came back for them."""
-    schema = arrow_schema(columns)
 
-    def run(rows: pa.Table, returned: pa.Table) -> pa.Table:
-        held = came_back(returned, window.back)
-        out = [cut_block(part, data, at, window, held, finish) for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK)]
-        return pa.Table.from_batches(out) if out else schema.empty_table()
+#: The fingerprints of a block's units at some places.
+Units = Callable[[slice | np.ndarray], np.ndarray]
 
-    return bucketed(docs, buckets).cogroup(back.groupBy("bucket")).applyInArrow(run, columns)
 
-
-def arrow_schema(columns: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
-
-
-def find_repeats(spark: SparkSession, work: Workspace, keyed_docs: DataFrame, window: Window) -> tuple[DataFrame, list[int]]:
-    """What is settled for each bucket of documents, and the buckets.  Each round is written before the next one, so that its shuffle files can go."""
-    # One shard and one bucket to a partition.  A shard sends at most one row to each bucket, so more of them would
-    # only cut the same entries into more rows.
-    parts = one_to_each(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    back = work.write(settle(paths(keyed_docs, window, parts), PATH, window.back, parts), "paths")
-    opened = opened_windows(keyed_docs, back, window, parts, parts)
-    more = work.write(settle(opened, WINDOW, window.back, parts), "windows")
-    return back.unionByName(more), parts
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, name: str, window: Window, columns: str, finish: Finish) -> DataFrame:
-    """finish of all documents with the units that repeat a smaller document's windows."""
-    keyed_docs = keyed(docs)
-    back, parts = find_repeats(spark, Workspace(spark, name), keyed_docs, window)
-    return cut(keyed_docs, back, window, parts, columns, finish)
+def _chunk_runs(units: np.ndarray, inside: np.ndarray, size: int, seed: int) -> Runs:
+    """Runs of one chunk; inside: the window starts whose window lies in one row."""
+    prints = RollingHash(units)
+    seeds = prints.windows(seed)
+    least = _least((seeds & ~_PLACE) | np.arange(len(seeds), dtype=U64), size - seed + 1)
+    place = (least[inside] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)))
+    last = np.append(first[1:], len(inside)) - 1
+    begin = inside[first]
+    return Runs(begin, last - first + 1, seeds[place[first]], prints.of(begin, inside[last] + size))
+
+
+def seeded_runs(units: Units, at: np.ndarray, size: int, seed: int) -> Runs:
+    """The runs of a block of rows; at: the unit at which each row starts, one place more than rows."""
+    n, parts = int(at[-1]), []
+    for a in range(0, max(0, n - size + 1), CHUNK):
+        b = min(n, a + CHUNK + size - 1)
+        outside = np.zeros(b - a - size + 2, np.int32)  # windows that would run over the end of a row
+        edges = at[np.searchsorted(at, a, "right") : np.searchsorted(at, b, "left")] - a
+        np.add.at(outside, np.clip(edges - size + 1, 0, None), 1)
+        np.add.at(outside, np.minimum(edges, b - a - size + 1), -1)
+        inside = np.flatnonzero(np.cumsum(outside[:-1]) == 0)
+        if len(inside):
+            runs = _chunk_runs(units(slice(a, b)), inside, size, seed)
+            runs.begin += a
+            parts.append(runs)
+    return Runs(*(np.concatenate([getattr(p, f) for p in parts]) if parts else np.zeros(0, t) for f, t in (("begin", np.int64), ("count", np.int64), ("seed", U64), ("whole", U64))))
+
+
+def opened(runs: Runs, units: Units, size: int, heavy: np.ndarray) -> Runs:
+    """The runs, those of heavy seeds as single windows that are dealt by all of their units instead of the seed."""
+    at = np.searchsorted(heavy, runs.seed)
+    hot = np.flatnonzero(heavy[np.minimum(at, len(heavy) - 1)] == runs.seed) if len(heavy) else []
+    if not len(hot):
+        return runs
+    rest = runs.at(np.setdiff1d(np.arange(len(runs.seed)), hot))
+    every, own = [], []
+    for part in np.array_split(hot, -(-len(hot) * (2 * size) // CHUNK)):
+        begin, count = runs.begin[part], runs.count[part]
+        wide = count + size - 1
+        prints = RollingHash(units(spread(begin, wide)))
+        first = spread(np.cumsum(wide) - wide, count)
+        every.append(spread(begin, count))
+        own.append(prints.of(first, first + size))
+    every, own = np.concatenate(every), np.concatenate(own)
+    single = Runs(every, np.ones(len(every), np.int64), own, own)
+    return Runs(*(np.concatenate((getattr(rest, f), getattr(single, f))) for f in ("begin", "count", "seed", "whole")))
+
+
+def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The keyed documents with ``places``, the list of (start, count) that ``places`` (doc_id, tie, start, count) has for each, or null.
+
+    A list is as long as its text at most, and rows without a doc_id have none."""
+    lists = places.groupBy(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("start", "count")).alias("places"))
+    met = (F.col("doc_id") == F.col("of_doc")) & (F.col("tie") == F.col("of_tie"))
+    return docs.join(lists, met, "left").select("doc_id", "tie", "text", "places")
+
+
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and count of each place in a column of lists."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column)
+    start, count = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)) if len(flat) else (np.zeros(0, np.int64),) * 2
+    return np.repeat(np.arange(len(column)), sizes), start, count
+
+
+def covered(column: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """Which units of a block are covered by the windows listed for its rows; at: the unit at which each row starts."""
+    row, start, count = listed(column)
+    edges = np.zeros(int(at[-1]) + 1, np.int32)
+    np.add.at(edges, at[row] + start, 1)
+    np.add.at(edges, at[row] + start + count - 1 + size, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: an aggregate over one column."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n)
+
+
+def batches_of(columns: dict[str, np.ndarray], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Columns as Arrow batches of bounded rows."""
+    n = len(next(iter(columns.values())))
+    for a in range(0, n, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + most]) for c in columns.values()], list(columns))

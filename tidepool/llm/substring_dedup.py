@@ -1,129 +1,227 @@
-"""Substring dedup of words on a compacted De Bruijn graph.
-
-Edges are windows of ``size`` consecutive words and nodes their overlaps.
-
-1. Edges that one seed holds together in a text lie on a path; paths are what is shuffled.  Equal paths meet,
-   and every path that a smaller document has too gets that document's coordinates as its source.  Paths that
-   branch from others of the same seed are opened into their edges, which meet in the same way (``repeats``).
-2. Repeated paths that follow each other without a branch, in the text as in the source, are compacted to one
-   span: (document, first word, words, source document, first word there).
-3. Spans are verified by joins on their coordinates: the digest of the words at the span's place has to be the
-   digest of the words at its source.
-4. Verified spans are cut from the documents.
-
-Defined cases: null and empty texts have no words.  Nothing is removed from rows without a doc_id, and
-nothing because of them.  Rows with one doc_id do not repeat each other and come out each.  A text of fewer
-words than a window keeps all.  An empty table gives an empty result.
+"""Substring dedup of words on a compacted De Bruijn graph of what repeats.
+
+A window of ``size`` words is an edge, from the node of its first ``size - 1`` words to the node of its last ones;
+the fingerprints of these two nodes name it (128 bits).
+
+1. Places that may repeat: every window picks a seed among its words, and windows go on only if another document
+   has their seed (an aggregate and a semi-join of seeds).  This loses nothing: equal windows have equal seeds.
+2. ``edges``: one row for each such window, and ``repeated_edges``: those that two documents have, with the
+   coordinates of the least document as their source.
+3. ``links``: nodes with one repeated edge in and one out, which lie next to each other at the source, join the
+   two; a node where ways part or meet ends a path.
+4. ``compacted``: along links every edge finds the first edge of its path, inside cells of 64 places by a window
+   and from cell to cell by pointer doubling, a join of the cells with themselves in each round.
+5. ``spans``: edges of one path in a row in a document, where the source is a lesser document: (document, first
+   window, windows, source document, first window there).
+6. ``mismatches`` verifies spans: they are cut at the source's multiples of 64 words, so that there are few
+   different pieces however many copies name them, and the digests of the words at both places are compared by
+   joins.  Should a fingerprint ever be shared by different words, all is done again with other fingerprints.
+7. Spans are cut from the documents.
+
+Defined cases: null and empty texts have no words.  Nothing is removed from rows without a doc_id, and nothing
+because of them.  Rows with one doc_id do not repeat each other and come out each.  A text of fewer words than a
+window keeps all.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, blocks, word_spans, word_units
-from .repeats import BLOCK, SETTLED, Window, arrow_schema, bucketed, came_back, cut_block, find_repeats, keyed
+from .common import RollingHash, U64, Workspace, _mixed, blocks, spread, word_spans, word_units
+from .repeats import CHUNK, batches_of, covered, keyed, listed, seeded_runs, with_places
 
-SPAN = "key long, start long, words long, source_key long, source_start long"
-DIGEST = "key long, start long, words long, digest string"
-COLUMNS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+COLUMNS = "doc_id long, n_words long, n_removed long, kept string"
+EDGE = "from_node long, to_node long, doc_id long, tie long, start int"
+#: Words of a piece that is verified at once.
+PIECE = 64
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, at: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, places = word_spans(data, at)
-    return (word_units(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)), places
-
-
-def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, gone: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    starts, ends, _ = word_spans(data, at)
+    units = word_units(data, starts, ends) if len(starts) else np.zeros(0, U64)
+    return (_mixed(units + U64(salt)) if salt else units), places
+
+
+def _fingerprints(units: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of size units at each of starts, which are in order, chunk by chunk."""
+    out = np.empty(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(starts, starts[a] + CHUNK))
+        first, end = int(starts[a]), int(starts[b - 1]) + size
+        out[a:b] = RollingHash(units[first:end]).of(starts[a:b] - first, starts[a:b] - first + size)
+        a = b
+    return out
+
+
+def seeds(keyed_docs: DataFrame, size: int, seed: int, salt: int) -> DataFrame:
+    """seed, doc_id, tie, start, count for each run of windows that share a seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches):
+            units, places = _words(data, at, salt)
+            runs = seeded_runs(lambda k: units[k], places, size, seed)
+            row = np.searchsorted(places, runs.begin, "right") - 1
+            doc, tie = (rows.column(c).to_numpy()[row] for c in ("doc_id", "tie"))
+            yield from batches_of({"seed": runs.seed.view(np.int64), "doc_id": doc, "tie": tie, "start": (runs.begin - places[row]).astype(np.int32), "count": runs.count.astype(np.int32)})
+
+    return keyed_docs.filter("doc_id is not null").mapInArrow(run, "seed long, doc_id long, tie long, start int, count int")
+
+
+def shared_places(keyed_docs: DataFrame, size: int, seed: int, salt: int) -> DataFrame:
+    """doc_id, tie, start, count: the runs whose seed another document has too."""
+    found = seeds(keyed_docs, size, seed, salt)
+    shared = found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("seed")
+    return found.join(shared, "seed", "left_semi").select("doc_id", "tie", "start", "count")
+
+
+def edges(keyed_docs: DataFrame, places: DataFrame, size: int, salt: int) -> DataFrame:
+    """from_node, to_node, doc_id, tie and start of each window at the places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches):
+            units, first = _words(data, at, salt)
+            row, start, count = listed(rows.column("places"))
+            row, start = np.repeat(row, count), spread(start, count)
+            order = np.lexsort((start, row))
+            row, start = row[order], start[order]
+            where = first[row] + start
+            out, into = _fingerprints(units, where, size - 1), _fingerprints(units, where + 1, size - 1)
+            doc, tie = (rows.column(c).to_numpy()[row] for c in ("doc_id", "tie"))
+            yield from batches_of({"from_node": out.view(np.int64), "to_node": into.view(np.int64), "doc_id": doc, "tie": tie, "start": start.astype(np.int32)})
+
+    return with_places(keyed_docs, places).filter("places is not null").mapInArrow(run, EDGE)
+
+
+def repeated_edges(windows: DataFrame) -> DataFrame:
+    """from_node, to_node and the source (doc, tie, pos: the least place) of each edge that two documents have."""
+    least = windows.groupBy("from_node", "to_node").agg(F.min(F.struct("doc_id", "tie", "start")).alias("source"), F.max("doc_id").alias("most"))
+    return least.filter("source.doc_id < most").select("from_node", "to_node", F.col("source.doc_id").alias("doc"), F.col("source.tie").alias("tie"), F.col("source.start").alias("pos"))
+
+
+def links(graph: DataFrame) -> DataFrame:
+    """doc, tie, pos and back (pos - 1) of each edge that a node without branches joins to the edge before it at the source."""
+    place = ("doc", "tie", "pos")
+    none = [F.lit(None).cast("long" if c != "pos" else "int") for c in place]
+    into = graph.select(F.col("to_node").alias("node"), *(F.col(c).alias(f"in_{c}") for c in place), *(n.alias(f"out_{c}") for c, n in zip(place, none, strict=True)))
+    out = graph.select(F.col("from_node").alias("node"), *(n.alias(f"in_{c}") for c, n in zip(place, none, strict=True)), *(F.col(c).alias(f"out_{c}") for c in place))
+    ways = [F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in ("in", "out") for c in place]
+    nodes = into.union(out).groupBy("node").agg(F.count("in_pos").alias("n_in"), F.count("out_pos").alias("n_out"), *ways)
+    plain = nodes.filter("n_in = 1 and n_out = 1 and in_doc = out_doc and in_tie = out_tie and in_pos + 1 = out_pos")
+    return plain.select(*(F.col(f"out_{c}").alias(c) for c in place), F.col("in_pos").alias("back"))
+
+
+def compacted(work: Workspace, graph: DataFrame, joined: DataFrame, cell: int = 64) -> DataFrame:
+    """The graph's edges with head, the place at the source of the first edge of each one's path.
+
+    Places are dealt to cells of bounded size.  Inside a cell the last edge that is joined to none before it is the
+    head of those after it.  Paths that come in from the cell before are followed back by pointer doubling: in each
+    round every cell is joined with the cell that it points to, and takes over where that one points, if the path
+    goes through it whole."""
+    linked = graph.join(joined.select("doc", "tie", "pos", F.lit(True).alias("linked")), ["doc", "tie", "pos"], "left")
+    opens = F.when(F.col("linked").isNull(), F.col("pos"))
+    so_far = Window.partitionBy("doc", "tie", "cell").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = linked.withColumn("cell", F.floor(F.col("pos") / cell).cast("int")).withColumn("near", F.last(opens, True).over(so_far))
+    rows = work.write(rows.select("from_node", "to_node", "doc", "tie", "pos", "cell", "near"), "cells")
+    cells = rows.groupBy("doc", "tie", "cell").agg(F.max("near").alias("last"), F.max(F.col("near").isNull()).alias("enters"))
+    cells = work.write(cells, "last-heads")
+    now = cells.filter("enters").select("doc", "tie", "cell", (F.col("cell") - 1).alias("back"), F.col("last").isNull().alias("through"))
+    now, k = work.write(now, "pointers-0"), 0
+    while True:
+        jump = now.filter("through").select("doc", "tie", F.col("cell").alias("back"), F.col("back").alias("further"))
+        moved = now.join(jump, ["doc", "tie", "back"], "left").select("doc", "tie", "cell", F.coalesce("further", "back").alias("back"), "through", F.col("further").isNotNull().alias("moved"))
+        k += 1
+        now = work.write(moved, f"pointers-{k}")
+        if now.filter("moved").isEmpty():
+            break
+    heads = now.join(cells.select("doc", "tie", F.col("cell").alias("back"), F.col("last").alias("far")), ["doc", "tie", "back"]).select("doc", "tie", "cell", "far")
+    return rows.join(heads, ["doc", "tie", "cell"], "left").select("from_node", "to_node", "doc", "tie", "pos", F.coalesce("near", "far").alias("head"))
+
+
+def spans(windows: DataFrame, paths: DataFrame) -> DataFrame:
+    """doc_id, tie, start, count, source_doc, source_tie, source_start: edges of one path in a row in a document greater than the source."""
+    named = paths.withColumnRenamed("tie", "source_tie")
+    met = windows.join(named, ["from_node", "to_node"]).filter("doc < doc_id").select("doc_id", "tie", "start", F.col("doc").alias("source_doc"), "source_tie", (F.col("pos") - F.col("start")).alias("shift"), "head")
+    path = ["doc_id", "tie", "source_doc", "source_tie", "shift", "head"]
+    island = F.col("start") - F.dense_rank().over(Window.partitionBy(*path).orderBy("start"))  # repeated rows have one rank
+    rows = met.withColumn("island", island).groupBy(*path, "island").agg(F.min("start").alias("start"), F.max("start").alias("last"))
+    return rows.select("doc_id", "tie", "start", (F.col("last") - F.col("start") + 1).alias("count"), "source_doc", "source_tie", (F.col("start") + F.col("shift")).alias("source_start"))
+
+
+def digests(keyed_docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, tie, start, count (of words) and the digest of the words at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches):
+            starts, ends, first = word_spans(data, at)
+            held = data.tobytes()
+            row, start, count = listed(rows.column("places"))
+            said = []
+            for a, n in zip((first[row] + start).tolist(), count.tolist(), strict=True):
+                words = b" ".join([held[s:e] for s, e in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist(), strict=True)])
+                said.append(hashlib.blake2b(words, digest_size=16).digest())
+            doc, tie = (rows.column(c).to_numpy()[row] for c in ("doc_id", "tie"))
+            columns = [pa.array(doc), pa.array(tie), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(said, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "start", "count", "digest"])
+
+    return with_places(keyed_docs, places).filter("places is not null").mapInArrow(run, "doc_id long, tie long, start int, count int, digest binary")
+
+
+def mismatches(work: Workspace, keyed_docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """The pieces of spans whose words are not the words at their source."""
+    words = F.col("count") + (size - 1)
+    cells = F.sequence(F.floor(F.col("source_start") / PIECE).cast("int"), F.floor((F.col("source_start") + words - 1) / PIECE).cast("int"))
+    cut = found.select("*", words.alias("words"), F.explode(cells).alias("cell"))
+    a: Column = F.greatest("source_start", F.col("cell") * PIECE)
+    b: Column = F.least(F.col("source_start") + F.col("words"), (F.col("cell") + 1) * PIECE)
+    pieces = cut.select("doc_id", "tie", (F.col("start") + a - F.col("source_start")).alias("start"), (b - a).alias("count"), "source_doc", "source_tie", a.alias("source_start")).distinct()
+    pieces = work.write(pieces, "pieces")
+    source = pieces.select(F.col("source_doc").alias("doc_id"), F.col("source_tie").alias("tie"), F.col("source_start").alias("start"), "count")
+    said = work.write(digests(keyed_docs, pieces.select("doc_id", "tie", "start", "count").union(source).distinct()).distinct(), "digests")
+    there = said.select(F.col("doc_id").alias("source_doc"), F.col("tie").alias("source_tie"), F.col("start").alias("source_start"), "count", F.col("digest").alias("source_digest"))
+    met = pieces.join(said, ["doc_id", "tie", "start", "count"], "left").join(there, ["source_doc", "source_tie", "source_start", "count"], "left")
+    return met.filter(~F.col("digest").eqNullSafe(F.col("source_digest")) | F.col("digest").isNull())
+
+
+def repeated_words(work: Workspace, keyed_docs: DataFrame, size: int, seed: int, salt: int = 0) -> DataFrame:
+    """Verified spans of the documents' words that stand in a lesser document."""
+    windows = work.write(edges(keyed_docs, shared_places(keyed_docs, size, seed, salt), size, salt), f"edges-{salt}")
+    graph = work.write(repeated_edges(windows), f"graph-{salt}")
+    paths = work.write(compacted(work, graph, links(graph)), f"paths-{salt}")
+    found = work.write(spans(windows, paths), f"spans-{salt}")
+    if mismatches(work, keyed_docs, found, size).isEmpty():
+        return found
+    return repeated_words(work, keyed_docs, size, seed, salt + 1)
+
+
+def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, size: int) -> pa.RecordBatch:
+    starts, ends, places = word_spans(data, at)
+    gone = covered(rows.column("places"), places, size)
     held = data.tobytes()
     removed, kept = [], []
     for k in range(rows.num_rows):
         a, b = int(places[k]), int(places[k + 1])
         stay = a + np.flatnonzero(~gone[a:b])
         removed.append(b - a - len(stay))
-        kept.append(hashlib.sha256(b" ".join([held[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])).hexdigest())
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(places).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
-def compacted(back: DataFrame, window: Window) -> DataFrame:
-    """Spans from what came back: repeated paths in a row whose sources are in a row too."""
-    schema = arrow_schema(SPAN)
-
-    def run(table: pa.Table) -> pa.Table:
-        held = came_back(table, window.back)
-        own = np.flatnonzero(held["kind"] == SETTLED) if held is not None else []
-        if not len(own):
-            return schema.empty_table()
-        key, source_key = held["key"][own], held["source_key"][own]
-        start, shift = held["start"][own].astype(np.int64), held["source_start"][own].astype(np.int64) - held["start"][own]
-        end = start + held["count"][own]
-        order = np.lexsort((start, shift, source_key, key))
-        key, source_key, start, shift, end = (x[order] for x in (key, source_key, start, shift, end))
-        goes_on = (key[1:] == key[:-1]) & (source_key[1:] == source_key[:-1]) & (shift[1:] == shift[:-1]) & (start[1:] <= end[:-1])
-        first = np.flatnonzero(np.append(True, ~goes_on))
-        last = np.maximum.reduceat(end, first)
-        words = last - start[first] + window.size - 1
-        columns = [key[first], start[first], words, source_key[first], start[first] + shift[first]]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-    return back.groupBy("bucket").applyInArrow(run, SPAN)
-
-
-def digests(keyed_docs: DataFrame, places: DataFrame, buckets: list[int]) -> DataFrame:
-    """The digest of the words at each place (key, start, words)."""
-    schema = arrow_schema(DIGEST)
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows or not rows.num_rows:
-            return schema.empty_table()
-        order = asked.column("key").to_numpy().argsort(kind="stable")
-        key, start, words = (asked.column(c).to_numpy()[order] for c in ("key", "start", "words"))
-        out: list[tuple] = []
-        done: set[int] = set()
-        for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK):
-            starts, ends, first = word_spans(data, at)
-            held = data.tobytes()
-            for k, own in enumerate(part.column("key").to_pylist()):
-                low, high = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-                if low == high or own in done:  # a repeated row has the same words
-                    continue
-                done.add(own)
-                found = [held[a:b] for a, b in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
-                for s, n in zip(start[low:high].tolist(), words[low:high].tolist(), strict=True):
-                    out.append((own, s, n, hashlib.blake2b(b" ".join(found[s : s + n]), digest_size=16).hexdigest()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else schema.empty_table()
-
-    return bucketed(keyed_docs, buckets).cogroup(bucketed(places, buckets)).applyInArrow(run, DIGEST)
-
-
-def verified(work: Workspace, keyed_docs: DataFrame, spans: DataFrame, buckets: list[int]) -> DataFrame:
-    """The spans whose words are the words at their source.  A source that very many spans name is one row on its side."""
-    source = spans.select(F.col("source_key").alias("key"), F.col("source_start").alias("start"), "words")
-    found = work.write(digests(keyed_docs, spans.select("key", "start", "words").union(source).distinct(), buckets), "digests")
-    there = found.select(F.col("key").alias("source_key"), F.col("start").alias("source_start"), "words", F.col("digest").alias("source_digest"))
-    met = spans.join(found, ["key", "start", "words"]).join(there, ["source_key", "source_start", "words"])
-    return met.filter(F.col("digest") == F.col("source_digest")).select("key", "start", "words")
+        kept.append(b" ".join([held[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
+    columns = [rows.column("doc_id"), pa.array(np.diff(places).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def drop_repeated_words(spark: SparkSession, docs: DataFrame, size: int = 13, seed: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each row."""
-    window = Window(_words, size, seed, sources=True)
-    work = Workspace(spark, "words")
+    """doc_id, n_words, n_removed and kept (the remaining words, a space between them) for each row."""
     keyed_docs = keyed(docs)
-    back, parts = find_repeats(spark, work, keyed_docs, window)
-    spans = work.write(compacted(back, window), "spans")
-    gone = work.write(verified(work, keyed_docs, spans, parts), "verified")
-    schema = arrow_schema(COLUMNS)
-
-    def run(rows: pa.Table, cut: pa.Table) -> pa.Table:
-        n = cut.num_rows
-        held = {"key": cut.column("key").to_numpy(), "start": cut.column("start").to_numpy(), "count": cut.column("words").to_numpy() - (size - 1), "kind": np.full(n, SETTLED)} if n else None
-        out = [cut_block(part, data, at, window, held, _finish) for part, data, at in blocks(iter(rows.combine_chunks().to_batches()), BLOCK)]
-        return pa.Table.from_batches(out) if out else schema.empty_table()
-
-    return bucketed(keyed_docs, parts).cogroup(bucketed(gone, parts)).applyInArrow(run, COLUMNS)
+    found = repeated_words(Workspace(spark, "words"), keyed_docs, size, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches):
+            yield _finish(rows, data, at, size)
+
+    return with_places(keyed_docs, found).mapInArrow(run, COLUMNS)

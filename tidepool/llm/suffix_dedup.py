@@ -1,44 +1,317 @@
-"""Removal of repeated byte strings with a logarithmic family of sparse suffix indexes.
+"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
 
-Suffixes are taken at seeds that the text itself picks, so that any repeated string of ``size`` bytes holds a
-suffix that both its occurrences index.  Every batch of text brings its suffixes in order; a shard merge-scans
-a batch against the level of its size for long matches, the smaller document stays, and two levels of one size
-become a level of the next.  Suffixes that agree only in part are opened byte by byte.
+1. Every text is cut into runs of windows of ``size`` bytes that share a seed, and a run's bytes go to the shard
+   that its seed names, so equal windows meet in one shard.  Equal runs of a block, compared byte by byte, go as
+   one: the least document stands for the others, whose windows are repeats.  Texts are never sampled: every
+   byte at which a window starts is a suffix of some shard.
+2. A shard takes its rows as batches.  A batch gets its suffix array: all its suffixes in the order of their
+   first ``size`` bytes.  It is merge-scanned against the level of its size: both are sorted, so one merge puts
+   suffixes with a common prefix of ``size`` bytes next to each other; the least document keeps the string, and
+   the suffixes of others are repeats and leave the index.  The two become a level of the next size, which meets
+   the level there, and so on; at the end the levels that are left merge from the smallest up.  So a suffix takes
+   part in about log2(batches) merges, and every batch has met every other.
+3. What is repeated goes back to the texts, which are cut where they lie.
+
+Seeds that would make a shard too large, told by a sample of documents, are opened: their windows are dealt by
+all of their bytes.  The sample decides only where windows meet.  Shards have a bounded number of bytes of text,
+so more text is more shards and not larger ones; one string costs a shard one run for each block that holds it.
 
 Defined cases: null and empty texts have no bytes.  Nothing is removed from rows without a doc_id, and nothing
-because of them.  Rows with one doc_id do not repeat each other and come out each.  A text shorter than a
-window keeps all.  Matches never cross documents.  An empty table gives an empty result.
+because of them.  Rows with one doc_id do not repeat each other and come out each.  A text shorter than a window
+keeps all.  Matches never cross documents.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import U64, Workspace, blocks, byte_units, spread
+from .repeats import BLOCK, Runs, batches_of, covered, keyed, opened, seeded_runs, text_bytes, with_places
+
+SHARD = "shard long, runs binary, settled binary"
+FOUND = "doc_id long, tie long, start int, count int"
+COLUMNS = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, size: long>>, kept binary"
+_CODEC = pa.Codec("zstd", 3)
+#: Suffixes of a batch, and of a sample's documents one in so many.
+BATCH = 1 << 18
+SAMPLED = 64
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns as one compressed string: the sizes of all, then their bytes."""
+    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(c.tobytes() for c in columns)])
+    return np.array([len(raw)], "<i8").tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpack(held: bytes, *types: str) -> list[np.ndarray]:
+    raw = _CODEC.decompress(memoryview(held)[8:], int(np.frombuffer(held, "<i8", 1)[0]), asbytes=True)
+    at, out = 8 * len(types), []
+    for t, size in zip(types, np.frombuffer(raw, "<i8", len(types)).tolist(), strict=True):
+        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at))
+        at += size
+    return out
+
+
+# ---------------------------------------------------------------- runs on their way to shards
+
+
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes at a are those at b, for each."""
+    out = np.ones(len(a), bool)
+    for part in np.array_split(np.arange(len(a)), -(-int(size.sum()) // BLOCK)) if len(a) else []:
+        n = size[part]
+        same = data[spread(a[part], n)] == data[spread(b[part], n)]
+        out[part] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
+def _groups(runs: Runs, doc: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs in an order in which equal ones follow each other, the least document first; for each the place in
+    that order of the first run of its bytes, and of the first of its bytes and document."""
+    order = np.lexsort((runs.begin, doc, runs.whole))
+    whole, doc, begin, width = runs.whole[order], doc[order], runs.begin[order], runs.count[order] + size - 1
+    new = np.append(True, whole[1:] != whole[:-1])[: len(order)]
+    while True:
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rest = np.flatnonzero(~new)
+        bad = rest[width[rest] != width[first[rest]]]
+        same = rest[width[rest] == width[first[rest]]]
+        bad = np.append(bad, same[~_equal_bytes(data, begin[same], begin[first[same]], width[same])])
+        if not len(bad):
+            break
+        new[bad] = True  # a fingerprint that different bytes share: each run for itself
+    own = new | np.append(True, doc[1:] != doc[:-1])[: len(order)]
+    return order, first, np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))
+
+
+def shard_rows(docs: DataFrame, size: int, seed: int, shards: int, heavy: np.ndarray) -> DataFrame:
+    """The runs of all documents for the shards: entries (document, windows, places), their places (tie, start) and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches, BLOCK):
+            doc, tie = rows.column("doc_id").to_numpy(), rows.column("tie").to_numpy()
+            units = lambda k: byte_units(data[k])
+            runs = opened(seeded_runs(units, at, size, seed), units, size, heavy)
+            if not len(runs.begin):
+                continue
+            row = np.searchsorted(at, runs.begin, "right") - 1
+            order, first, own = _groups(runs, doc[row], data, size)
+            runs, row = runs.at(order), row[order]
+            start, ties = (runs.begin - at[row]).astype("<u4"), tie[row]
+            place = np.arange(len(first))
+            settled = np.flatnonzero(doc[row] > doc[row[first]])
+            # what stays: an entry for the least document of each run, its places in that document after one another
+            stays = doc[row] == doc[row[first]]
+            entry = np.flatnonzero(stays & (own == place))
+            n_places = np.bincount(own[stays], minlength=len(own))[entry]
+            to = ((runs.seed[entry] >> U64(20)) % U64(shards)).astype(np.int64)
+            if len(settled):
+                yield _row(int(to[0]), b"", _pack(doc[row[settled]].astype("<i8"), ties[settled].astype("<i8"), start[settled], runs.count[settled].astype("<u4")))
+            by_shard = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(to[by_shard]) > 0))
+            for part in np.split(by_shard, cuts[1:]):
+                e, n = entry[part], n_places[part]
+                held = spread(e, n)
+                text = data[spread(runs.begin[e], runs.count[e] + size - 1)]
+                yield _row(int(to[part[0]]), _pack(doc[row[e]].astype("<i8"), runs.count[e].astype("<u4"), n.astype("<u4"), ties[held].astype("<i8"), start[held], text), b"")
+
+    return docs.filter("doc_id is not null").mapInArrow(run, SHARD)
+
+
+def _row(shard: int, runs: bytes, settled: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([runs], pa.binary()), pa.array([settled], pa.binary())], ["shard", "runs", "settled"])
+
+
+def heavy_seeds(docs: DataFrame, size: int, seed: int, most_runs: int) -> np.ndarray:
+    """Seeds that more than most_runs runs have by a sample of one document in ``SAMPLED``: at most as many as there are shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, at in blocks(batches, BLOCK):
+            runs = seeded_runs(lambda k: byte_units(data[k]), at, size, seed)
+            _, once = np.unique(runs.whole, return_index=True)  # equal runs of a block go as one
+            value, n = np.unique(runs.seed[once], return_counts=True)
+            yield from batches_of({"seed": value.view(np.int64), "n": n.astype(np.int64)})
+
+    sample = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0))
+    counts = sample.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.seed for r in counts.filter(F.col("n") * SAMPLED > most_runs).select("seed").collect()], np.int64).view(U64))
+
+
+# ---------------------------------------------------------------- suffix arrays and levels
+
+
+@dataclass
+class SuffixArray:
+    """Suffixes in the order of their first bytes: these bytes, the document, and which window of which entry each is."""
+
+    keys: np.ndarray
+    doc: np.ndarray
+    entry: np.ndarray
+    window: np.ndarray
+
+    def at(self, k: np.ndarray) -> SuffixArray:
+        return SuffixArray(self.keys[k], self.doc[k], self.entry[k], self.window[k])
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
+def suffix_array(text: np.ndarray, doc: np.ndarray, count: np.ndarray, first_entry: int, size: int) -> SuffixArray:
+    """The suffix array of a batch of entries, whose bytes (count + size - 1 for each) follow each other in text."""
+    width = count + size - 1
+    starts = spread(np.cumsum(width) - width, count)
+    keys = np.ascontiguousarray(sliding_window_view(text, size)[starts]).view(f"S{size}").ravel()
+    entry = np.repeat(np.arange(len(count)), count)
+    window = spread(np.zeros(len(count), np.int64), count)
+    order = np.argsort(keys)
+    return SuffixArray(keys[order], doc[entry[order]], (entry[order] + first_entry).astype(np.uint32), window[order].astype(np.uint32))
+
+
+def scanned(index: SuffixArray) -> tuple[SuffixArray, SuffixArray | None]:
+    """What stays of suffixes in order, and the repeats: neighbours with a common prefix of all bytes, of which a lesser document has one."""
+    if not len(index):
+        return index, None
+    new = np.append(True, index.keys[1:] != index.keys[:-1])
+    first = np.flatnonzero(new)
+    if len(first) == len(new):
+        return index, None
+    least = np.repeat(np.minimum.reduceat(index.doc, first), np.diff(np.append(first, len(new))))
+    repeat = index.doc > least
+    return (index.at(~repeat), index.at(repeat)) if repeat.any() else (index, None)
+
+
+def merged(a: SuffixArray, b: SuffixArray) -> SuffixArray:
+    """Two arrays in order as one; a stable sort of two sorted runs is their merge."""
+    keys = np.concatenate((a.keys, b.keys))
+    order = np.argsort(keys, kind="stable")
+    return SuffixArray(keys[order], *(np.concatenate((getattr(a, f), getattr(b, f)))[order] for f in ("doc", "entry", "window")))
+
+
+class IndexFamily:
+    """Levels of geometrically growing size, each a suffix array; what merges find is kept in ``found``."""
+
+    def __init__(self) -> None:
+        self.levels: list[SuffixArray | None] = []
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _settle(self, index: SuffixArray) -> SuffixArray:
+        kept, repeats = scanned(index)
+        if repeats is not None:
+            self.found.append((repeats.entry, repeats.window))
+        return kept
+
+    def add(self, batch: SuffixArray) -> None:
+        """A batch meets the level of its size, the two the next one, and so on."""
+        batch, at = self._settle(batch), 0
+        while at < len(self.levels) and (level := self.levels[at]) is not None:
+            self.levels[at] = None
+            batch, at = self._settle(merged(level, batch)), at + 1
+        if at == len(self.levels):
+            self.levels.append(None)
+        self.levels[at] = batch
+
+    def close(self) -> None:
+        """The levels that are left meet each other, smaller ones first."""
+        whole = None
+        for at, level in enumerate(self.levels):
+            if level is not None:
+                whole = level if whole is None else self._settle(merged(level, whole))
+            self.levels[at] = None
+        self.levels = [whole]
+
+
+def shard_repeats(rows: list[dict], size: int) -> dict[str, np.ndarray]:
+    """doc_id, tie, start and count of the repeated windows of one shard, consecutive ones together."""
+    family = IndexFamily()
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint32)] * 2]
+    docs, n_places, ties, starts = [], [], [], []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_entries = waiting = 0
+
+    def flush() -> None:
+        nonlocal n_entries, waiting
+        if held:
+            doc, count, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            family.add(suffix_array(text, doc, count.astype(np.int64), n_entries, size))
+            n_entries, waiting = n_entries + len(doc), 0
+            held.clear()
+
+    for row in rows:
+        if row["settled"]:
+            parts.append(_unpack(row["settled"], "<i8", "<i8", "<u4", "<u4"))
+        if row["runs"]:
+            doc, count, n, tie, start, text = _unpack(row["runs"], "<i8", "<u4", "<u4", "<i8", "<u4", "u1")
+            docs.append(doc)
+            n_places.append(n)
+            ties.append(tie)
+            starts.append(start)
+            held.append((doc, count, text))
+            waiting += int(count.sum())
+            if waiting >= BATCH:
+                flush()
+    flush()
+    family.close()
+    if family.found:
+        entry, window = (np.concatenate(x).astype(np.int64) for x in zip(*family.found, strict=True))
+        order = np.lexsort((window, entry))
+        entry, window = entry[order], window[order]
+        first = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (window[1:] != window[:-1] + 1)))
+        count = np.diff(np.append(first, len(entry)))
+        entry, window = entry[first], window[first]
+        doc, n, tie, start = (np.concatenate(x) for x in (docs, n_places, ties, starts))
+        n = n.astype(np.int64)
+        place = spread((np.cumsum(n) - n)[entry], n[entry])  # every place of each entry
+        again = np.repeat(np.arange(len(entry)), n[entry])
+        parts.append([doc[entry[again]], tie[place], start[place] + window[again].astype(np.uint32), count[again].astype(np.uint32)])
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return {"doc_id": columns[0], "tie": columns[1], "start": columns[2].astype(np.int32), "count": columns[3].astype(np.int32)}
+
+
+def repeated_bytes(work: Workspace, keyed_docs: DataFrame, size: int, seed: int, shard_bytes: int) -> DataFrame:
+    """doc_id, tie, start, count: windows of each text that also start in a document with a lesser doc_id."""
+    shards = max(1, -(-text_bytes(keyed_docs) // shard_bytes))
+    # a run is some 20 windows; a seed that alone would fill a shard is opened
+    heavy = heavy_seeds(keyed_docs, size, seed, shard_bytes // 16) if shards > 1 else np.zeros(0, U64)
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table(shard_repeats(table.select(["runs", "settled"]).to_pylist(), size))
+
+    return work.write(shard_rows(keyed_docs, size, seed, shards, heavy).groupBy("shard").applyInArrow(run, FOUND), "found")
 
-from .common import byte_units
-from .repeats import Window, remove_repeats
 
-COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 
 
-def _bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_units(data), at
+def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    off = np.concatenate(([False], gone, [False]))
+    opens, closes = np.flatnonzero(off[1:-1] & ~off[:-2]), np.flatnonzero(off[1:-1] & ~off[2:]) + 1
+    edges = at[1:-1]  # a span ends with its row
+    both = edges[(edges > 0) & (edges < len(gone))]
+    both = both[gone[both] & gone[both - 1]]
+    opens, closes = np.union1d(opens, both), np.union1d(closes, both)
+    row = np.searchsorted(at, opens, "right") - 1
+    n_spans = np.bincount(row, minlength=rows.num_rows)
+    spans = pa.StructArray.from_arrays([pa.array(opens - at[row]), pa.array(closes - opens)], ["start", "size"])
+    kept_at = np.append(0, np.cumsum(~gone))[at]
+    kept = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(kept_at.astype(np.int32)), pa.py_buffer(data[~gone])])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_spans)).astype(np.int32)), spans).cast(_SPANS)
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(kept_at)), lists, kept], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, gone: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    removed, spans, kept = [], [], []
-    for k in range(rows.num_rows):
-        off = gone[at[k] : at[k + 1]]
-        removed.append(int(off.sum()))
-        spans.append(int(off[0]) + int((off[1:] & ~off[:-1]).sum()) if len(off) else 0)
-        kept.append(hashlib.sha256(data[at[k] : at[k + 1]][~off].tobytes()).hexdigest())
-    numbers = [pa.array(x, pa.int64()) for x in (np.diff(at).tolist(), removed, spans)]
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), *numbers, pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, size: int = 50, seed: int = 12, shard_bytes: int = 1 << 20) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the remaining bytes) for each row."""
+    keyed_docs = keyed(docs)
+    found = repeated_bytes(Workspace(spark, "bytes"), keyed_docs, size, seed, shard_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in blocks(batches):
+            yield _finish(rows, data, at, covered(rows.column("places"), at, size))
 
-def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, size: int = 50, seed: int = 16) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    return remove_repeats(spark, docs, "bytes", Window(_bytes, size, seed), COLUMNS, _finish)
+    return with_places(keyed_docs, found).mapInArrow(run, COLUMNS)
