@@ -31,33 +31,65 @@ def test_counts_against_the_library(spark, exact):
     assert token_counts.token_counts(cases.documents(spark, []), PATH, 512).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(max_size=40) | st.text(alphabet="ab 'lsre\n\t<|endoftext|>é日", max_size=60))
+ODD = ["a", "b", " ", "  ", "'", "l", "s", "re", "ve", "\n", "\t", "<|endoftext|>", "<|", "é", "日", "\x85", "\xa0", "\u3000", "!", "1", "²", "ª", "\x1c", "the ", "ing", "…", "€", "\u2028", "😀"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=30) | st.lists(st.sampled_from(ODD), max_size=14).map("".join))
 def test_every_prefix(text):
     enc = token_counts.encoder(PATH)
-    table = token_counts.PrefixCounts(enc, text)
+    table = token_counts.PrefixCounts(enc.table(text))
     ids = lambda t: enc.exact.encode(t, add_special_tokens=False).ids
-    assert table.total == len(ids(text))
-    assert table.ids.tolist() == ids(text)
-    if "<|" not in text:
-        for k in range(len(text) + 1):
-            assert table.at(len(text[:k].encode())) == len(ids(text[:k]))
+    assert table.total == len(ids(text)) == enc.total(enc.table(text))
+    assert enc.ids(text).tolist() == ids(text)
+    for k in range(len(text) + 1):
+        assert table.at(len(text[:k].encode())) == len(ids(text[:k]))
+
+
+def test_long_pieces(exact):
+    enc = token_counts.encoder(PATH)
+    for text in ("x" * 5000, "ab" * 3000, " " * 4000 + "x", "=-" * 2000, "日本" * 1500):
+        assert token_counts.PrefixCounts(enc.table(text)).total == len(exact.encode(text, add_special_tokens=False).ids)
 
 
-def test_budget_questions():
+def test_budget_questions(exact):
     enc = token_counts.encoder(PATH)
     text = cases.texts()[5]
-    table = token_counts.PrefixCounts(enc, text)
+    table = token_counts.PrefixCounts(enc.table(text))
+    size = lambda t: len(exact.encode(t, add_special_tokens=False).ids)
     for budget in (0, 1, 7, table.total - 1, table.total, table.total + 5):
         cut = table.truncation(budget)
         assert table.fits(budget) == (table.total <= budget)
-        assert cut == enc.size[enc.ids(text)[:budget]].sum()
-    assert table.between(0, len(text.encode())) == table.total
+        prefix = text.encode()[:cut].decode()
+        assert size(prefix) <= budget
+        assert all(size(text[:k]) > budget for k in range(len(prefix) + 1, min(len(text), len(prefix) + 30) + 1))
 
 
-def test_stored_tables(spark):
-    got = token_counts.token_counts(cases.documents(spark), PATH, 512, prefixes=True).collect()
-    assert all(sum(r.token_bytes) == r.n_bytes and len(r.token_bytes) == r.n_tokens for r in got)
+def test_stored_tables(spark, exact):
+    """The tables as stored: one step for each byte, counts of all prefixes in their running sums."""
+    got = token_counts.prefix_tables(cases.documents(spark), PATH).collect()
+    made = {r[0]: r[1] or "" for r in cases.rows() if r[0] is not None and r[0] != 8}
+    for r in got:
+        if r.doc_id in made:
+            text = made[r.doc_id]
+            table = token_counts.PrefixCounts(np.frombuffer(r.steps, np.int8))
+            assert len(r.steps) == len(text.encode())
+            for k in {0, len(text) // 3, len(text) // 2, len(text)}:
+                assert table.at(len(text[:k].encode())) == len(exact.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_counts_come_from_the_stored_tables(spark, monkeypatch):
+    made = [(1, "one two three", "en", "s", 0)]
+    real = token_counts.prefix_tables
+    monkeypatch.setattr(token_counts, "prefix_tables", lambda docs, path: real(docs, path).selectExpr("doc_id", "unhex('0102') as steps"))
+    assert [tuple(r)[:3] for r in token_counts.token_counts(cases.documents(spark, made), PATH, 512).collect()] == [(1, 2, 3)]
+
+
+def test_text_of_over_a_megabyte(spark, exact):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice(["ka", "lo", "mi", "nu"]) for _ in range(rng.randint(1, 5))) for _ in range(200_000))
+    got = token_counts.token_counts(cases.documents(spark, [(1, text, "en", "s", 0), (2, "b", "en", "s", 0)]), PATH, 512).collect()
+    assert len(text) > 1 << 20 and {r.doc_id: r.n_tokens for r in got} == {1: len(exact.encode(text, add_special_tokens=False).ids), 2: 1}
 
 
 def test_packing_round_trip(spark, exact):

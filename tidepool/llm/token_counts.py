@@ -1,42 +1,59 @@
 """Token counts by prefix dynamic programming.
 
-A byte-level BPE first splits a text into pieces and then merges inside each piece.  Two facts make
-exact counts of *prefixes* cheap:
-
-* any leading run of tokens of an encoding is itself the encoding of the bytes that it covers, so the
-  count at each token's end is its ordinal;
-* inside a piece, the encoding of the prefix of i bytes is the encoding of a shorter prefix and one
-  token t more, for the one t ending there that merges with nothing in the token before it.  That is a
-  dynamic program over the bytes of the piece: ``count[i] = count[i - len(t)] + 1``.
-
-``PrefixCounts`` holds a text's table and answers how many tokens any prefix has, how much fits into a
-budget and whether the whole fits, without encoding again.  ``token_counts`` builds the tables where
-the texts lie, in one pass without a shuffle, and answers from them.
-
-Null and empty texts have no tokens.  Special strings inside texts count as the library's default has
-it: as one special token.  Repeated rows are counted each.  An empty table gives an empty result.
+A byte-level BPE splits a text into pieces and merges inside each piece.  The encoding of the first i bytes of a
+piece is the encoding of fewer bytes and one token t more, for the one t ending at i that merges with nothing in
+the token before it.  That is a dynamic program over the bytes of the piece: ``count[i] = count[i - len(t)] + 1``.
+It runs once for each different piece of a worker.
+
+``prefix_tables`` strings the pieces' tables together to a table of the text: how many tokens every prefix has
+that ends between characters, the whole text among them.  Where a prefix would be split into other pieces than
+the text (inside a special string, a contraction, or at the end of white space), it is counted as it would be
+split.  A table is one small integer a byte, the difference to the prefix before; tables are written once, and
+``token_counts`` and ``PrefixCounts`` answer from them how many tokens a text or any prefix has, whether it fits
+into a budget and where it would be cut, without encoding again.
+
+Null and empty texts have no tokens.  Special strings inside texts count as the library's default has it: as one
+special token.  Repeated rows are counted each.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import json
+import operator
 import re
-from collections.abc import Iterator, Sequence
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import Workspace, blocks, texts_of
 
-#: Beyond these characters the two libraries' tables of letters might differ, so the one whose counts are asked for reads the text.
+#: Beyond these characters two libraries' tables of letters might differ, so the one whose counts are asked for splits the text.
 _UNUSUAL = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
+#: Characters of a class below U+0250; the further usual ones are punctuation.
+_CLASS = {k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+_BLANK = "\\t-\\r \x85\xa0"
+_L, _N, _S = _CLASS["L"], _CLASS["N"], _BLANK
+#: The split of usual texts.  A run of white space leaves its last character to what follows.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: White space as Unicode has it, two characters or more before something else.
+_WHITE = _BLANK + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = re.compile(f"[{_WHITE}]{{2,}}(?=[^{_WHITE}])")
+#: Contractions of which a prefix is split into two pieces.
+_LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
+#: Stands in a table at bytes inside a character.
+INSIDE = -128
+#: Pieces that a worker remembers of late and from before, pairs of tokens, and bytes of the longest piece.
+_REMEMBERED, _PAIRS, _SHORT = 150_000, 200_000, 64
 
 
 class Encoder:
-    """Ids as the library for a .json vocabulary gives them, and tokens' bytes."""
+    """Ids as the library for a .json vocabulary gives them, and counts of all prefixes."""
 
     def __init__(self, json_path: str):
         import tiktoken
@@ -51,31 +68,129 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
-        size = np.zeros(max(*ranks.values(), *self.special.values()) + 1, np.int64)
-        size[list(ranks.values())] = [len(x) for x in ranks]
-        for text, i in self.special.items():
-            size[i] = len(text.encode())
-        #: Bytes that each token covers, by id.
-        self.size = size
         self.ranks = ranks
+        #: Bytes of the longest token that ends with given bytes (two, or one at a piece's start).
+        self.longest: dict[bytes, int] = {}
+        for token in ranks:
+            self.longest[token[-2:]] = max(len(token), self.longest.get(token[-2:], 0))
+        most = max(map(len, ranks))
+        self.step = np.dtype(np.int8 if most < 127 + 2 else np.int16)
+        self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self._apart: dict[tuple[bytes, bytes], bool] = {}
+        self._tables: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=self.allowed)
 
-    def pieces(self, text: str) -> list[int]:
-        """Byte offsets at which the pieces of a text begin, its end last; a special string is a piece."""
-        from public_tokenizers import PATTERN
-        import regex
-
-        out, at = [], 0
-        cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        for part in cut.split(text) if cut else [text]:
-            for piece in [part] if part in self.special else regex.findall(PATTERN, part):
-                out.append(at)
-                at += len(piece.encode())
-        return [*out, at]
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        if _UNUSUAL.search(text):
+            return [text[a:b] for _, (a, b) in self.exact.pre_tokenizer.pre_tokenize_str(text)]
+        return _PIECES.findall(text)
+
+    def _stay_apart(self, pair: tuple[bytes, bytes]) -> bool:
+        """Whether the encoding of two tokens together is these two."""
+        if len(self._apart) > _PAIRS:
+            self._apart.clear()
+        left, right = pair
+        said = self._apart[pair] = self.fast._encode_single_piece(left + right) == [self.ranks[left], self.ranks[right]]
+        return said
+
+    def counts(self, piece: bytes) -> list[int]:
+        """Tokens of the first 0, 1, ... bytes of a piece, by dynamic programming over its bytes."""
+        count, last = [0], [b""]
+        ranks, longest, apart = self.ranks, self.longest, self._apart
+        for i in range(1, len(piece) + 1):
+            size = min(i, longest.get(piece[max(0, i - 2) : i], 1))
+            while size > 1:
+                token = piece[i - size : i]
+                if token in ranks:
+                    if size == i:
+                        break
+                    pair = (last[i - size], token)
+                    if (said := apart.get(pair)) is None:
+                        said = self._stay_apart(pair)
+                    if said:
+                        break
+                size -= 1
+            count.append(count[i - size] + 1)  # the one byte alone, if nothing longer fits
+            last.append(piece[i - size : i])
+        return count
+
+    def _table(self, piece: str) -> bytes:
+        """The steps of a piece's table: at each character's end the difference to the one before."""
+        if (held := self._tables.get(piece)) is not None:
+            return held
+        held = self._before.get(piece)
+        if held is None:
+            raw = piece.encode()
+            count = self.counts(raw)
+            if piece in _LONG_CONTRACTIONS:
+                count[2] = 2
+            if len(raw) == len(piece):  # each byte is a character
+                held = array.array(self.step.char, map(operator.sub, count[1:], count)).tobytes()
+            else:
+                held = self._steps(raw, np.array(count)).tobytes()
+        if len(piece) <= _SHORT:
+            if len(self._tables) >= _REMEMBERED:
+                self._before, self._tables = self._tables, {}
+            self._tables[piece] = held
+        return held
+
+    def _steps(self, raw: bytes, count: np.ndarray) -> np.ndarray:
+        """count of 0, 1, ... bytes as differences from one character's end to the next."""
+        starts = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        ends = np.flatnonzero(np.append(starts[1:], True)) if raw else np.zeros(0, np.int64)
+        out = np.full(len(raw), INSIDE, self.step)
+        out[ends] = np.diff(count[np.append(0, ends + 1)])
+        return out
+
+    def _plain(self, text: str) -> np.ndarray:
+        """The table of a text without special strings."""
+        held = self._tables.get
+        parts = [held(p) or self._table(p) for p in self.pieces(text)]
+        steps = np.frombuffer(b"".join(parts), self.step)
+        for run in _RUNS.finditer(text):
+            # a prefix that ends with the run has it as one piece, the whole text leaves the last character to the next one
+            blanks = run.group()
+            more = self.total(self._table(blanks)) - self.total(self._table(blanks[:-1])) - self.total(self._table(blanks[-1]))
+            if more:
+                steps = steps if steps.flags.writeable else steps.copy()
+                end = len(text[: run.end()].encode())
+                steps[end - 1] += more
+                at = end
+                while steps[at] == INSIDE:
+                    at += 1
+                steps[at] -= more
+        return steps
+
+    @staticmethod
+    def total(steps: bytes | np.ndarray, step: np.dtype = np.dtype(np.int8)) -> int:
+        """Tokens of all that a table covers."""
+        held = np.frombuffer(steps, step) if isinstance(steps, bytes) else steps
+        return int(held.sum(dtype=np.int64)) - INSIDE * int((held == INSIDE).sum())
+
+    def table(self, text: str) -> np.ndarray:
+        """The table of a text: at each byte that ends a character, how many tokens more the prefix to there has than the one before."""
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        out, before, open_text = [], 0, ""
+        for part in self._cut.split(text):
+            if part in self.special:
+                # a prefix that ends inside is ordinary text, which may go on from the last piece before
+                last = self.pieces(open_text)[-1:] if open_text else []
+                from_here = last[0] if last else ""
+                own = self.total(self._plain(from_here))
+                count = [0] + [self.total(self._plain(from_here + part[:k])) - own for k in range(1, len(part))] + [1]
+                out.append(self._steps(part.encode(), np.array([count[len(part.encode()[:k].decode(errors="ignore"))] for k in range(len(part.encode()) + 1)])))
+                open_text = ""
+            elif part:
+                out.append(self._plain(part))
+                open_text = part
+        return np.concatenate(out) if out else np.zeros(0, self.step)
 
 
 @functools.lru_cache(2)
@@ -85,100 +200,63 @@ def encoder(json_path: str) -> Encoder:
 
 
 class PrefixCounts:
-    """The exact token count of every prefix of one text."""
+    """Answers from one text's table."""
 
-    def __init__(self, enc: Encoder, text: str, ids: np.ndarray | None = None):
-        self.enc, self.text = enc, text
-        self.ids = enc.ids(text) if ids is None else ids
-        #: Byte offset of each token's end: the prefix that ends there has as many tokens as its ordinal.
-        self.ends = np.cumsum(enc.size[self.ids]) if len(self.ids) else np.zeros(0, np.int64)
-        self._starts: np.ndarray | None = None
+    def __init__(self, steps: np.ndarray):
+        #: Bytes of each prefix that ends between characters, and its tokens.
+        self.ends = np.flatnonzero(steps != INSIDE) + 1
+        self.counts = np.cumsum(steps[self.ends - 1], dtype=np.int64)
 
     @property
     def total(self) -> int:
-        return len(self.ends)
+        return int(self.counts[-1]) if len(self.counts) else 0
 
     def fits(self, budget: int) -> bool:
         return self.total <= budget
 
+    def at(self, n_bytes: int) -> int:
+        """Tokens of the text's first n_bytes bytes; inside a character, of the whole ones."""
+        k = int(np.searchsorted(self.ends, n_bytes, "right"))
+        return int(self.counts[k - 1]) if k else 0
+
     def truncation(self, budget: int) -> int:
-        """Bytes of the longest run of whole leading tokens with at most budget tokens."""
-        return int(self.ends[min(budget, self.total) - 1]) if budget > 0 and self.total else 0
+        """Bytes of the longest prefix with at most budget tokens."""
+        fitting = np.flatnonzero(self.counts <= budget)
+        return int(self.ends[fitting[-1]]) if len(fitting) else 0
 
-    def between(self, first: int, last: int) -> int:
-        """Tokens of the text that end after byte first and at or before byte last."""
-        return int(np.searchsorted(self.ends, last, "right") - np.searchsorted(self.ends, first, "right"))
 
-    def at(self, n_bytes: int) -> int:
-        """Tokens of the text's first n_bytes bytes, which must end between characters."""
-        if n_bytes <= 0:
-            return 0
-        if self._starts is None:
-            self._starts = np.array(self.enc.pieces(self.text))
-        start = int(self._starts[np.searchsorted(self._starts, n_bytes, "left") - 1])
-        before = int(np.searchsorted(self.ends, start, "right"))
-        rest = self.text.encode()[start:n_bytes]
-        if rest.decode() in self.enc.special:
-            return before + 1
-        return before + piece_counts(self.enc, rest)[-1]
-
-
-def piece_counts(enc: Encoder, piece: bytes) -> list[int]:
-    """Tokens of the first 0, 1, ... bytes of a piece, by dynamic programming over its bytes."""
-    count, last = [0], [b""]
-    longest = 128
-    for i in range(1, len(piece) + 1):
-        for size in range(min(i, longest), 0, -1):
-            token, before = piece[i - size : i], last[i - size]
-            if token in enc.ranks and (not before or _stay_apart(enc, before, token)):
-                count.append(count[i - size] + 1)
-                last.append(token)
-                break
-    return count
-
-
-def _stay_apart(enc: Encoder, left: bytes, right: bytes) -> bool:
-    """Whether the encoding of left and right together is these two tokens."""
-    merged = enc._apart = getattr(enc, "_apart", {})
-    if (left, right) not in merged:
-        if len(merged) > 200_000:
-            merged.clear()
-        merged[left, right] = _merge(enc, left + right) == [left, right]
-    return merged[left, right]
-
-
-def _merge(enc: Encoder, piece: bytes) -> list[bytes]:
-    """The pair of lowest rank merges, leftmost first, until none is left."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, i = min((enc.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
-
-
-def token_counts(docs: DataFrame, json_path: str, limit: int, prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) and kept_bytes (bytes of the longest
-    run of whole leading tokens within limit) for each row; with prefixes also token_bytes, the table itself
-    as the bytes that each token covers.  The table of a text is dropped once it has answered, so memory
-    holds one text's at a time."""
+def prefix_tables(docs: DataFrame, json_path: str) -> DataFrame:
+    """doc_id and steps, the table of each row's text, built where the text lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(json_path)
+        for rows, _, _ in blocks(batches):
+            steps = [enc.table(x.as_py()).tobytes() for x in rows.column("text")]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(steps, pa.binary())], ["doc_id", "steps"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, steps binary")
+
+
+def answered(tables: DataFrame, json_path: str, answers: Callable[[PrefixCounts], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """doc_id and what ``answers`` says to each stored table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = encoder(json_path).step
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            tables = (PrefixCounts(enc, x) for x in texts)
-            rows: Sequence[tuple] = [
-                (int(t.ends[-1]) if t.total else 0, t.total, not t.fits(limit), t.truncation(limit), np.diff(t.ends, prepend=0).tolist() if prefixes else None)
-                for t in tables
-            ]
-            columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns[: 4 + prefixes], kinds, strict=False))],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "kept_bytes", "token_bytes"][: 5 + prefixes],
-            )
-
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, kept_bytes long" + ", token_bytes array<int>" * prefixes
-    return texts_of(docs).mapInArrow(run, schema)
+            said = [answers(PrefixCounts(np.frombuffer(x.as_buffer(), step))) for x in batch.column("steps")]
+            lists = [list(c) for c in zip(*said, strict=True)] or [[]] * len(columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(lists, columns.values(), strict=True))], ["doc_id", *columns])
+
+    return tables.mapInArrow(run, "doc_id long, " + schema)
+
+
+def token_counts(docs: DataFrame, json_path: str, limit: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) and kept_bytes (bytes of the longest prefix
+    with at most limit tokens) for each row, read off the stored tables."""
+    tables = Workspace(docs.sparkSession, "tokens").write(prefix_tables(docs, json_path), "prefixes")
+
+    def answers(table: PrefixCounts) -> tuple:
+        return int(table.ends[-1]) if len(table.ends) else 0, table.total, not table.fits(limit), table.truncation(limit)
+
+    kinds = {"n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "kept_bytes": pa.int64()}
+    return answered(tables, json_path, answers, kinds, "n_bytes long, n_tokens long, over_limit boolean, kept_bytes long")
