@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tidepool.llm import line_dedup
 
@@ -91,3 +92,38 @@ def test_leaf_groups():
     tokens = np.array([[1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [9, 9, 9, 9, 9], [1, 2, 3, 7, 8]], np.uint32)
     got = line_dedup.group_leaf(np.array([10, 11, 12, 13]), tokens, 0.8)
     assert got.tolist() == [10, 10, 12, 13]
+
+
+def plain_groups(lines, tokens, similarity):
+    """group_leaf as its rule says, each line with every template."""
+    found = []
+    out = []
+    for line, own in zip(lines.tolist(), tokens.tolist(), strict=True):
+        scores = [sum(a == b for a, b in zip(t[1], own, strict=True)) for t in found]
+        best = max(scores, default=-1)
+        if best >= similarity * len(own):
+            t = found[scores.index(best)]
+            t[1] = [a if a == b else None for a, b in zip(t[1], own, strict=True)]
+            out.append(t[0])
+        else:
+            found.append([line, own])
+            out.append(line)
+    return out
+
+
+def test_groups_of_large_leaves_and_ties():
+    rng = np.random.default_rng(3)
+    for size, n, values in ((4, 200, 3), (7, 300, 3), (10, 300, 2), (15, 200, 2), (5, 400, 6)):
+        tokens = rng.integers(0, values, (n, size)).astype(np.uint32)
+        lines = np.arange(n)
+        for similarity in (0.6, 0.8, 1.0):
+            assert line_dedup.group_leaf(lines, tokens, similarity).tolist() == plain_groups(lines, tokens, similarity)
+
+
+@pytest.mark.parametrize("size", range(1, 11))
+def test_footers_of_any_size_go_and_copies_stay(spark, size):
+    footer = "\n".join(f"footer line {'abcdefghij'[k] * 3} here" for k in range(size))
+    made = [(k, f"{'x' * (k + 1)} one\n{'y' * (k + 1)} two\n{footer}", "en", "s", 0) for k in range(12)]
+    made += [(100 + k, "first of all copies\nsecond of all copies\nthird of all copies", "en", "s", 0) for k in range(9)]
+    got = line_dedup.drop_lines(spark, cases.documents(spark, made)).collect()
+    assert all(r.n_dropped == (size if r.doc_id < 100 else 0) for r in got)

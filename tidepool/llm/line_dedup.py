@@ -27,6 +27,7 @@ like others.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,19 +91,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def placed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """key, number, line, before, after for each line with words, its place among n_lines of them, and the two lines on each side."""
+    """doc, key, number, line, before, after for each line with words, its place among n_lines of them, and the two lines on each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches):
             lines = Lines(data, at, depth)
             before, after = lines.neighbours()
-            key = rows.column("key").to_numpy()[lines.row]
+            doc, key = (pa.array(rows.column(c).to_numpy()[lines.row]) for c in ("doc", "key"))
             place, n_lines = (pa.array(x.astype(np.int32)) for x in lines.places())
-            columns = [pa.array(key), pa.array(lines.number.astype(np.int32)), _signed(lines.line), _signed(before), _signed(after)]
+            columns = [doc, key, pa.array(lines.number.astype(np.int32)), _signed(lines.line), _signed(before), _signed(after)]
             columns += [place, n_lines, _signed(_pairs(before, 1)), _signed(_pairs(after, -1))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "number", "line", "before", "after", "place", "n_lines", "before_two", "after_two"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "key", "number", "line", "before", "after", "place", "n_lines", "before_two", "after_two"])
 
-    return docs.mapInArrow(run, "key long, number int, line long, before long, after long, place int, n_lines int, before_two long, after_two long")
+    return docs.mapInArrow(run, "doc long, key long, number int, line long, before long, after long, place int, n_lines int, before_two long, after_two long")
 
 
 def distinct_lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -123,25 +124,33 @@ def distinct_lines(docs: DataFrame, depth: int) -> DataFrame:
 def group_leaf(lines: np.ndarray, tokens: np.ndarray, similarity: float) -> np.ndarray:
     """The template of each line of a leaf: the first line of its group, lines in order of fingerprint.
 
-    A line joins the template with which it agrees in the most fixed places, if these are at least
-    similarity of all places; places in which it differs become variable.
+    A line joins the template with which it agrees in the most fixed places, the first such one, if these are at
+    least similarity of all places; places in which it differs become variable.  Of ``wide`` places it agrees with
+    such a template in one at least, so only templates that have one of the line's rarest tokens in place are compared.
     """
-    out = np.empty_like(lines)
-    fixed = np.zeros_like(tokens)
-    alive = np.zeros(tokens.shape, bool)
-    name, n = np.empty_like(lines), 0
-    for i in range(len(lines)):
-        if n:
-            agree = ((fixed[:n] == tokens[i]) & alive[:n]).sum(axis=1)
+    n, size = tokens.shape
+    least = math.ceil(similarity * size - 1e-9)
+    wide = size - least + 1
+    name = np.empty_like(lines)
+    templates: list[int] = []  # the first line of each
+    alive = np.ones(tokens.shape, bool)
+    has: dict[tuple[int, int], list[int]] = {}
+    for i, own in enumerate(tokens.tolist()):
+        lists = [has.get(x, ()) for x in enumerate(own)]
+        near = sorted({t for held in sorted(lists, key=len)[:wide] for t in held}) if templates else []
+        if near:
+            rows = np.array([templates[t] for t in near])
+            agree = ((tokens[rows] == tokens[i]) & alive[rows]).sum(axis=1)
             k = int(agree.argmax())
-            if agree[k] >= similarity * tokens.shape[1]:
-                alive[k] &= fixed[k] == tokens[i]
-                out[i] = name[k]
+            if agree[k] >= similarity * size:
+                alive[rows[k]] &= tokens[rows[k]] == tokens[i]
+                name[i] = lines[rows[k]]
                 continue
-        fixed[n], alive[n], name[n] = tokens[i], True, lines[i]
-        out[i] = lines[i]
-        n += 1
-    return out
+        for x in enumerate(own):
+            has.setdefault(x, []).append(len(templates))
+        templates.append(i)
+        name[i] = lines[i]
+    return name
 
 
 def templates(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -188,12 +197,12 @@ def run_surroundings(frequent: DataFrame) -> DataFrame:
 
     frequent: the lines of placed_lines whose templates have enough documents, so runs are places without a gap.
     """
-    of_text = Window.partitionBy("key").orderBy("place")
+    of_text = Window.partitionBy(*_TEXT).orderBy("place")
     so_far, from_here = of_text.rowsBetween(Window.unboundedPreceding, 0), of_text.rowsBetween(0, Window.unboundedFollowing)
     before = F.col("place") - F.coalesce(F.lag("place").over(of_text), F.lit(-1))  # 0 for a repeated row
     after = F.coalesce(F.lead("place").over(of_text), F.col("n_lines")) - F.col("place")
     first, last = before.alias("from_last"), after.alias("to_next")
-    edges = frequent.select("key", "template", "place", "n_lines", "before_two", "after_two", first, last)
+    edges = frequent.select(*_TEXT, "template", "place", "n_lines", "before_two", "after_two", first, last)
     opens = (F.col("from_last") > 1) | (F.col("place") == 0)
     closes = (F.col("to_next") > 1) | (F.col("place") == F.col("n_lines") - 1)
     head = F.when(opens, F.struct(F.when(F.col("from_last") > 2, F.col("before_two")).alias("of")))
@@ -201,33 +210,38 @@ def run_surroundings(frequent: DataFrame) -> DataFrame:
     return edges.select("template", F.last(head, True).over(so_far)["of"].alias("head"), F.first(tail, True).over(from_here)["of"].alias("tail"))
 
 
-def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+#: What a text is known by: its doc_id, and a fingerprint that tells rows apart that share one.
+_TEXT = ("doc", "key")
+
+
+def _known(doc_id: str, text: str) -> list[Column]:
+    nobody = F.lit(-(1 << 63))  # rows without a doc_id are told apart by their text alone
+    return [F.coalesce(F.col(doc_id).cast("long"), nobody).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key")]
 
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 4, surroundings: float = 0.7) -> DataFrame:
-    """key (of doc_id and text) and gone (numbers of the lines to drop, from 0) for documents that have any."""
+    """doc, key and gone (numbers of the lines to drop, from 0) for documents that have any."""
     work = Workspace(spark, "lines")
-    keyed = texts_of(docs).withColumn("key", _key())
+    keyed = texts_of(docs).select("*", *_known("doc_id", "text"))
     lines = work.write(placed_lines(keyed, depth), "placed")
     named = work.write(templates(distinct_lines(keyed, depth), similarity), "templates")
     # the tree's names for lines: a line without another name is its own template
-    of_template = lines.join(named, "line", "left").select("key", "number", "before", "after", "place", "n_lines", "before_two", "after_two", F.coalesce("template", "line").alias("template"))
+    of_template = lines.join(named, "line", "left").select(*_TEXT, "number", "before", "after", "place", "n_lines", "before_two", "after_two", F.coalesce("template", "line").alias("template"))
     of_template = work.write(of_template, "named")
     often = work.write(of_template.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template"), "often")
     frequent = work.write(of_template.join(often, "template", "left_semi"), "frequent")
 
-    def different(rows: DataFrame, column: str, name: str) -> DataFrame:
-        pairs = rows.groupBy("template", column).agg(F.lit(1).alias("one"))
-        return pairs.groupBy("template").agg(F.count(column).alias(name))
+    def different(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        pairs = rows.groupBy("template", *columns).agg(F.lit(1).alias("one"))
+        return pairs.groupBy("template").agg(F.count(columns[0]).alias(name))
 
-    n_docs = work.write(different(frequent, "key", "n_docs").filter(F.col("n_docs") >= min_docs), "documents")
-    counts = n_docs.join(different(frequent, "before", "n_before"), "template").join(different(frequent, "after", "n_after"), "template")
+    n_docs = work.write(different(frequent, "n_docs", *_TEXT).filter(F.col("n_docs") >= min_docs), "documents")
+    counts = n_docs.join(different(frequent, "n_before", "before"), "template").join(different(frequent, "n_after", "after"), "template")
     apart = counts.filter(F.greatest("n_before", "n_after") >= surroundings * F.col("n_docs")).select("template")
     around = work.write(run_surroundings(frequent.join(n_docs, "template", "left_semi")), "runs")
-    n_around = [different(around, c, "n").filter(F.col("n") >= min_docs).select("template") for c in ("head", "tail")]
+    n_around = [different(around, "n", c).filter(F.col("n") >= min_docs).select("template") for c in ("head", "tail")]
     recurring = work.write(apart.union(n_around[0]).union(n_around[1]).distinct(), "recurring")
-    gone = frequent.join(recurring, "template", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("number")).alias("gone"))
+    gone = frequent.join(recurring, "template", "left_semi").groupBy(*_TEXT).agg(F.sort_array(F.collect_set("number")).alias("gone"))
     return work.write(gone, "gone")
 
 
@@ -235,7 +249,9 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """row (all columns of docs), text (kept), n_lines and n_dropped; columns of docs may have any names."""
     split = F.split(F.coalesce("row.text", F.lit("")), "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get(F.col("parts"), i))
-    held = docs.select(F.struct("*").alias("row"), _key().alias("key")).join(gone, "key", "left").withColumn("parts", split)
+    whole = docs.select(F.struct("*").alias("row")).select("row", *_known("row.doc_id", "row.text"))
+    # a merge join at every size: what is gone grows with the documents
+    held = whole.join(gone.hint("merge"), list(_TEXT), "left").withColumn("parts", split)
     return held.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text"),

@@ -26,6 +26,10 @@ from .common import RollingHash, U64, spread, texts_of
 BLOCK = 8 << 20
 CHUNK = 1 << 20
 _PLACE = U64((1 << 24) - 1)
+#: Rows for shards: packed runs, and what is settled on the way and only passes through.
+SHARD = "shard long, runs binary, settled binary"
+FOUND = "doc_id long, tie long, start int, count int"
+_CODEC = pa.Codec("zstd", 3)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -48,15 +52,20 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Consecutive windows of one row that share a seed: first window, windows, the seed's fingerprint, and that of all units."""
+    """Consecutive windows of one row that share a seed: first window, windows, the seed's fingerprint and its place
+    after the first window's begin (less than 0: none), and the fingerprint of all units."""
 
     begin: np.ndarray
     count: np.ndarray
     seed: np.ndarray
+    anchor: np.ndarray
     whole: np.ndarray
 
     def at(self, k: np.ndarray) -> Runs:
-        return Runs(self.begin[k], self.count[k], self.seed[k], self.whole[k])
+        return Runs(*(getattr(self, f)[k] for f in _FIELDS))
+
+
+_FIELDS = {"begin": np.int64, "count": np.int64, "seed": U64, "anchor": np.int64, "whole": U64}
 
 
 #: The fingerprints of a block's units at some places.
@@ -72,7 +81,7 @@ def _chunk_runs(units: np.ndarray, inside: np.ndarray, size: int, seed: int) ->
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (inside[1:] != inside[:-1] + 1)))
     last = np.append(first[1:], len(inside)) - 1
     begin = inside[first]
-    return Runs(begin, last - first + 1, seeds[place[first]], prints.of(begin, inside[last] + size))
+    return Runs(begin, last - first + 1, seeds[place[first]], place[first] - begin, prints.of(begin, inside[last] + size))
 
 
 def seeded_runs(units: Units, at: np.ndarray, size: int, seed: int) -> Runs:
@@ -89,7 +98,7 @@ def seeded_runs(units: Units, at: np.ndarray, size: int, seed: int) -> Runs:
             runs = _chunk_runs(units(slice(a, b)), inside, size, seed)
             runs.begin += a
             parts.append(runs)
-    return Runs(*(np.concatenate([getattr(p, f) for p in parts]) if parts else np.zeros(0, t) for f, t in (("begin", np.int64), ("count", np.int64), ("seed", U64), ("whole", U64))))
+    return Runs(*(np.concatenate([getattr(p, f) for p in parts]) if parts else np.zeros(0, t) for f, t in _FIELDS.items()))
 
 
 def opened(runs: Runs, units: Units, size: int, heavy: np.ndarray) -> Runs:
@@ -108,8 +117,9 @@ def opened(runs: Runs, units: Units, size: int, heavy: np.ndarray) -> Runs:
         every.append(spread(begin, count))
         own.append(prints.of(first, first + size))
     every, own = np.concatenate(every), np.concatenate(own)
-    single = Runs(every, np.ones(len(every), np.int64), own, own)
-    return Runs(*(np.concatenate((getattr(rest, f), getattr(single, f))) for f in ("begin", "count", "seed", "whole")))
+    ones = np.ones(len(every), np.int64)
+    single = Runs(every, ones, own, -ones, own)
+    return Runs(*(np.concatenate((getattr(rest, f), getattr(single, f))) for f in _FIELDS))
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -148,3 +158,33 @@ def batches_of(columns: dict[str, np.ndarray], most: int = 100_000) -> Iterator[
     n = len(next(iter(columns.values())))
     for a in range(0, n, most):
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + most]) for c in columns.values()], list(columns))
+
+
+# ---------------------------------------------------------------- rows for shards
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns as one compressed string: the sizes of all, then their bytes."""
+    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(c.tobytes() for c in columns)])
+    return np.array([len(raw)], "<i8").tobytes() + _CODEC.compress(raw, asbytes=True)
+
+
+def unpacked(held: bytes, *types: str) -> list[np.ndarray]:
+    raw = _CODEC.decompress(memoryview(held)[8:], int(np.frombuffer(held, "<i8", 1)[0]), asbytes=True)
+    at, out = 8 * len(types), []
+    for t, size in zip(types, np.frombuffer(raw, "<i8", len(types)).tolist(), strict=True):
+        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at))
+        at += size
+    return out
+
+
+def shard_row(shard: int, runs: bytes, settled: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([runs], pa.binary()), pa.array([settled], pa.binary())], ["shard", "runs", "settled"])
+
+
+def dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and what goes there, in its order."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield int(to[part[0]]), part

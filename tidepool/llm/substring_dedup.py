@@ -3,8 +3,8 @@
 A window of ``size`` words is an edge, from the node of its first ``size - 1`` words to the node of its last ones;
 the fingerprints of these two nodes name it (128 bits).
 
-1. Places that may repeat: every window picks a seed among its words, and windows go on only if another document
-   has their seed (an aggregate and a semi-join of seeds).  This loses nothing: equal windows have equal seeds.
+1. ``shared_places``: every window picks a seed among its words, and windows go on only if another document has
+   their seed.  This loses nothing: equal windows have equal seeds.
 2. ``edges``: one row for each such window, and ``repeated_edges``: those that two documents have, with the
    coordinates of the least document as their source.
 3. ``links``: nodes with one repeated edge in and one out, which lie next to each other at the source, join the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import RollingHash, U64, Workspace, _mixed, blocks, spread, word_spans, word_units
-from .repeats import CHUNK, batches_of, covered, keyed, listed, seeded_runs, with_places
+from .repeats import BLOCK, CHUNK, FOUND, SHARD, batches_of, covered, dealt, keyed, listed, packed, seeded_runs, shard_row, text_bytes, unpacked, with_places
 
 COLUMNS = "doc_id long, n_words long, n_removed long, kept string"
 EDGE = "from_node long, to_node long, doc_id long, tie long, start int"
@@ -61,25 +61,59 @@ def _fingerprints(units: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
     return out
 
 
-def seeds(keyed_docs: DataFrame, size: int, seed: int, salt: int) -> DataFrame:
-    """seed, doc_id, tie, start, count for each run of windows that share a seed."""
+def _met(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by seed and document, and in that order where each seed begins and whether two documents have it."""
+    order = np.lexsort((doc, seed))
+    first = np.flatnonzero(np.append(True, seed[order[1:]] != seed[order[:-1]])[: len(order)])
+    last = np.append(first[1:], len(order)) - 1
+    return order, first, doc[order[first]] < doc[order[last]]
+
+
+def seed_rows(keyed_docs: DataFrame, size: int, seed: int, salt: int, shards: int) -> DataFrame:
+    """For each run of windows its seed, document and place, for the shards; seeds that two documents of a block have
+    are settled there, and two entries without a place stand for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches):
+        for rows, data, at in blocks(batches, BLOCK):
             units, places = _words(data, at, salt)
             runs = seeded_runs(lambda k: units[k], places, size, seed)
+            if not len(runs.begin):
+                continue
             row = np.searchsorted(places, runs.begin, "right") - 1
             doc, tie = (rows.column(c).to_numpy()[row] for c in ("doc_id", "tie"))
-            yield from batches_of({"seed": runs.seed.view(np.int64), "doc_id": doc, "tie": tie, "start": (runs.begin - places[row]).astype(np.int32), "count": runs.count.astype(np.int32)})
-
-    return keyed_docs.filter("doc_id is not null").mapInArrow(run, "seed long, doc_id long, tie long, start int, count int")
+            start, count = (runs.begin - places[row]).astype("<u4"), runs.count.astype("<u4")
+            order, first, shared = _met(runs.seed, doc)
+            sizes = np.diff(np.append(first, len(order)))
+            every = np.repeat(shared, sizes)
+            done = order[every]
+            here = np.concatenate((order[~every], order[first[shared]], order[(first + sizes - 1)[shared]]))
+            asks = np.concatenate((np.ones(int((~every).sum()), bool), np.zeros(2 * int(shared.sum()), bool)))
+            if len(done):
+                yield shard_row(int(runs.seed[0] % U64(shards)), b"", packed(doc[done], tie[done], start[done], count[done]))
+            for shard, part in dealt((runs.seed[here] % U64(shards)).astype(np.int64)):
+                k = here[part]
+                yield shard_row(shard, packed(runs.seed[k], doc[k], tie[k], start[k], np.where(asks[part], count[k], 0).astype("<u4")), b"")
+
+    return keyed_docs.filter("doc_id is not null").mapInArrow(run, SHARD)
+
+
+def shared_places(work: Workspace, keyed_docs: DataFrame, size: int, seed: int, salt: int, shard_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id, tie, start, count: the runs whose seed another document has too."""
+    shards = max(1, -(-text_bytes(keyed_docs) // shard_bytes))
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["runs", "settled"]).to_pylist()
+        parts = [unpacked(r["settled"], "<i8", "<i8", "<u4", "<u4") for r in rows if r["settled"]]
+        if held := [unpacked(r["runs"], "<u8", "<i8", "<i8", "<u4", "<u4") for r in rows if r["runs"]]:
+            value, doc, tie, start, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, first, shared = _met(value, doc)
+            k = order[np.repeat(shared, np.diff(np.append(first, len(order))))]
+            k = k[count[k] > 0]
+            parts.append([doc[k], tie[k], start[k], count[k]])
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table({"doc_id": columns[0], "tie": columns[1], "start": columns[2].astype(np.int32), "count": columns[3].astype(np.int32)})
 
-def shared_places(keyed_docs: DataFrame, size: int, seed: int, salt: int) -> DataFrame:
-    """doc_id, tie, start, count: the runs whose seed another document has too."""
-    found = seeds(keyed_docs, size, seed, salt)
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("seed")
-    return found.join(shared, "seed", "left_semi").select("doc_id", "tie", "start", "count")
+    return work.write(seed_rows(keyed_docs, size, seed, salt, shards).groupBy("shard").applyInArrow(run, FOUND), "places")
 
 
 def edges(keyed_docs: DataFrame, places: DataFrame, size: int, salt: int) -> DataFrame:
@@ -192,10 +226,15 @@ def mismatches(work: Workspace, keyed_docs: DataFrame, found: DataFrame, size: i
 
 def repeated_words(work: Workspace, keyed_docs: DataFrame, size: int, seed: int, salt: int = 0) -> DataFrame:
     """Verified spans of the documents' words that stand in a lesser document."""
-    windows = work.write(edges(keyed_docs, shared_places(keyed_docs, size, seed, salt), size, salt), f"edges-{salt}")
-    graph = work.write(repeated_edges(windows), f"graph-{salt}")
-    paths = work.write(compacted(work, graph, links(graph)), f"paths-{salt}")
+    windows = work.write(edges(keyed_docs, shared_places(work, keyed_docs, size, seed, salt), size, salt), "edges")
+    work.drop("places")
+    graph = work.write(repeated_edges(windows), "graph")
+    paths = work.write(compacted(work, graph, links(graph)), "paths")
+    work.drop("graph")
+    work.drop("cells")
     found = work.write(spans(windows, paths), f"spans-{salt}")
+    work.drop("edges")
+    work.drop("paths")
     if mismatches(work, keyed_docs, found, size).isEmpty():
         return found
     return repeated_words(work, keyed_docs, size, seed, salt + 1)
@@ -215,7 +254,7 @@ def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, size: int) -
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def drop_repeated_words(spark: SparkSession, docs: DataFrame, size: int = 13, seed: int = 5) -> DataFrame:
+def drop_repeated_words(spark: SparkSession, docs: DataFrame, size: int = 13, seed: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, a space between them) for each row."""
     keyed_docs = keyed(docs)
     found = repeated_words(Workspace(spark, "words"), keyed_docs, size, seed)

@@ -2,9 +2,9 @@
 
 1. Every text is cut into runs of windows of ``size`` bytes that share a seed, and a run's bytes go to the shard
    that its seed names, so equal windows meet in one shard.  Equal runs of a block, compared byte by byte, go as
-   one: the least document stands for the others, whose windows are repeats.  Texts are never sampled: every
-   byte at which a window starts is a suffix of some shard.
-2. A shard takes its rows as batches.  A batch gets its suffix array: all its suffixes in the order of their
+   one: the least document stands for the others, whose windows are repeats.
+2. A shard takes its runs as batches, leaving out those whose seed no other document has: they can match nothing.
+   Nothing else is left out: of all other runs every byte at which a window starts is a suffix.  A batch gets its suffix array: all its suffixes in the order of their
    first ``size`` bytes.  It is merge-scanned against the level of its size: both are sorted, so one merge puts
    suffixes with a common prefix of ``size`` bytes next to each other; the least document keeps the string, and
    the suffixes of others are repeats and leave the index.  The two become a level of the next size, which meets
@@ -33,32 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Workspace, blocks, byte_units, spread
-from .repeats import BLOCK, Runs, batches_of, covered, keyed, opened, seeded_runs, text_bytes, with_places
+from .repeats import BLOCK, FOUND, SHARD, Runs, batches_of, covered, dealt, keyed, opened, packed, seeded_runs, shard_row, text_bytes, unpacked, with_places
 
-SHARD = "shard long, runs binary, settled binary"
-FOUND = "doc_id long, tie long, start int, count int"
 COLUMNS = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, size: long>>, kept binary"
-_CODEC = pa.Codec("zstd", 3)
 #: Suffixes of a batch, and of a sample's documents one in so many.
 BATCH = 1 << 18
 SAMPLED = 64
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns as one compressed string: the sizes of all, then their bytes."""
-    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(c.tobytes() for c in columns)])
-    return np.array([len(raw)], "<i8").tobytes() + _CODEC.compress(raw, asbytes=True)
-
-
-def _unpack(held: bytes, *types: str) -> list[np.ndarray]:
-    raw = _CODEC.decompress(memoryview(held)[8:], int(np.frombuffer(held, "<i8", 1)[0]), asbytes=True)
-    at, out = 8 * len(types), []
-    for t, size in zip(types, np.frombuffer(raw, "<i8", len(types)).tolist(), strict=True):
-        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at))
-        at += size
-    return out
-
-
 # ---------------------------------------------------------------- runs on their way to shards
 
 
@@ -92,7 +74,7 @@ def _groups(runs: Runs, doc: np.ndarray, data: np.ndarray, size: int) -> tuple[n
 
 
 def shard_rows(docs: DataFrame, size: int, seed: int, shards: int, heavy: np.ndarray) -> DataFrame:
-    """The runs of all documents for the shards: entries (document, windows, places), their places (tie, start) and bytes."""
+    """The runs of all documents for the shards: entries (document, windows, place of the seed, places), their places (tie, start) and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, BLOCK):
@@ -113,22 +95,17 @@ def shard_rows(docs: DataFrame, size: int, seed: int, shards: int, heavy: np.nda
             n_places = np.bincount(own[stays], minlength=len(own))[entry]
             to = ((runs.seed[entry] >> U64(20)) % U64(shards)).astype(np.int64)
             if len(settled):
-                yield _row(int(to[0]), b"", _pack(doc[row[settled]].astype("<i8"), ties[settled].astype("<i8"), start[settled], runs.count[settled].astype("<u4")))
-            by_shard = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(to[by_shard]) > 0))
-            for part in np.split(by_shard, cuts[1:]):
+                yield shard_row(int(to[0]), b"", packed(doc[row[settled]].astype("<i8"), ties[settled].astype("<i8"), start[settled], runs.count[settled].astype("<u4")))
+            for shard, part in dealt(to):
                 e, n = entry[part], n_places[part]
                 held = spread(e, n)
                 text = data[spread(runs.begin[e], runs.count[e] + size - 1)]
-                yield _row(int(to[part[0]]), _pack(doc[row[e]].astype("<i8"), runs.count[e].astype("<u4"), n.astype("<u4"), ties[held].astype("<i8"), start[held], text), b"")
+                own = (doc[row[e]].astype("<i8"), runs.count[e].astype("<u4"), runs.anchor[e].astype("<i2"), n.astype("<u4"))
+                yield shard_row(shard, packed(*own, ties[held].astype("<i8"), start[held], text), b"")
 
     return docs.filter("doc_id is not null").mapInArrow(run, SHARD)
 
 
-def _row(shard: int, runs: bytes, settled: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([runs], pa.binary()), pa.array([settled], pa.binary())], ["shard", "runs", "settled"])
-
-
 def heavy_seeds(docs: DataFrame, size: int, seed: int, most_runs: int) -> np.ndarray:
     """Seeds that more than most_runs runs have by a sample of one document in ``SAMPLED``: at most as many as there are shards."""
 
@@ -163,15 +140,15 @@ class SuffixArray:
         return len(self.keys)
 
 
-def suffix_array(text: np.ndarray, doc: np.ndarray, count: np.ndarray, first_entry: int, size: int) -> SuffixArray:
-    """The suffix array of a batch of entries, whose bytes (count + size - 1 for each) follow each other in text."""
+def suffix_array(text: np.ndarray, doc: np.ndarray, count: np.ndarray, of: np.ndarray, size: int) -> SuffixArray:
+    """The suffix array of a batch of entries (of), whose bytes (count + size - 1 for each) follow each other in text."""
     width = count + size - 1
     starts = spread(np.cumsum(width) - width, count)
     keys = np.ascontiguousarray(sliding_window_view(text, size)[starts]).view(f"S{size}").ravel()
     entry = np.repeat(np.arange(len(count)), count)
     window = spread(np.zeros(len(count), np.int64), count)
     order = np.argsort(keys)
-    return SuffixArray(keys[order], doc[entry[order]], (entry[order] + first_entry).astype(np.uint32), window[order].astype(np.uint32))
+    return SuffixArray(keys[order], doc[entry[order]], of[entry[order]].astype(np.uint32), window[order].astype(np.uint32))
 
 
 def scanned(index: SuffixArray) -> tuple[SuffixArray, SuffixArray | None]:
@@ -227,53 +204,79 @@ class IndexFamily:
         self.levels = [whole]
 
 
-def shard_repeats(rows: list[dict], size: int) -> dict[str, np.ndarray]:
+@dataclass
+class Entries:
+    """Runs that reached a shard: document, windows, place of the seed, places of equal runs in that document, bytes."""
+
+    doc: np.ndarray
+    count: np.ndarray
+    anchor: np.ndarray
+    n_places: np.ndarray
+    tie: np.ndarray
+    start: np.ndarray
+    text: np.ndarray
+
+    def first_bytes(self, size: int) -> np.ndarray:
+        width = self.count + size - 1
+        return np.cumsum(width) - width
+
+
+def shared_seeds(entries: Entries, size: int, seed: int) -> np.ndarray:
+    """Which runs have a seed that another document has here too; a run without a seed is always taken."""
+    out = entries.anchor < 0
+    own = np.flatnonzero(~out)
+    at = entries.first_bytes(size)[own] + entries.anchor[own]
+    if len(own):
+        seeds = np.ascontiguousarray(sliding_window_view(entries.text, seed)[at]).view(f"S{seed}").ravel()
+        order = np.argsort(seeds)
+        first = np.flatnonzero(np.append(True, seeds[order[1:]] != seeds[order[:-1]]))
+        doc = entries.doc[own[order]]
+        more = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        out[own[order]] = np.repeat(more, np.diff(np.append(first, len(own))))
+    return out
+
+
+def batches(entries: Entries, size: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs that can meet another document's, in batches of about ``BATCH`` windows: entries, documents, windows and bytes."""
+    chosen = np.flatnonzero(shared_seeds(entries, size, seed))
+    at = entries.first_bytes(size)
+    ends = np.cumsum(entries.count[chosen])
+    for part in np.split(chosen, np.searchsorted(ends, np.arange(BATCH, int(ends[-1]), BATCH))) if len(chosen) else []:
+        if len(part):
+            count = entries.count[part]
+            yield part, entries.doc[part], count, entries.text[spread(at[part], count + size - 1)]
+
+
+def shard_repeats(rows: list[dict], size: int, seed: int) -> dict[str, np.ndarray]:
     """doc_id, tie, start and count of the repeated windows of one shard, consecutive ones together."""
-    family = IndexFamily()
     parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint32)] * 2]
-    docs, n_places, ties, starts = [], [], [], []
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n_entries = waiting = 0
-
-    def flush() -> None:
-        nonlocal n_entries, waiting
-        if held:
-            doc, count, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            family.add(suffix_array(text, doc, count.astype(np.int64), n_entries, size))
-            n_entries, waiting = n_entries + len(doc), 0
-            held.clear()
-
-    for row in rows:
-        if row["settled"]:
-            parts.append(_unpack(row["settled"], "<i8", "<i8", "<u4", "<u4"))
-        if row["runs"]:
-            doc, count, n, tie, start, text = _unpack(row["runs"], "<i8", "<u4", "<u4", "<i8", "<u4", "u1")
-            docs.append(doc)
-            n_places.append(n)
-            ties.append(tie)
-            starts.append(start)
-            held.append((doc, count, text))
-            waiting += int(count.sum())
-            if waiting >= BATCH:
-                flush()
-    flush()
-    family.close()
-    if family.found:
-        entry, window = (np.concatenate(x).astype(np.int64) for x in zip(*family.found, strict=True))
-        order = np.lexsort((window, entry))
-        entry, window = entry[order], window[order]
-        first = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (window[1:] != window[:-1] + 1)))
-        count = np.diff(np.append(first, len(entry)))
-        entry, window = entry[first], window[first]
-        doc, n, tie, start = (np.concatenate(x) for x in (docs, n_places, ties, starts))
-        n = n.astype(np.int64)
-        place = spread((np.cumsum(n) - n)[entry], n[entry])  # every place of each entry
-        again = np.repeat(np.arange(len(entry)), n[entry])
-        parts.append([doc[entry[again]], tie[place], start[place] + window[again].astype(np.uint32), count[again].astype(np.uint32)])
+    parts += [unpacked(row["settled"], "<i8", "<i8", "<u4", "<u4") for row in rows if row["settled"]]
+    if runs := [unpacked(row["runs"], "<i8", "<u4", "<i2", "<u4", "<i8", "<u4", "u1") for row in rows if row["runs"]]:
+        doc, count, anchor, n, tie, start, text = (np.concatenate(x) for x in zip(*runs, strict=True))
+        entries = Entries(doc, count.astype(np.int64), anchor.astype(np.int64), n.astype(np.int64), tie, start, text)
+        family = IndexFamily()
+        for of, d, c, t in batches(entries, size, seed):
+            family.add(suffix_array(t, d, c, of, size))
+        family.close()
+        if family.found:
+            parts.append(_placed(entries, *(np.concatenate(x).astype(np.int64) for x in zip(*family.found, strict=True))))
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     return {"doc_id": columns[0], "tie": columns[1], "start": columns[2].astype(np.int32), "count": columns[3].astype(np.int32)}
 
 
+def _placed(entries: Entries, entry: np.ndarray, window: np.ndarray) -> list[np.ndarray]:
+    """doc_id, tie, start and count of windows of entries, at every place of each entry, consecutive ones together."""
+    order = np.lexsort((window, entry))
+    entry, window = entry[order], window[order]
+    first = np.flatnonzero(np.append(True, (entry[1:] != entry[:-1]) | (window[1:] != window[:-1] + 1)))
+    count = np.diff(np.append(first, len(entry)))
+    entry, window = entry[first], window[first]
+    n = entries.n_places
+    place = spread((np.cumsum(n) - n)[entry], n[entry])
+    again = np.repeat(np.arange(len(entry)), n[entry])
+    return [entries.doc[entry[again]], entries.tie[place], entries.start[place] + window[again].astype(np.uint32), count[again].astype(np.uint32)]
+
+
 def repeated_bytes(work: Workspace, keyed_docs: DataFrame, size: int, seed: int, shard_bytes: int) -> DataFrame:
     """doc_id, tie, start, count: windows of each text that also start in a document with a lesser doc_id."""
     shards = max(1, -(-text_bytes(keyed_docs) // shard_bytes))
@@ -281,7 +284,7 @@ def repeated_bytes(work: Workspace, keyed_docs: DataFrame, size: int, seed: int,
     heavy = heavy_seeds(keyed_docs, size, seed, shard_bytes // 16) if shards > 1 else np.zeros(0, U64)
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table(shard_repeats(table.select(["runs", "settled"]).to_pylist(), size))
+        return pa.table(shard_repeats(table.select(["runs", "settled"]).to_pylist(), size, seed))
 
     return work.write(shard_rows(keyed_docs, size, seed, shards, heavy).groupBy("shard").applyInArrow(run, FOUND), "found")
 
@@ -305,7 +308,7 @@ def _finish(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray, gone: np.nda
     return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(kept_at)), lists, kept], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, size: int = 50, seed: int = 12, shard_bytes: int = 1 << 20) -> DataFrame:
+def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, size: int = 50, seed: int = 14, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs) and kept (the remaining bytes) for each row."""
     keyed_docs = keyed(docs)
     found = repeated_bytes(Workspace(spark, "bytes"), keyed_docs, size, seed, shard_bytes)
