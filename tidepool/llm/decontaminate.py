@@ -8,13 +8,17 @@ An item is found in a text where some stretch of words is within ``floor(max_sha
 * CGK embedding: a random walk over a window's words, which advances or stays by a random bit of the word,
   writes ``3 n`` symbols.  Windows at small edit distance get embeddings at small Hamming distance.
 * Bit-sampling LSH: each of several walks is sampled at a few places, and windows whose samples equal an
-  item's are candidates.  The number of tables is what reaches ``recall`` on edited copies of the items
-  themselves, measured when the index is built.
-* Verification: the exact edit distance between the item and the best stretch around the window.
+  item's are candidates.  The number of walks is what reaches ``recall`` in trials with as many edits as allowed,
+  in which the search runs on random words; it depends on an item's number of words alone.  Where no number
+  reaches it, an error says so.
+* Verification: the exact edit distance between the item and the best stretch around the window, for many
+  windows at once.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation at both ends; they are compared by 64-bit
-fingerprints.  The index is as large as the items.  Items are read in blocks of at most ``block_bytes`` bytes
-of text, each block being a pass over the documents, so what is sent to executors is bounded.
+fingerprints.  The index is as large as the items, which are kept by number of words, so that a long item costs
+others nothing; matrices and expanded seed hits are cut into parts of bounded size.  Items are read in blocks of
+at most ``block_bytes`` bytes of text, each block being a pass over the documents, so what is sent to executors
+is bounded.  What is found does not depend on the blocks.
 
 Defined cases: null, empty and wordless items find nothing; null and empty texts hold nothing.  Items with one
 item_id are one item with several wordings.  Rows without a doc_id are scanned and reported with a null.
@@ -25,14 +29,14 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, RollingHash, _mixed, blocks, texts_of, word_spans, word_units
+from .common import U64, RollingHash, _mixed, blocks, spread, texts_of, word_spans, word_units
 
 HITS = "doc_id long, item_id long, start_word long, n_words long, distance long, item_words long"
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -41,6 +45,10 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _PAD = U64(0)
 SEED = 3
+#: Sampled sets of each walk and places of each set.
+SETS, WIDTH = 8, 4
+#: Matrix cells that are worked on at once, seed hits that are expanded at once, and words of an item in trials at most.
+CELLS, PART, TRIAL_WORDS = 1 << 21, 1 << 17, 128
 
 
 def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +70,18 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return word_units(data, starts, ends), places
 
 
-def embed(words: np.ndarray, size: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embeddings of rows of words, of which each has its own size: 3 symbols for each word, then padding."""
-    rows, most = words.shape
+def embed(words: np.ndarray, walk: int) -> np.ndarray:
+    """CGK embeddings of rows of n words each: 3 n symbols, padded where a walk ends early."""
+    rows, n = words.shape
     padded = np.concatenate((words, np.full((rows, 1), _PAD)), axis=1)
-    out = np.empty((rows, 3 * most), U64)
+    out = np.empty((rows, 3 * n), U64)
     place = np.zeros(rows, np.int64)
     row = np.arange(rows)
-    for step in range(3 * most):
+    for step in range(3 * n):
         symbol = padded[row, place]
         out[:, step] = symbol
         bit = _mixed(symbol + U64((walk * 1_000_003 + step) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & U64(1)
-        place = np.minimum(place + bit.astype(np.int64), size)
+        place = np.minimum(place + bit.astype(np.int64), n)
     return out
 
 
@@ -83,28 +91,79 @@ def _samples(n: int, walk: int, sets: int, width: int) -> np.ndarray:
     return np.random.default_rng(1000 * walk + n).integers(0, 3 * n, (sets, width))
 
 
-def keys(words: np.ndarray, size: np.ndarray, walk: int, sets: int, width: int) -> np.ndarray:
-    """One key for each row of words and each sampled set of one walk; rows of different sizes never agree but by chance."""
-    e = embed(words, size, walk)
-    places = {n: _samples(n, walk, sets, width) for n in np.unique(size).tolist()}
-    mine = np.stack([places[n] for n in size.tolist()])
-    row = np.arange(len(words))
-    out = np.zeros((len(words), sets), U64)
-    for s in range(sets):
-        x = size.astype(U64) * U64(sets) + U64(s + 1)
-        for p in range(width):
-            x = _mixed(x * U64(0x9E3779B97F4A7C15) + e[row, mine[:, s, p]])
-        out[:, s] = x
+def keys(words: np.ndarray, walk: int, sets: int = SETS, width: int = WIDTH) -> np.ndarray:
+    """One key for each row of words and each sampled set of one walk, part by part of bounded cells."""
+    rows, n = words.shape
+    places = _samples(n, walk, sets, width)
+    out = np.empty((rows, sets), U64)
+    step = max(1, CELLS // (3 * n))
+    for a in range(0, rows, step):
+        e = embed(words[a : a + step], walk)
+        for s in range(sets):
+            x = np.full(len(e), s + 1, U64)
+            for at in places[s].tolist():
+                x = _mixed(x * U64(0x9E3779B97F4A7C15) + e[:, at])
+            out[a : a + step, s] = x
     return out
 
 
-def _stacked(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of words as one padded matrix, and their sizes."""
-    size = np.array([len(r) for r in rows])
-    out = np.full((len(rows), int(size.max())), _PAD)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
-    return out, size
+def seed_size(n: int, k: int) -> int:
+    """Words of a run that k edits leave untouched somewhere among n words, 3 at most."""
+    return min(SEED, -(-(n - k) // (k + 1)))
+
+
+def _edited(words: list[int], k: int, rng: np.random.Generator) -> list[int]:
+    """words after k edits of random kind and place; new words are unlike all others."""
+    out = list(words)
+    for _ in range(k):
+        at, kind = int(rng.integers(0, len(out) + 1)), int(rng.integers(0, 3))
+        out[at : at + (kind < 2)] = [int(rng.integers(1, 1 << 62))] if kind else []
+    return out
+
+
+@functools.lru_cache(4096)
+def walks_for(n: int, k: int, recall: float, most: int = 64, trials: int = 200) -> int:
+    """Walks until the stated share of items of n words, edited k times and put into a text, meets its item.
+
+    Trials are the search itself on random words: windows lie where seeds put them, edits before a seed shift them.
+    The number depends on n and k alone, so it is the same whatever other items are searched for.  Items of more
+    than 128 words take the number for 128 and as large a share of edits.
+    """
+    if n > TRIAL_WORDS:
+        return walks_for(TRIAL_WORDS, k * TRIAL_WORDS // n, recall, most, trials)
+    if not k:
+        return 1
+    rng = np.random.default_rng(1009 * n + k)
+    size = seed_size(n, k)
+    items, windows, owner = [], [], []
+    for t in range(trials):
+        item = rng.integers(1, 1 << 62, n).tolist()
+        text = rng.integers(1, 1 << 62, n).tolist() + _edited(item, k, rng) + rng.integers(1, 1 << 62, n).tolist()
+        runs = {tuple(item[o : o + size]): o for o in range(n - size + 1)}
+        starts = {p - runs[r] for p in range(len(text) - size + 1) if (r := tuple(text[p : p + size])) in runs}
+        items.append(item)
+        windows += [text[s : s + n] for s in sorted(starts) if 0 <= s <= len(text) - n]
+        owner += [t] * (len(windows) - len(owner))
+    held, seen, own = np.array(items, U64), np.array(windows, U64).reshape(-1, n), np.array(owner, np.int64)
+    met = np.zeros(trials, bool)
+    for walk in range(most):
+        same = (keys(seen, walk) == keys(held, walk)[own]).any(axis=1)
+        met[own[same]] = True
+        if met.mean() >= recall:
+            return walk + 1
+    raise ValueError(f"{most} walks do not reach a recall of {recall} for {n} words and {k} edits")
+
+
+def within(item: np.ndarray, regions: np.ndarray, k: int) -> np.ndarray:
+    """For rows of item words and of regions: whether some stretch of the region is within k edits of the item."""
+    rows, m = regions.shape
+    step = np.arange(m + 1)
+    row = np.zeros((rows, m + 1), np.int64)
+    for i in range(item.shape[1]):
+        now = row + 1  # the item's word is missing
+        now[:, 1:] = np.minimum(now[:, 1:], row[:, :-1] + (regions != item[:, i : i + 1]))
+        row = np.minimum.accumulate(now - step, axis=1) + step  # words of the region between
+    return row.min(axis=1) <= k
 
 
 def fitting_distance(item: list[int], region: list[int]) -> tuple[int, int, int]:
@@ -126,114 +185,101 @@ def fitting_distance(item: list[int], region: list[int]) -> tuple[int, int, int]
 
 
 @dataclass
+class Length:
+    """The items of one number of words: their words as rows, their seeds in order, and their keys in each walk."""
+
+    ids: np.ndarray
+    words: np.ndarray
+    edits: int
+    recall: float
+
+    def __post_init__(self) -> None:
+        rows, n = self.words.shape
+        self.seed = seed_size(n, self.edits)
+        runs = n - self.seed + 1
+        value = np.stack([RollingHash(w).windows(self.seed) for w in self.words]).ravel()
+        order = np.argsort(value, kind="stable")
+        self.value, self.item, self.offset = value[order], (order // runs).astype(np.int32), (order % runs).astype(np.int32)
+        self.keys = [keys(self.words, walk) for walk in range(walks_for(n, self.edits, self.recall))]
+
+    def seeded(self, prints: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, start and item of the windows that share a seed in place with an item, in parts of bounded size."""
+        low = np.searchsorted(self.value, prints, "left")
+        hit = np.flatnonzero(self.value[np.minimum(low, len(self.value) - 1)] == prints)
+        row = np.searchsorted(places, hit, "right") - 1
+        hit = hit[hit + self.seed <= places[row + 1]]
+        low = low[hit]
+        count = np.searchsorted(self.value, prints[hit], "right") - low
+        pieces = -(-count // PART)  # a seed that very many items have is taken in parts as well
+        piece = spread(np.zeros(len(hit), np.int64), pieces)
+        hit, low, count = (np.repeat(x, pieces) for x in (hit, low, count))
+        low, count = low + piece * PART, np.minimum(count - piece * PART, PART)
+        n, wide = self.words.shape[1], int(places[-1]) + 2 * self.words.shape[1]
+        for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(count) // PART)) + 1) if len(hit) else []:
+            k = spread(low[part], count[part])
+            at = np.repeat(hit[part], count[part])
+            row = np.searchsorted(places, at, "right") - 1
+            once = np.unique((row * len(self.ids) + self.item[k]) * wide + at - self.offset[k] + n)
+            yield once // wide // len(self.ids), once % wide - n, once // wide % len(self.ids)
+
+    def _words_at(self, units: np.ndarray, places: np.ndarray, row: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """size words from each start; beyond the row is padding."""
+        index = start[:, None] + np.arange(size)
+        inside = (index >= places[row][:, None]) & (index < places[row + 1][:, None])
+        return np.where(inside, units[np.clip(index, 0, len(units) - 1)], _PAD)
+
+    def candidates(self, units: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, start and item of windows that have a seed and a key of some walk in common with the item.
+
+        Each word of the item that the window and its surroundings lack costs an edit, so windows that lack too many
+        are spared the walks."""
+        n, k = self.words.shape[1], self.edits
+        for row, start, item in self.seeded(prints, places):
+            step = max(1, CELLS // (n * (n + 2 * k)))
+            kept = []
+            for a in range(0, len(row), step):
+                region = self._words_at(units, places, row[a : a + step], start[a : a + step] - k, n + 2 * k)
+                there = (self.words[item[a : a + step]][:, :, None] == region[:, None, :]).any(axis=2).sum(axis=1)
+                kept.append(a + np.flatnonzero(there >= n - k))
+            kept = np.concatenate(kept)
+            row, start, item = row[kept], start[kept], item[kept]
+            met = np.zeros(len(row), bool)
+            for walk, theirs in enumerate(self.keys):
+                rest = np.flatnonzero(~met)
+                for a in range(0, len(rest), step):
+                    r = rest[a : a + step]
+                    mine = keys(self._words_at(units, places, row[r], start[r], n), walk)
+                    met[r] = (mine == theirs[item[r]]).any(axis=1)
+            yield row[met], start[met], item[met]
+
+    def found(self, units: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(row, item_id, start_word, n_words, distance, item_words) of each candidate that holds its item."""
+        n, k = self.words.shape[1], self.edits
+        for row, start, item in self.candidates(units, places, prints):
+            step = max(1, CELLS // (n + 2 * k + 1))
+            for a in range(0, len(row), step):
+                r, s, i = row[a : a + step], start[a : a + step], item[a : a + step]
+                near = np.flatnonzero(within(self.words[i], self._words_at(units, places, r, s - k, n + 2 * k), k))
+                for x in near.tolist():
+                    first, last = int(places[r[x]]), int(places[r[x] + 1])
+                    a0, b0 = max(first, int(s[x]) - k), min(last, int(s[x]) + n + k)
+                    distance, begin, size = fitting_distance(self.words[i[x]].tolist(), units[a0:b0].tolist())
+                    if distance <= k:  # padding may stand for words that are not there
+                        yield int(r[x]), int(self.ids[i[x]]), a0 + begin - first, size, distance, n
+
+
 class Items:
-    """The index over one block of items."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    max_share: float
-    walks: int = 0
-    sets: int = 8
-    width: int = 4
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def edits(self, i: int) -> int:
-        return int(self.max_share * len(self.words[i]))
-
-    def build(self, recall: float, most_walks: int = 12) -> Items:
-        """Seed lists, and as many walks as reach recall on edited items."""
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, w in enumerate(self.words):
-            k = self.edits(i)
-            size = min(SEED, -(-(len(w) - k) // (k + 1)))
-            prints = RollingHash(w).windows(size)
-            found.setdefault(size, []).extend((int(p), i, o) for o, p in enumerate(prints.tolist()))
-        for size, rows in found.items():
-            rows.sort()
-            self.seeds[size] = np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        self.size = np.array([len(w) for w in self.words])
-        self.walks = self._walks_for(recall, most_walks)
-        for walk in range(self.walks):
-            theirs = keys(*_stacked(self.words), walk, self.sets, self.width)
-            item = np.repeat(np.arange(len(self.words)), self.sets)
-            order = np.argsort(theirs.ravel(), kind="stable")
-            self.tables.append((theirs.ravel()[order], item[order]))
-        return self
-
-    def _walks_for(self, recall: float, most: int, trials: int = 400) -> int:
-        """Walks until the stated share of items with as many edits as allowed meets its item in some table."""
-        rng = np.random.default_rng(11)
-        chosen = [i for i in rng.permutation(len(self.words))[:trials].tolist() if self.edits(i)]
-        met = np.zeros(len(chosen), bool)
-        edited = []
-        for i in chosen:
-            w = self.words[i].tolist()
-            for _ in range(self.edits(i)):
-                at = int(rng.integers(0, len(w)))
-                kind = rng.integers(0, 3)
-                w[at : at + (kind < 2)] = [int(rng.integers(1, 1 << 62))] if kind else []
-            n = len(self.words[i])
-            edited.append(np.array((w + [int(x) for x in rng.integers(1, 1 << 62, n)])[:n], U64))
-        for walk in range(most):
-            for t, i in enumerate(chosen):
-                if not met[t]:
-                    a, b = keys(*_stacked([self.words[i], edited[t]]), walk, self.sets, self.width)
-                    met[t] = (a == b).any()
-            if not len(chosen) or met.mean() >= recall:
-                return walk + 1
-        return most
-
-    def windows(self, units: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item-sized windows that share a seed in place with an item of that size: start and item, each once."""
-        prints = RollingHash(units)
-        starts, items = [], []
-        row_end = places[1:]
-        for size, (value, item, offset) in self.seeds.items():
-            own = prints.windows(size)
-            if not len(own):
-                continue
-            low = np.searchsorted(value, own, "left")
-            hit = np.flatnonzero(value[np.minimum(low, len(value) - 1)] == own)
-            row = np.searchsorted(places, hit, "right") - 1
-            hit = hit[hit + size <= row_end[row]]
-            low = low[hit]
-            count = np.searchsorted(value, own[hit], "right") - low
-            ends = np.cumsum(count)
-            k = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - count), count)
-            starts.append(np.repeat(hit, count) - offset[k])
-            items.append(item[k])
-            # remember which row the seed lies in by its place: windows may begin before the row and are clipped
-            starts[-1] = np.stack((starts[-1], np.repeat(hit, count)))
-        if not starts:
-            return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-        at, item = np.concatenate(starts, axis=1), np.concatenate(items)
-        row = np.searchsorted(places, at[1], "right") - 1
-        _, once = np.unique(np.stack((row, item, at[0])), axis=1, return_index=True)
-        return np.stack((at[0][once], row[once])), item[once]
-
-    def candidates(self, units: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, start) of the windows whose samples equal an item's in some table."""
-        (start, row), item = self.windows(units, places)
-        out: set[tuple[int, int, int]] = set()
-        for part in np.array_split(np.arange(len(item)), -(-len(item) // 5000)) if len(item) else []:
-            # one window for each row, start and size, whichever seed led to it
-            (rows, starts, sizes), back = np.unique(np.stack((row[part], start[part], self.size[item[part]])), axis=1, return_inverse=True)
-            step = np.arange(int(sizes.max()))
-            index = starts[:, None] + step
-            inside = (index >= places[rows][:, None]) & (index < places[rows + 1][:, None]) & (step < sizes[:, None])
-            words = np.where(inside, units[np.clip(index, 0, len(units) - 1)], _PAD)
-            seeded = back.ravel() * len(self.words) + item[part]
-            for walk, (value, owner) in enumerate(self.tables):
-                mine = keys(words, sizes, walk, self.sets, self.width).ravel()
-                low = np.searchsorted(value, mine, "left")
-                count = np.searchsorted(value, mine, "right") - low
-                ends = np.cumsum(count)
-                k = np.arange(int(ends[-1])) + np.repeat(low - (ends - count), count)
-                met = np.repeat(np.arange(len(mine)) // self.sets, count) * len(self.words) + owner[k]
-                for w, i in zip(*np.divmod(np.intersect1d(met, seeded), len(self.words)), strict=True):
-                    out.add((int(rows[w]), int(i), int(starts[w])))
-        return sorted(out)
+    """The index over a block of items, by number of words.  What is found for an item does not depend on the others."""
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], max_share: float, recall: float):
+        sizes = np.array([len(w) for w in words])
+        self.lengths = []
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            step = max(1, CELLS // n)
+            for a in range(0, len(own), step):
+                part = own[a : a + step].tolist()
+                self.lengths.append(Length(np.array([ids[k] for k in part]), np.stack([words[k] for k in part]), int(max_share * n), recall))
 
 
 def read_items(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -255,25 +301,23 @@ def index_items(block: list[tuple[int, str]], max_share: float, recall: float) -
     data = np.frombuffer(b"".join(texts), np.uint8)
     units, places = normalised(data, np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64))
     rows = [(i, units[a:b]) for (i, _), a, b in zip(block, places[:-1].tolist(), places[1:].tolist(), strict=True) if b > a]
-    return Items([i for i, _ in rows], [w for _, w in rows], max_share).build(recall) if rows else None
+    return Items([i for i, _ in rows], [w for _, w in rows], max_share, recall) if rows else None
 
 
 def found_in_block(items: Items, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item_id, start_word, n_words, distance, item_words) for each row of a block and each item in it, verified."""
     units, places = normalised(data, at)
+    prints: dict[int, np.ndarray] = {}
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for row, i, start in items.candidates(units, places):
-        k, n = items.edits(i), len(items.words[i])
-        a, b = max(int(places[row]), start - k), min(int(places[row + 1]), start + n + k)
-        item, region = items.words[i].tolist(), units[a:b].tolist()
-        there = set(region)
-        if sum(x in there for x in item) < n - k:  # each word of the item that the region lacks costs an edit
+    hashes = RollingHash(units)
+    for length in items.lengths:
+        if length.seed not in prints:
+            prints[length.seed] = hashes.windows(length.seed)
+        if not len(prints[length.seed]):
             continue
-        distance, begin, size = fitting_distance(item, region)
-        if distance <= k:
-            spot = (distance, a + begin - int(places[row]), size, n)
-            name = (row, items.ids[i])
-            best[name] = min(best.get(name, spot), spot)
+        for row, item, start, size, distance, n in length.found(units, places, prints[length.seed]):
+            spot = (distance, start, size, n)
+            best[row, item] = min(best.get((row, item), spot), spot)
     return [(r, i, s, n, d, m) for (r, i), (d, s, n, m) in sorted(best.items())]
 
 
