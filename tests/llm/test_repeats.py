@@ -36,7 +36,7 @@ def told(rows):
     "op,expected,options",
     [
         (substring_dedup.drop_repeated_words, words_expected, {}),
-        (substring_dedup.drop_repeated_words, words_expected, {"seed": 5}),
+        (substring_dedup.drop_repeated_words, words_expected, {"seed": 5, "shard_bytes": 3000}),
         (suffix_dedup.drop_repeated_bytes, bytes_expected, {}),
         (suffix_dedup.drop_repeated_bytes, bytes_expected, {"shard_bytes": 2000}),
     ],
@@ -137,30 +137,63 @@ def test_registered_query_against_sql(spark, name):
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, want.values.tolist()))
 
 
-def _graph(spark, made):
-    docs = repeats.keyed(cases.documents(spark, made))
-    windows = substring_dedup.edges(docs, substring_dedup.shared_places(Workspace(spark, "test"), docs, 13, 8, 0), 13, 0)
-    return windows, substring_dedup.repeated_edges(windows)
+def _found(spark, made):
+    docs, work = repeats.keyed(cases.documents(spark, made)), Workspace(spark, "test")
+    graph, pieces = substring_dedup.met_edges(work, docs, substring_dedup.shared_places(work, docs, 13, 8, 0, 2), 13, 0, 2)
+    return substring_dedup.compacted(work, substring_dedup.links(graph)), pieces
 
 
 def test_paths_without_branches_compact_by_joins(spark):
     words = [f"w{i}" for i in range(900)]
     made = [(1, "p q " + " ".join(words), "en", "s", 0), (2, " ".join(words) + " r", "en", "s", 0)]
-    windows, graph = _graph(spark, made)
-    paths = substring_dedup.compacted(Workspace(spark, "test"), graph, substring_dedup.links(graph))
-    assert {(r.doc, r.pos, r.head) for r in paths.collect()} == {(1, 2 + i, 2) for i in range(888)}
-    got = substring_dedup.spans(windows, paths).collect()
-    assert [(r.doc_id, r.start, r["count"], r.source_doc, r.source_start) for r in got] == [(2, 0, 888, 1, 2)]
+    paths, pieces = _found(spark, made)
+    assert [(r.doc, r.head, r.end) for r in paths.collect()] == [(1, 2, 889)]
+    found = substring_dedup.spans(pieces)
+    assert [(r.doc_id, r.start, r["count"], r.source_doc, r.source_start) for r in found.collect()] == [(2, 0, 888, 1, 2)]
+    parts = sorted((r.source_start, r["count"], r.start) for r in substring_dedup.parts_of(found, paths, 13).collect())
+    assert sum(n for _, n, _ in parts) == 900 and parts[0][0] == 2 and all(a + n == b for (a, n, _), (b, _, _) in zip(parts, parts[1:], strict=False))
+    assert all(s == a - 2 and n <= 64 for a, n, s in parts)
+
+
+@pytest.mark.parametrize("n", [13, 14, 76, 77, 78, 140, 141, 205, 333])
+def test_paths_of_any_length_and_place(spark, n):
+    words = [f"w{i}" for i in range(n)]
+    made = [(1, " ".join([f"x{i}" for i in range(61)] + words), "en", "s", 0), (2, " ".join(words), "en", "s", 0)]
+    paths, _ = _found(spark, made)
+    assert [(r.doc, r.head, r.end) for r in paths.collect()] == ([(1, 61, 61 + n - 13)] if n > 13 else [])
 
 
 def test_branches_end_paths(spark):
     """Two documents go on differently after a passage, each with a copy: its last node has two ways out."""
     stem, one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     made = [(k, f"{stem} {one if k % 2 else two}", "en", "s", 0) for k in range(4)]
-    _, graph = _graph(spark, made)
-    paths = substring_dedup.compacted(Workspace(spark, "test"), graph, substring_dedup.links(graph))
-    heads = {(r.doc, r.head) for r in paths.collect()}
-    assert heads == {(0, 0), (0, 28), (1, 28)}
+    paths, pieces = _found(spark, made)
+    assert {(r.doc, r.head, r.end) for r in paths.collect()} == {(0, 0, 27), (0, 28, 67), (1, 28, 67)}
+    parts = substring_dedup.parts_of(substring_dedup.spans(pieces), paths, 13)
+    cut = {r.source_start for r in parts.filter("doc_id = 2").collect()}
+    assert {0, 28, 40} <= cut  # where paths begin and end
+
+
+def test_edges_of_a_shard_against_brute_force():
+    rng = np.random.default_rng(7)
+    runs = []
+    for doc in rng.permutation(40):
+        n = rng.integers(1, 6, 4)
+        runs.append([np.full(4, doc % 25), np.full(4, doc), rng.integers(0, 50, 4).astype("<u4"), n.astype("<u4"), np.ones(4, "u1"), rng.integers(0, 4, int((n + 1).sum())).astype(np.uint64)])
+    graph, pieces = substring_dedup.shard_edges(runs)
+    seen = []
+    for doc, tie, start, count, _, node in runs:
+        at = 0
+        for d, t, s, c in zip(doc.tolist(), tie.tolist(), start.tolist(), count.tolist(), strict=True):
+            seen += [((int(node[at + k]), int(node[at + k + 1])), (d, t, s + k)) for k in range(c)]
+            at += c + 1
+    by_edge = {}
+    for edge, place in seen:
+        by_edge.setdefault(edge, []).append(place)
+    want = {e: min(ps) for e, ps in by_edge.items() if len({p[0] for p in ps}) > 1}
+    assert {(int(a), int(b)): (int(d), int(t), int(p)) for a, b, d, t, p in zip(*graph, strict=True)} == want
+    got = Counter((int(d), int(t), int(s) + k, (int(x), int(y), int(z) + k)) for d, t, s, n, x, y, z in zip(*pieces, strict=True) for k in range(int(n)))
+    assert got == Counter((*p, want[e]) for e, p in seen if e in want and p[0] > want[e][0])
 
 
 def test_spans_are_verified_at_their_source(spark):
@@ -168,18 +201,18 @@ def test_spans_are_verified_at_their_source(spark):
     docs = repeats.keyed(cases.documents(spark, [(1, a, "en", "s", 0), (2, f"x {a}", "en", "s", 0), (3, b, "en", "s", 0)]))
     schema = "doc_id long, tie long, start int, count int, source_doc long, source_tie long, source_start int"
     work = Workspace(spark, "test")
-    right, wrong = (2, 0, 1, 150, 1, 0, 0), (3, 0, 10, 100, 1, 0, 10)
-    assert substring_dedup.mismatches(work, docs, spark.createDataFrame([right], schema), 13).isEmpty()
-    assert not substring_dedup.mismatches(work, docs, spark.createDataFrame([right, wrong], schema), 13).isEmpty()
+    right, wrong = (2, 0, 1, 150, 1, 0, 0), (3, 0, 10, 60, 1, 0, 10)
+    assert substring_dedup.mismatches(work, docs, spark.createDataFrame([right], schema)).isEmpty()
+    assert [tuple(r)[:4] for r in substring_dedup.mismatches(work, docs, spark.createDataFrame([right, wrong], schema)).select("doc_id", "tie", "start", "count").collect()] == [wrong[:4]]
 
 
 def test_a_shared_fingerprint_leads_to_another_salt(spark, monkeypatch):
     made = cases.rows()
     real, calls = substring_dedup.mismatches, []
 
-    def first_fails(work, docs, found, size):
+    def first_fails(work, docs, parts):
         calls.append(1)
-        return found.limit(1) if len(calls) == 1 else real(work, docs, found, size)
+        return parts.limit(1) if len(calls) == 1 else real(work, docs, parts)
 
     monkeypatch.setattr(substring_dedup, "mismatches", first_fails)
     got = told(substring_dedup.drop_repeated_words(spark, cases.documents(spark, made)).collect())

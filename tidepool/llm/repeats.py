@@ -122,26 +122,26 @@ def opened(runs: Runs, units: Units, size: int, heavy: np.ndarray) -> Runs:
     return Runs(*(np.concatenate((getattr(rest, f), getattr(single, f))) for f in _FIELDS))
 
 
-def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The keyed documents with ``places``, the list of (start, count) that ``places`` (doc_id, tie, start, count) has for each, or null.
+def with_places(docs: DataFrame, places: DataFrame, *more: str) -> DataFrame:
+    """The keyed documents with ``places``, the list of (start, count, *more) that ``places`` (doc_id, tie, start, count, *more) has for each, or null.
 
     A list is as long as its text at most, and rows without a doc_id have none."""
-    lists = places.groupBy(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("start", "count")).alias("places"))
+    lists = places.groupBy(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie")).agg(F.collect_list(F.struct("start", "count", *more)).alias("places"))
     met = (F.col("doc_id") == F.col("of_doc")) & (F.col("tie") == F.col("of_tie"))
     return docs.join(lists, met, "left").select("doc_id", "tie", "text", "places")
 
 
-def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and count of each place in a column of lists."""
+def listed(column: pa.Array) -> list[np.ndarray]:
+    """Row, start, count and what more there is of each place in a column of lists."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(column)
-    start, count = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)) if len(flat) else (np.zeros(0, np.int64),) * 2
-    return np.repeat(np.arange(len(column)), sizes), start, count
+    fields = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(flat.type.num_fields)]
+    return [np.repeat(np.arange(len(column)), sizes), *fields]
 
 
 def covered(column: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
     """Which units of a block are covered by the windows listed for its rows; at: the unit at which each row starts."""
-    row, start, count = listed(column)
+    row, start, count, *_ = listed(column)
     edges = np.zeros(int(at[-1]) + 1, np.int32)
     np.add.at(edges, at[row] + start, 1)
     np.add.at(edges, at[row] + start + count - 1 + size, -1)
