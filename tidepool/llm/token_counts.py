@@ -48,8 +48,9 @@ _RUNS = re.compile(f"[{_WHITE}]{{2,}}(?=[^{_WHITE}])")
 _LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 #: Stands in a table at bytes inside a character.
 INSIDE = -128
+_TWO = (2,)
 #: Pieces that a worker remembers of late and from before, pairs of tokens, and bytes of the longest piece.
-_REMEMBERED, _PAIRS, _SHORT = 150_000, 200_000, 64
+_REMEMBERED, _PAIRS, _SHORT = 150_000, 400_000, 64
 
 
 class Encoder:
@@ -69,14 +70,18 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
         self.ranks = ranks
-        #: Bytes of the longest token that ends with given bytes (two, or one at a piece's start).
-        self.longest: dict[bytes, int] = {}
+        self.token = {r: t for t, r in ranks.items()}
+        #: Sizes of the tokens of two bytes or more that end with given three bytes, the longest first.
+        found: dict[bytes, set[int]] = {}
         for token in ranks:
-            self.longest[token[-2:]] = max(len(token), self.longest.get(token[-2:], 0))
+            if len(token) > 2:
+                found.setdefault(token[-3:], {2}).add(len(token))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+        self.base = max(ranks.values()) + 1
         most = max(map(len, ranks))
         self.step = np.dtype(np.int8 if most < 127 + 2 else np.int16)
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
+        self._apart: dict[int, bool] = {}
         self._tables: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
 
@@ -91,33 +96,34 @@ class Encoder:
             return [text[a:b] for _, (a, b) in self.exact.pre_tokenizer.pre_tokenize_str(text)]
         return _PIECES.findall(text)
 
-    def _stay_apart(self, pair: tuple[bytes, bytes]) -> bool:
+    def _stay_apart(self, left: int, right: int) -> bool:
         """Whether the encoding of two tokens together is these two."""
         if len(self._apart) > _PAIRS:
             self._apart.clear()
-        left, right = pair
-        said = self._apart[pair] = self.fast._encode_single_piece(left + right) == [self.ranks[left], self.ranks[right]]
+        said = self._apart[left * self.base + right] = self.fast._encode_single_piece(self.token[left] + self.token[right]) == [left, right]
         return said
 
     def counts(self, piece: bytes) -> list[int]:
         """Tokens of the first 0, 1, ... bytes of a piece, by dynamic programming over its bytes."""
-        count, last = [0], [b""]
-        ranks, longest, apart = self.ranks, self.longest, self._apart
+        count, last = [0], [-1]
+        rank, sizes, apart, base = self.ranks.get, self.sizes.get, self._apart.get, self.base
         for i in range(1, len(piece) + 1):
-            size = min(i, longest.get(piece[max(0, i - 2) : i], 1))
-            while size > 1:
-                token = piece[i - size : i]
-                if token in ranks:
-                    if size == i:
-                        break
-                    pair = (last[i - size], token)
-                    if (said := apart.get(pair)) is None:
-                        said = self._stay_apart(pair)
-                    if said:
-                        break
-                size -= 1
-            count.append(count[i - size] + 1)  # the one byte alone, if nothing longer fits
-            last.append(piece[i - size : i])
+            for size in sizes(piece[i - 3 : i], _TWO) if i > 2 else _TWO:
+                if size >= i:
+                    if size > i or (token := rank(piece[:i])) is None:
+                        continue
+                    break
+                if (token := rank(piece[i - size : i])) is None:
+                    continue
+                before = last[i - size]
+                if (said := apart(before * base + token)) is None:
+                    said = self._stay_apart(before, token)
+                if said:
+                    break
+            else:
+                size, token = 1, rank(piece[i - 1 : i])  # the one byte alone, if nothing longer fits
+            count.append(count[i - size] + 1)
+            last.append(token)
         return count
 
     def _table(self, piece: str) -> bytes:
@@ -130,10 +136,14 @@ class Encoder:
             count = self.counts(raw)
             if piece in _LONG_CONTRACTIONS:
                 count[2] = 2
-            if len(raw) == len(piece):  # each byte is a character
-                held = array.array(self.step.char, map(operator.sub, count[1:], count)).tobytes()
+            if len(raw) > len(piece):  # a byte within a character is no prefix's end
+                ends = [0, *(k for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80), len(raw)]
+                steps = [INSIDE] * len(raw)
+                for a, b in zip(ends, ends[1:], strict=False):
+                    steps[b - 1] = count[b] - count[a]
+                held = array.array(self.step.char, steps).tobytes()
             else:
-                held = self._steps(raw, np.array(count)).tobytes()
+                held = array.array(self.step.char, map(operator.sub, count[1:], count)).tobytes()
         if len(piece) <= _SHORT:
             if len(self._tables) >= _REMEMBERED:
                 self._before, self._tables = self._tables, {}
