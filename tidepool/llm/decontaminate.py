@@ -202,14 +202,13 @@ class Length:
         self.value, self.item, self.offset = value[order], (order // runs).astype(np.int32), (order % runs).astype(np.int32)
         self.keys = [keys(self.words, walk) for walk in range(walks_for(n, self.edits, self.recall))]
 
-    def seeded(self, prints: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Row, start and item of the windows that share a seed in place with an item, in parts of bounded size."""
+    def seeded(self, hit: np.ndarray, prints: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, start and item of the windows that share a seed in place with an item, in parts of bounded size; hit and
+        prints: places of seeds, of these or other items, and their fingerprints."""
         low = np.searchsorted(self.value, prints, "left")
-        hit = np.flatnonzero(self.value[np.minimum(low, len(self.value) - 1)] == prints)
-        row = np.searchsorted(places, hit, "right") - 1
-        hit = hit[hit + self.seed <= places[row + 1]]
-        low = low[hit]
-        count = np.searchsorted(self.value, prints[hit], "right") - low
+        count = np.searchsorted(self.value, prints, "right") - low
+        own = np.flatnonzero(count)
+        hit, low, count = hit[own], low[own], count[own]
         pieces = -(-count // PART)  # a seed that very many items have is taken in parts as well
         piece = spread(np.zeros(len(hit), np.int64), pieces)
         hit, low, count = (np.repeat(x, pieces) for x in (hit, low, count))
@@ -228,13 +227,13 @@ class Length:
         inside = (index >= places[row][:, None]) & (index < places[row + 1][:, None])
         return np.where(inside, units[np.clip(index, 0, len(units) - 1)], _PAD)
 
-    def candidates(self, units: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def candidates(self, units: np.ndarray, places: np.ndarray, hit: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row, start and item of windows that have a seed and a key of some walk in common with the item.
 
         Each word of the item that the window and its surroundings lack costs an edit, so windows that lack too many
         are spared the walks."""
         n, k = self.words.shape[1], self.edits
-        for row, start, item in self.seeded(prints, places):
+        for row, start, item in self.seeded(hit, prints, places):
             step = max(1, CELLS // (n * (n + 2 * k)))
             kept = []
             for a in range(0, len(row), step):
@@ -252,10 +251,10 @@ class Length:
                     met[r] = (mine == theirs[item[r]]).any(axis=1)
             yield row[met], start[met], item[met]
 
-    def found(self, units: np.ndarray, places: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    def found(self, units: np.ndarray, places: np.ndarray, hit: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(row, item_id, start_word, n_words, distance, item_words) of each candidate that holds its item."""
         n, k = self.words.shape[1], self.edits
-        for row, start, item in self.candidates(units, places, prints):
+        for row, start, item in self.candidates(units, places, hit, prints):
             step = max(1, CELLS // (n + 2 * k + 1))
             for a in range(0, len(row), step):
                 r, s, i = row[a : a + step], start[a : a + step], item[a : a + step]
@@ -280,6 +279,19 @@ class Items:
             for a in range(0, len(own), step):
                 part = own[a : a + step].tolist()
                 self.lengths.append(Length(np.array([ids[k] for k in part]), np.stack([words[k] for k in part]), int(max_share * n), recall))
+        #: All seeds by their size, so that a text is looked up once and not once for each number of words.
+        self.seeds = {m: np.unique(np.concatenate([x.value for x in self.lengths if x.seed == m])) for m in {x.seed for x in self.lengths}}
+
+    def hits(self, units: np.ndarray, places: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each size of seeds the places in a row at which one stands, and their fingerprints."""
+        out, hashes = {}, RollingHash(units)
+        for size, values in self.seeds.items():
+            prints = hashes.windows(size)
+            at = np.searchsorted(values, prints)
+            hit = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == prints)
+            hit = hit[hit + size <= places[np.searchsorted(places, hit, "right")]]
+            out[size] = hit, prints[hit]
+        return out
 
 
 def read_items(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -307,15 +319,10 @@ def index_items(block: list[tuple[int, str]], max_share: float, recall: float) -
 def found_in_block(items: Items, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item_id, start_word, n_words, distance, item_words) for each row of a block and each item in it, verified."""
     units, places = normalised(data, at)
-    prints: dict[int, np.ndarray] = {}
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    hashes = RollingHash(units)
+    hits = items.hits(units, places)
     for length in items.lengths:
-        if length.seed not in prints:
-            prints[length.seed] = hashes.windows(length.seed)
-        if not len(prints[length.seed]):
-            continue
-        for row, item, start, size, distance, n in length.found(units, places, prints[length.seed]):
+        for row, item, start, size, distance, n in length.found(units, places, *hits[length.seed]):
             spot = (distance, start, size, n)
             best[row, item] = min(best.get((row, item), spot), spot)
     return [(r, i, s, n, d, m) for (r, i), (d, s, n, m) in sorted(best.items())]
