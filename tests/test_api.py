@@ -25,12 +25,40 @@ def test_engine_equals_batch_and_reports(spark, tmp_path):
     got = []
     for low, high in ((0, 70), (70, 80), (80, 200)):
         got += one.ingest(messages.filter(F.col("seq").between(low, high - 1)).repartition(3))
-    want = clustering.assignments(pipeline.canonical(messages), settings.cluster).orderBy("seq").collect()
+    want = clustering.assignments(pipeline.stateless(messages), settings.cluster).orderBy("seq").collect()
     assert got == [(r.seq, r.canonical, r.cluster_id, r.slot_id, r.is_new, r.hot) for r in want]
     assert {tuple(r) for r in one.registry().collect()} == {tuple(r) for r in registry.registry(pipeline.canonical(messages)).collect()}
     state = json.loads(sent[-1])
     assert len(sent) == 3 and state["ingested"] == 200 and state["unique"] == one.registry().count()
     assert sum(1 for _ in state["clusters"]) <= settings.cluster.max_slots
+    assert state["timings"]["fold"]["count"] == 3
+
+
+def test_a_batch_that_comes_again_and_a_restart(spark, tmp_path):
+    rows = [(i, "s", n, t) for i, _, n, t in chat(spark, 90)]
+    messages = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("seq"))
+    part = lambda a, b: messages.filter(F.col("seq").between(a, b - 1))
+    whole = Engine(spark, str(tmp_path / "whole"))
+    want = whole.ingest(part(0, 30)) + whole.ingest(part(30, 60)) + whole.ingest(part(60, 90))
+    one = Engine(spark, str(tmp_path / "parts"))
+    got = one.ingest(part(0, 30), 0) + one.ingest(part(30, 60), 1)
+    assert one.ingest(part(30, 60), 1) == []  # again
+    two = Engine(spark, str(tmp_path / "parts"))  # after a restart
+    assert two.ingest(part(30, 60), 1) == [] and two.total == 60
+    got += two.ingest(part(60, 90), 2)
+    assert got == want and {tuple(r) for r in two.registry().collect()} == {tuple(r) for r in whole.registry().collect()}
+
+
+def test_typed_messages_and_clients(spark, tmp_path):
+    one = Engine(spark, str(tmp_path), timed=False)
+    channel = one.channel(size=2)
+    client, slow = channel.subscribe(), channel.subscribe()
+    assert json.loads(client.take()[0])["ingested"] == 0  # the state at arrival
+    assert one.ask("nb") == ("牛逼", "c1") and one.ask("12345") is None and one.ask("牛批")[1] == "c1"
+    assert len(client.take()) == 2 and client.dropped == 1  # two fit, the third was dropped
+    assert len(slow.waiting) == 2 and slow.dropped == 2
+    channel.leave(slow)
+    assert channel.clients == [client] and json.loads(one.state())["timings"] == {}
 
 
 def test_threshold_holds_from_the_next_message_on(spark, tmp_path):
@@ -48,7 +76,9 @@ def test_stage_dumps(spark, tmp_path):
     read = {n: spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/{n}").collect() for n in names}
     assert [r.message for r in read["step1_filtered"]] == ["12345"]
     assert {r.message for r in read["step3_compressed"]} == {"牛逼", "哈", 'with "quotes", and commas'}
-    assert {r.text: r["count"] for r in read["step5_frequencies"]}["牛逼"] == "2"
+    assert {(r.text, r["count"], r["rank"], r.first_date) for r in read["step6_frequencies"]} >= {("牛逼", "2", "1", "1970-01-01")}
+    assert sorted(r.message for r in read["step5_changed"]) == ["哈", "牛逼", "牛逼"] and len(names) == 8
+    assert [(r.seq, r.is_new_unique) for r in sorted(read["step6_dedup"], key=lambda r: int(r.seq))] == [("0", "true"), ("1", "true"), ("3", "false"), ("4", "true")]
 
 
 def test_append_variants(spark, tmp_path):

@@ -1,15 +1,17 @@
 """Registry, SimHash, clustering and streaming."""
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepool.config import ClusterSettings
-from tidepool.operators import clustering, metrics, mining, pipeline, registry, simhash, vectors
-from tidepool.operators.leader import LeaderFollower, hashed_ngrams, two_means
+from tidepool.operators import clustering, metrics, mining, ordered, pipeline, registry, simhash, vectors
+from tidepool.operators.leader import LeaderFollower, hashed_ngrams, model, register_model, two_means
 from tidepool.sources import messages
 from tidepool.streaming import engine
 
@@ -43,6 +45,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "v.json").write_text('{"XX": "yy"}')
     assert [tuple(r) for r in messages.variants_json(spark, str(tmp_path / "v.json")).collect()] == [("xx", "yy")]
     assert {r.variant: r.canonical for r in messages.variants(spark).collect()}["破防了"] == "哭了"
+    (tmp_path / "v.yaml").write_text("variants:\n  good: [gd, 'go od']\n  bad:\n    - bd\n  none:\n", encoding="utf-8")
+    assert messages.variants_yaml(spark, str(tmp_path / "v.yaml")) == [("gd", "good"), ("go od", "good"), ("bd", "bad")]
+    base, upload = (spark.createDataFrame(x, "variant string, canonical string") for x in ([("a", "1"), ("b", "2")], [("b", "3"), ("c", "4")]))
+    assert {tuple(r) for r in messages.variants_over(base, upload).collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
 
 
 @pytest.mark.parametrize("distance", [0, 2, 3, 7])
@@ -149,6 +155,7 @@ def test_split_of_a_spread_slot():
     slot.members, slot.centroid = [(x, "r") for x in e], np.array([0.4, 0.4, 0, 0])
     fold.maintain(0.0)
     assert sorted(fold.regular) == ["k", "k*"] and {x.count for x in fold.regular.values()} == {2}
+    assert [(x.cluster_id, x.slot_id, x.canonical) for x in fold.regular.values()] == [("c1", 1, "k"), ("c2", 2, "k")]
     assert two_means(np.stack(e)).tolist() == [0, 1, 0, 1]
 
 
@@ -163,7 +170,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = chat(spark)
     schema = "msg_id string, stream string, seq long, raw_text string"
     s = ClusterSettings(maintenance_interval=50, hot_count=20)
-    timed = lambda df: pipeline.canonical(df.withColumn("ts", F.timestamp_seconds("seq")))
+    timed = lambda df: pipeline.stateless(df.withColumn("ts", F.timestamp_seconds("seq")))
     for k, size in enumerate([150, 10, 240]):
         part = rows[sum([150, 10, 240][:k]) :][:size]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -208,6 +215,123 @@ def test_invariants_on_the_sample(spark):
     assert registry.registry(c).agg(F.sum("n")).first()[0] == total
     slots = clustering.clusters(c, ClusterSettings(anchor_threshold=0.5)).toPandas()
     assert (slots[slots.tier == "c"].groupby("stream").size() <= 40).all() and (slots.n_members <= 50).all()
-    assert abs(float(hashed_ngrams("hello") @ hashed_ngrams("hello")) - 1) < 1e-9
+    assert abs(float(hashed_ngrams(["hello"])[0] @ hashed_ngrams(["hello"])[0]) - 1) < 1e-9
     assert isinstance(metrics.snapshot(registry.dedup_rate(pipeline.cleansed(lines), c), clustering.clusters(c)).first().state, str)
     assert isinstance(slots, pd.DataFrame)
+
+
+def test_hot_slots_split_with_numbers_of_their_own():
+    fold = LeaderFollower(ClusterSettings(hot_count=3, hot_split_threshold=0.9, hot_centroid_threshold=0.0, hot_anchor_threshold=0.0))
+    for k in range(3):
+        fold.take(k, 0.0, "k", "k", np.array([1.0, 0.0]))
+    slot = fold.hot["k"]
+    assert (slot.cluster_id, slot.slot_id) == ("p1", 1)
+    slot.members = [(np.array(x), "r") for x in ([1.0, 0], [0, 1.0], [1.0, 0], [0, 1.0])]
+    fold.maintain(0.0)
+    assert [(x.cluster_id, x.slot_id) for x in fold.hot.values()] == [("p1", 1), ("p2", 2)]
+
+
+def test_new_dimension_empties_a_tier_and_thresholds_hold_from_here():
+    fold = LeaderFollower()
+    fold.take(0, 0.0, "a", "a", np.array([1.0, 0.0]))
+    fold.take(1, 1.0, "b", "b", np.array([1.0, 0.0, 0.0]))
+    assert list(fold.regular) == ["b"]
+    fold.set_thresholds(centroid=5, anchor=-1)
+    assert (fold.s.centroid_threshold, fold.s.anchor_threshold) == (0.99, 0.01)
+
+
+def test_control_changes_thresholds_on_the_way(spark):
+    lines = said(spark, ["hello there", "hello thxre", "hello thyre"])
+    control = spark.createDataFrame([("s", 1, 0.99, 0.99), ("s", 2, 0.01, 0.01)], "stream string, seq long, centroid double, anchor double")
+    made = pipeline.canonical(lines)
+    plain = [r.is_new for r in clustering.assignments(made).orderBy("seq").collect()]
+    told = [r.is_new for r in clustering.assignments(made, control=control).orderBy("seq").collect()]
+    assert plain == [True, False, False] and told == [True, True, False]
+
+
+def test_models_are_asked_for_batches_and_loaded_once():
+    asked, loaded = [], []
+
+    def factory():
+        loaded.append(1)
+        return lambda texts: (asked.append(len(texts)), hashed_ngrams(texts))[1]
+
+    one = register_model("counting", factory, batch=3)
+    assert one([f"t{i}" for i in range(8)]).shape == (8, 64) and model("counting", 5)(["x"]).shape == (1, 64)
+    assert asked == [3, 3, 2, 1] and loaded == [1]
+
+
+def test_null_streams_fold_apart(spark):
+    rows = [("1", None, 1, "hello"), ("2", "a", 2, "hello"), ("3", None, 3, "hello")]
+    made = pipeline.canonical(spark.createDataFrame(rows, "msg_id string, stream string, seq long, raw_text string").withColumn("ts", F.timestamp_seconds("seq")))
+    assert {(r.stream, r.seq): r.is_new for r in clustering.assignments(made).collect()} == {(None, 1): True, ("a", 2): True, (None, 3): False}
+    assert {(r.stream, r.total_count) for r in clustering.clusters(made).collect()} == {(None, 2), ("a", 1)}
+
+
+def test_ordered_helpers_do_not_depend_on_stretches(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"k{rng.integers(0, 3)}", int(i), int(rng.integers(0, 9))) for i in rng.permutation(200)], "k string, i long, v int")
+    for span in (1, 7, 1 << 40):
+        assert {tuple(r) for r in ordered.previous(rows, "k", "i", "v", "before", span).collect()} == {
+            tuple(r) for r in rows.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("i"))).filter("before is not null").collect()
+        }
+        assert {tuple(r) for r in ordered.count_before(rows, "k", "i", "n", span).collect()} == {tuple(r) for r in rows.withColumn("n", (F.row_number().over(Window.partitionBy("k").orderBy("i")) - 1).cast("long")).collect()}
+
+
+def test_merge_of_equal_fingerprints_is_part_of_the_pipeline(spark, monkeypatch):
+    lines = said(spark, ["first long text", "another long text", "short", "first long text", "third long text"])
+    real = simhash.fingerprint
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, ngram=3: F.when(text.like("%long%") & ~text.like("third%"), F.lit(7).cast("long")).otherwise(real(text, ngram)))
+    made = pipeline.canonical(lines)
+    assert [r.canonical for r in made.orderBy("seq").collect()] == ["first long text", "first long text", "short", "first long text", "third long text"]
+    assert {(r.canonical, r.n) for r in pipeline.counted(lines).collect()} == {("first long text", 3), ("short", 1), ("third long text", 1)}
+    assert pipeline.stage_changes(lines).first().simhash_merged == 1
+
+
+def test_votes_of_long_texts(spark):
+    """More n-grams than the packed counters hold are counted one by one."""
+    texts = ["".join(chr(97 + (i * i + 3 * i) % 17) for i in range(n)) for n in (1, 2, 8, 128, 129, 130, 400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", simhash.fingerprint(F.col("t")).alias("fp")).collect():
+        grams = [r.t[i : i + 3] for i in range(max(1, len(r.t) - 2))]
+        hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[8:], "big") for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r.fp & (1 << 64) - 1 == want
+
+
+def test_sliding_expiry_in_a_stream(spark, tmp_path):
+    rows = [("a", 0), ("a", 500), ("a", 1000), ("b", 1000), ("a", 1700), ("b", 1500), ("a", 2299)]
+    frame = spark.createDataFrame(rows, "canonical string, t long").select("canonical", F.timestamp_seconds(F.col("t") + 10**6).alias("ts"))
+    for k in range(0, len(rows), 3):  # several micro-batches
+        spark.createDataFrame(rows[k : k + 3], "canonical string, t long").select("canonical", F.timestamp_seconds(F.col("t") + 10**6).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = engine.cache_hits(read, "canonical", "ts", delay="1 hour").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append")
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = {(r.canonical, int(r.ts.timestamp()) - 10**6): r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 0): False, ("a", 500): True, ("a", 1000): True, ("a", 1700): False, ("a", 2299): True, ("b", 1000): False, ("b", 1500): True}
+
+
+def test_idle_hot_slots_go_by_a_timer(spark, tmp_path):
+    """A stream that has been silent for the hot slots' time to live loses them when the watermark passes."""
+    schema = "msg_id string, stream string, seq long, raw_text string"
+    s = ClusterSettings(hot_count=2, hot_ttl_seconds=10, maintenance_interval=10**9)
+    batches = [[("1", "x", 1, "hello"), ("2", "x", 2, "hello")], [("3", "y", 100, "other")], [("4", "y", 200, "other")], [("5", "x", 201, "hello")]]
+    for b in batches:
+        spark.createDataFrame(b, schema).withColumn("ts", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, idle in (("timed", "1 second"), ("plain", None)):
+        out = engine.assignments(pipeline.stateless(read), s, idle=idle).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"at-{name}")).outputMode("append")
+        out.trigger(availableNow=True).start().awaitTermination()
+    seen = {name: {r.seq: (r.cluster_id, r.is_new) for r in spark.read.parquet(str(tmp_path / name)).collect()} for name in ("timed", "plain")}
+    assert seen["plain"][201] == ("p1", False) and seen["timed"][201][1] is True
+
+
+def test_stage_timer():
+    timer, off = metrics.StageTimer(recent=2), metrics.StageTimer(False)
+    for ms in (1.0, 2.0, 6.0):
+        timer.record("a", ms)
+        off.record("a", ms)
+    with timer.stage("b", 10), off.stage("b"):
+        pass
+    assert timer.stats()["a"] == {"avg_ms": 3.0, "recent_avg_ms": 4.0, "min_ms": 1.0, "max_ms": 6.0, "count": 3}
+    assert list(timer.stats()) == ["a", "b"] and off.stats() == {}

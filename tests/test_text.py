@@ -70,17 +70,31 @@ def test_penalty_and_jaccard(spark):
     assert [r.j for r in sets.select(tx.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [pytest.approx(1 / 3), 0.0]
 
 
-def test_dictionary_golden():
-    listed = dict(dictionaries.entries())
-    vocabulary = set(listed) | set(listed.values())
-    go = lambda t: dictionary.replace_tokens(dictionary.segment(t, vocabulary, 8), listed)
-    assert [go(x) for x in ("牛批", "nb", "NB", "yyds", "破防了", "hhhh")] == ["牛逼", "牛逼", "牛逼", "永远的神", "哭了", "哈哈哈"]
-    assert go("??不是") == "??不是"
-    # a token that sounds like one canonical only counts if that is trusted
-    keys, sound = {"jia1you2": "加油"}, {"佳油": "jia1you2"}
-    assert dictionary.replace_tokens(["佳油"], listed, keys, sound, trusted=[]) == "佳油"
-    assert dictionary.replace_tokens(["佳油"], listed, keys, sound, trusted=["加油"]) == "加油"
-    assert dictionary.replace_tokens(["佳油"], listed, keys, sound) == "加油"
+def test_dictionary_golden(spark):
+    lexicon = dictionary.VARIANT_LEXICON
+    cut, words = lexicon.cut(), dict(lexicon.words)
+    go = lambda t: "".join(x for x, _ in dictionary.replaced(cut(t), words))
+    texts = ["牛批", "nb", "NB", "yyds", "破防了", "hhhh", "??不是", "nbc", "主播nb啊", "none of them"]
+    want = ["牛逼", "牛逼", "牛逼", "永远的神", "哭了", "哈哈哈", "??不是", "nbc", "主播牛逼啊", "none of them"]
+    assert [go(x) for x in texts] == want
+    assert column(spark, [*texts, None], lexicon.normalised) == [*want, None]
+    # any segmenter will do
+    assert column(spark, ["xnb"], dictionary.Lexicon(lexicon.words, lambda t: [t[:1], t[1:]]).normalised) == ["xnb"]  # no token by the usual rule
+    assert dictionary.replaced(["灰", "泽", "满", "酱"], words) == [("主播", False)]
+
+
+def test_homophones_need_a_key_a_term_and_trust(spark):
+    keys = spark.createDataFrame([("佳油", "jia1you2"), ("加油", "jia1you2"), ("无底", "wu2di2"), ("无敌", "wu2di2"), ("吴迪", "wu2di2")], "token string, key string")
+    lexicon = dictionary.Lexicon.of(dict(dictionaries.entries()), lambda t: [t[i : i + 2] for i in range(0, len(t), 2)])
+    texts = spark.createDataFrame([("佳油", 5), ("佳油吴迪", 6), ("ab佳油", 7), ("佳油", 8)], "cleaned string, first_seq long").dropDuplicates(["cleaned"])
+    got = {r.cleaned: r.normalized for r in dictionary.homophones(texts, lexicon, keys).collect()}
+    assert got == {"佳油": "加油", "佳油吴迪": "加油无敌", "ab佳油": "ab加油"}
+    trusted = spark.createDataFrame([("加油", 5), ("无敌", 6)], "term string, since long")
+    assert {r.cleaned: r.normalized for r in dictionary.homophones(texts.filter("first_seq > 5"), lexicon, keys, trusted).collect()} == {"佳油吴迪": "加油吴迪", "ab佳油": "ab加油"}
+    # two terms that sound alike name none
+    both = lexicon.words + (("x", "嘉游"),)
+    more = keys.union(spark.createDataFrame([("嘉游", "jia1you2")], "token string, key string"))
+    assert dictionary.homophones(texts, dictionary.Lexicon(both, lexicon.segmenter), more).filter("normalized like '%加油%'").isEmpty()
 
 
 def test_settings_take_known_names_only():
@@ -88,6 +102,7 @@ def test_settings_take_known_names_only():
     assert (got.cluster.max_slots, got.cleanse.max_length) == (7, 64)
     with pytest.raises(KeyError):
         Settings().with_values({"cluster.slots": "7"})
+    assert Settings.from_yaml("cluster:\n  max_slots: 9\nsimhash:\n  min_length: 4\n").cluster.max_slots == 9
 
 
 def test_browser_profile(spark):

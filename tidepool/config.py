@@ -31,6 +31,7 @@ class ClusterSettings:
     hot_ttl_seconds: float = 600.0
     keyword_weight: float = 0.7
     keyword_topk: int = 5
+    embed_batch: int = 32
 
 
 @dataclass(frozen=True)
@@ -65,6 +66,14 @@ class Settings:
             out = replace(out, **{part: replace(section, **{field: type(getattr(section, field))(value)})})
         return out
 
+    @classmethod
+    def from_yaml(cls, text: str) -> Settings:
+        """Defaults with the values of a file of sections, as ``cluster: {max_slots: 40}``."""
+        import yaml
+
+        said = yaml.safe_load(text) or {}
+        return cls().with_values({f"{part}.{name}": str(value) for part, values in said.items() for name, value in (values or {}).items()})
+
     @classmethod
     def from_session(cls, spark: SparkSession, prefix: str = "spark.tidepool.") -> Settings:
         """Defaults with what the session sets under spark.tidepool."""

@@ -123,3 +123,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def heat_ratio(count: Column, most: Column) -> Column:
     return F.log10(1 + 9 * count / most)
+
+
+def mentions(text: Column, words: list[str]) -> Column:
+    """Whether the text may have one of the words as tokens: it holds the word, not inside a longer Latin run."""
+    latin = "0-9A-Za-z"
+
+    def bounded(w: str) -> str:
+        head = f"(?<![{latin}])" if w[0].isascii() and w[0].isalnum() else ""
+        tail = f"(?![{latin}])" if w[-1].isascii() and w[-1].isalnum() else ""
+        return head + "\\Q" + w + "\\E" + tail
+
+    return text.rlike("|".join(map(bounded, sorted(words)))) if words else F.lit(False)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from .ordered import previous
 
 
 def keywords(messages: DataFrame, top: int = 5) -> DataFrame:
@@ -26,5 +27,5 @@ def signature(keywords: DataFrame, group: str, top: int = 5) -> DataFrame:
 
 def neighbour_similarity(keywords: DataFrame) -> DataFrame:
     """seq and the Jaccard similarity of a message's keywords with those of the one before it in its stream."""
-    before = F.lag("keywords").over(Window.partitionBy("stream").orderBy("seq"))
-    return keywords.select("seq", "keywords", before.alias("before")).filter("before is not null").select("seq", F.round(tx.jaccard(F.col("keywords"), F.col("before")), 6).alias("jaccard"))
+    met = previous(keywords.select("stream", "seq", "keywords"), "stream", "seq", "keywords", "before")
+    return met.select("seq", F.round(tx.jaccard(F.col("keywords"), F.col("before")), 6).alias("jaccard"))

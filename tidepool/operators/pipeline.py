@@ -1,4 +1,9 @@
-"""The stateless stages: cleanse, then dictionary, then cycle compression."""
+"""From messages to canonical texts: cleanse, dictionary, cycle compression, SimHash merge.
+
+Cleansing, dictionary and compression are columns and hold for batches and streams alike.  Homophones need to know
+which terms were trusted when a text was first seen, and the SimHash merge which text was first: both are joins on
+the different texts of a batch.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as tx
+from . import dictionary, simhash
+from .dictionary import VARIANT_LEXICON, Lexicon
 
 
 def cleansed(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -21,18 +28,69 @@ def kept(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return cleansed(messages, settings).filter(~F.col("filtered")).drop("filtered")
 
 
-def canonical(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Kept messages with ``canonical``.  Cycles are compressed once: a second pass could change the text again."""
-    return tx.once(kept(messages, settings), "canonical", tx.compress_cycle(F.col("cleaned")))
+def compressed(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:
+    """Kept messages with ``normalized`` and ``compressed``, without what depends on other messages."""
+    normalised = kept(messages, settings).withColumn("normalized", lexicon.normalised(F.col("cleaned")))
+    return _compressed(normalised)
+
+
+def _compressed(normalised: DataFrame) -> DataFrame:
+    """Cycles are compressed once: a second pass could change the text again."""
+    return tx.once(normalised, "compressed", tx.compress_cycle(F.col("normalized")))
+
+
+def stateless(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:
+    """Messages with ``canonical`` by the stages that look at one message alone: what a stream can do."""
+    return compressed(messages, settings, lexicon).withColumn("canonical", F.col("compressed"))
+
+
+def sounded(messages: DataFrame, settings: Settings, lexicon: Lexicon, keys: DataFrame) -> DataFrame:
+    """``compressed`` with tokens that sound like a trusted term replaced; a text keeps what it became when it was first seen.
+
+    A term is trusted once enough messages before are that term without a homophone's help."""
+    plain = compressed(messages, settings, lexicon)
+    terms = messages.sparkSession.createDataFrame([(c,) for c in sorted({c for _, c in lexicon.words})], "term string")
+    trusted = dictionary.trusted_since(plain.select(F.col("compressed").alias("canonical"), "seq"), terms, settings.cache.trusted_count)
+    texts = plain.groupBy("cleaned").agg(F.min("seq").alias("first_seq"))
+    changed = dictionary.homophones(texts, lexicon, keys, trusted).withColumnRenamed("normalized", "sounded")
+    met = plain.drop("compressed").join(changed, "cleaned", "left").withColumn("normalized", F.coalesce("sounded", "normalized")).drop("sounded")
+    return _compressed(met)
+
+
+def merges(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """compressed and merged for texts that another text with the same fingerprint came before; texts: compressed, first_seq."""
+    long_enough = texts.filter(F.length("compressed") >= settings.simhash.min_length).withColumnRenamed("compressed", "canonical")
+    prints = simhash.fingerprints(long_enough, settings.simhash)
+    first = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("canonical", F.struct("first_seq", "canonical")).alias("merged")).filter("n > 1")
+    return prints.join(first, "fp").filter("canonical <> merged").select(F.col("canonical").alias("compressed"), "merged")
+
+
+def canonical(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON, keys: DataFrame | None = None) -> DataFrame:
+    """Kept messages with the text of every stage: cleaned, normalized, compressed and ``canonical``.
+
+    keys (token, key) says how tokens sound; without it no homophones are replaced."""
+    found = compressed(messages, settings, lexicon) if keys is None else sounded(messages, settings, lexicon, keys)
+    texts = found.groupBy("compressed").agg(F.min("seq").alias("first_seq"))
+    met = found.join(merges(texts, settings), "compressed", "left")
+    return met.withColumn("canonical", F.coalesce("merged", "compressed")).drop("merged")
+
+
+def counted(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:
+    """canonical, n, first_seq, last_seq: the registry of ``canonical``, merged text by text and not message by message."""
+    texts = compressed(messages, settings, lexicon).groupBy("compressed").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    met = texts.join(merges(texts, settings), "compressed", "left")
+    return met.groupBy(F.coalesce("merged", "compressed").alias("canonical")).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 
-def stage_changes(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def stage_changes(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:
     """How many messages each stage drops or changes."""
-    staged = cleansed(messages, settings).withColumn("compressed", tx.compress_cycle(F.col("cleaned")))
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
-    return staged.agg(
-        F.count("*").alias("n_messages"),
-        count(F.col("filtered")).alias("n_filtered"),
-        count(F.coalesce(F.col("raw_text") != F.col("cleaned"), F.lit(False))).alias("cleanse_changed"),
-        count(F.coalesce(F.col("cleaned") != F.col("compressed"), F.lit(False))).alias("cycle_changed"),
+    total = messages.agg(F.count("*").alias("n_messages"))
+    count = lambda a, b: F.coalesce(F.sum((F.col(a) != F.col(b)).cast("long")), F.lit(0).cast("long"))
+    changed = canonical(messages, settings, lexicon).agg(
+        F.count("*").alias("n_kept"),
+        count("raw_text", "cleaned").alias("cleanse_changed"),
+        count("cleaned", "normalized").alias("dictionary_changed"),
+        count("normalized", "compressed").alias("cycle_changed"),
+        count("compressed", "canonical").alias("simhash_merged"),
     )
+    return total.join(changed).select("n_messages", (F.col("n_messages") - F.col("n_kept")).alias("n_filtered"), "cleanse_changed", "dictionary_changed", "cycle_changed", "simhash_merged")

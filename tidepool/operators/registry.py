@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CacheSettings
+from .ordered import count_before
 
 
 def registry(canonical: DataFrame) -> DataFrame:
@@ -36,11 +37,15 @@ def last_members(canonical: DataFrame, keep: int = 5) -> DataFrame:
     return last.groupBy("canonical").agg(_joined(F.struct("seq", "raw_text")).alias("members"))
 
 
-def distinct_raws(canonical: DataFrame) -> DataFrame:
-    """canonical, how many different raw texts it has, and the first ten of them in order of first sight, joined by |."""
+def distinct_raws(canonical: DataFrame, keep: int | None = 10) -> DataFrame:
+    """canonical, how many different raw texts it has, and the first ``keep`` of them (all if None) in order of first sight, joined by |."""
     once = canonical.groupBy("canonical", "raw_text").agg(F.min("seq").alias("seq"))
+    shown = F.struct("seq", "raw_text")
+    if keep is None:
+        return once.groupBy("canonical").agg(F.count("*").alias("n_raws"), _joined(shown).alias("raws"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("canonical").orderBy("seq")))
-    return ranked.groupBy("canonical").agg(F.count("*").alias("n_raws"), _joined(F.when(F.col("rank") <= 10, F.struct("seq", "raw_text"))).alias("raws"))
+    first = ranked.filter(F.col("rank") <= keep).groupBy("canonical").agg(_joined(shown).alias("raws"))
+    return once.groupBy("canonical").agg(F.count("*").alias("n_raws")).join(first, "canonical")
 
 
 def dedup_rate(cleansed: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -57,6 +62,11 @@ def frequency_rank(canonical: DataFrame, top: int = 20) -> DataFrame:
     return leading.select(F.row_number().over(Window.orderBy(F.desc("n"), "first_seq")).cast("long").alias("rank"), "canonical", "n", "first_seq")
 
 
+def frequency_table(canonical: DataFrame) -> DataFrame:
+    """canonical, n, first_seq and first_date of every canonical text."""
+    return canonical.groupBy("canonical").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.date_format(F.min_by("ts", "seq"), "yyyy-MM-dd").alias("first_date"))
+
+
 def layers(canonical: DataFrame) -> DataFrame:
     """seq and layer: 3 where a canonical occurs first, else 1.  A join, so that a very frequent canonical can be split."""
     first = canonical.groupBy("canonical").agg(F.min("seq").alias("first_seq"))
@@ -65,17 +75,22 @@ def layers(canonical: DataFrame) -> DataFrame:
 
 def running_trust(canonical: DataFrame, settings: CacheSettings = CacheSettings()) -> DataFrame:
     """seq, how often its canonical occurred before, and whether it was trusted by then."""
-    before = F.count("*").over(Window.partitionBy("canonical").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return canonical.select("seq", before.alias("n_before"), (before >= settings.trusted_count).alias("trusted"))
+    counted = count_before(canonical.select("canonical", "seq"), "canonical", "seq", "n_before")
+    return counted.select("seq", "n_before", (F.col("n_before") >= settings.trusted_count).alias("trusted"))
 
 
 def cache_hit_stage(canonical: DataFrame) -> DataFrame:
-    """seq and the first stage whose text an earlier message had as any of its texts: cleanse, cycle or none."""
-    texts = canonical.select("seq", F.explode(F.array_distinct(F.array("cleaned", "canonical"))).alias("text"))
+    """seq and the first stage whose text an earlier message left in the cache: cleanse, normalize, cycle or none.
+
+    A message leaves its cleaned, its normalized and its canonical text."""
+    texts = canonical.select("seq", F.explode(F.array_distinct(F.array("cleaned", "normalized", "canonical"))).alias("text"))
     first = texts.groupBy("text").agg(F.min("seq").alias("first_seq"))
+    known = canonical.select("seq", "cleaned", "normalized", "compressed")
     # a text that many messages share is a skewed key, which adaptive execution splits
-    known = canonical.join(first.select(F.col("text").alias("cleaned"), F.col("first_seq").alias("cleaned_first")), "cleaned").join(first.select(F.col("text").alias("canonical"), F.col("first_seq").alias("cycle_first")), "canonical")
-    return known.select("seq", F.when(F.col("cleaned_first") < F.col("seq"), "cleanse").when(F.col("cycle_first") < F.col("seq"), "cycle").otherwise("none").alias("stage"))
+    for stage in ("cleaned", "normalized", "compressed"):
+        known = known.join(first.select(F.col("text").alias(stage), F.col("first_seq").alias(f"{stage}_first")), stage, "left")
+    before = lambda stage: F.col(f"{stage}_first") < F.col("seq")
+    return known.select("seq", F.when(before("cleaned"), "cleanse").when(before("normalized"), "normalize").when(before("compressed"), "cycle").otherwise("none").alias("stage"))
 
 
 def liveness(accesses: DataFrame, key: str, ts: str, order: str, settings: CacheSettings = CacheSettings()) -> DataFrame:

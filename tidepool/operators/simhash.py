@@ -10,15 +10,40 @@ from ..config import SimhashSettings
 from ..functions import text as tx
 
 
+#: The bits of each byte value, each in a byte of its own: added up, eight counters in one number.
+_SPREAD = [sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)]
+#: A counter has 7 bits in the topmost byte.
+_COUNTED = 127
+
+
 def fingerprint(text: Column, ngram: int = 3) -> Column:
     """64 votes: a bit is set if more n-grams have it than have it not."""
     hashes = F.transform(tx.ngrams(text, ngram), tx.token_hash)
+    bit = lambda at, there: F.when(there, F.lit(1 << at if at < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+
+    def joined(bits: list[Column]) -> Column:
+        out = bits[0]
+        for b in bits[1:]:
+            out = out.bitwiseOR(b)
+        return out
+
+    def packed(h: Column) -> Column:
+        spread = F.array(*(F.lit(x).cast("long") for x in _SPREAD))
+        byte = lambda x, j: (F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255).cast("long")) + 1).cast("int")
+        none = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in range(8)))
+        add = lambda s, x: F.struct(*((s[f"c{j}"] + F.element_at(spread, byte(x, j))).alias(f"c{j}") for j in range(8)))
+
+        def of(sums: Column) -> Column:
+            votes = lambda j, i: F.shiftrightunsigned(sums[f"c{j}"], 8 * i).bitwiseAND(F.lit(255).cast("long"))
+            return joined([bit(8 * j + i, 2 * votes(j, i) > F.size(h)) for j in range(8) for i in range(8)])
 
-    def of(h: Column) -> Column:
-        bit = lambda i: F.when(2 * F.aggregate(h, F.lit(0), lambda s, x: s + F.getbit(x, i)) > F.size(h), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(bit(i)))
+        return F.transform(F.array(F.aggregate(h, none, add)), of)[0]
 
-    return F.transform(F.array(hashes), of)[0]
+    def plain(h: Column) -> Column:
+        votes = lambda i: F.aggregate(h, F.lit(0), lambda s, x: s + F.getbit(x, F.lit(i)).cast("int"))
+        return joined([bit(i, 2 * votes(i) > F.size(h)) for i in range(64)])
+
+    return F.transform(F.array(hashes), lambda h: F.when(F.size(h) <= _COUNTED, packed(h)).otherwise(plain(h)))[0]
 
 
 def fingerprints(texts: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
@@ -62,3 +87,16 @@ def stage_distances(canonical: DataFrame) -> DataFrame:
     once = canonical.select("cleaned", "canonical").distinct()
     apart = once.select(tx.hamming(fingerprint(F.col("cleaned")), fingerprint(F.col("canonical"))).cast("long").alias("distance"))
     return apart.groupBy("distance").agg(F.count("*").alias("n"))
+
+
+def nearest_canonical(prints: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
+    """canonical, nearest, distance and kind for texts that have another one within the candidate distance before them.
+
+    The nearest one is that of the least distance, the first seen at ties.  Within the automatic distance it takes the
+    text over ("merge"), or gives way if it is the rarer one ("replace"); farther ones are only told ("candidate")."""
+    pairs = near_pairs(prints, settings=settings).join(prints.select(F.col("canonical").alias("canonical_a"), F.col("first_seq").alias("seq_a")), "canonical_a")
+    best = pairs.groupBy(F.col("canonical_b").alias("canonical")).agg(F.min(F.struct("distance", "seq_a", F.col("canonical_a").alias("nearest"))).alias("best"))
+    count = prints.select("canonical", "n")
+    met = best.join(count, "canonical").join(count.select(F.col("canonical").alias("nearest"), F.col("n").alias("n_nearest")), F.col("best.nearest") == F.col("nearest"))
+    kind = F.when(F.col("best.distance") > settings.auto_distance, "candidate").when(F.col("n_nearest") < F.col("n"), "replace").otherwise("merge")
+    return met.select("canonical", "nearest", F.col("best.distance").alias("distance"), kind.alias("kind"))

@@ -28,13 +28,19 @@ def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.registry(_canonical(spark, sf_dir))
+    return pipeline.counted(_lines(spark, sf_dir))
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(_registry(spark, sf_dir))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the texts before the SimHash merge."""
+    made = pipeline.compressed(_lines(spark, sf_dir))
+    return simhash.fingerprints(made.groupBy(F.col("compressed").alias("canonical")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")))
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.canonical(messages.conversation_turns(spark, sf_dir))
 
@@ -51,6 +57,40 @@ def filtered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("seq", "filtered", F.when(F.col("filtered"), "filtered").otherwise("kept").alias("part"))
 
 
+#: Variants of the sample's own words beside the engine's, so that the dictionary has something to do.
+SAMPLE_LEXICON = dictionary.Lexicon.of(dict(dictionaries.entries()) | dictionaries.LATIN)
+
+#: Messages that show every rule of cleansing, dictionary and compression, in order.
+GOLDEN = [
+    "", "   ", "１２３４５", "12345", "①②③④⑤", "666", "1234", "ＡＢＣ　ｄ", "a\t\n b", "x\u0007y", "x\u200by", "👨\u200d👩", "a" * 128 + "b", "哈哈哈哈哈哈", "加油加油加油加",
+    "🎶🎤🐛🎶🎤🐛🎶🎤🐛", "aaabbb", "abab", "2333", "aaababab", "牛批", "nb", "ＮＢ", "yyds", "破防了", "？？不是", "hhhh", "nb nb nb", "nbc", "主播nb啊",
+]
+
+#: How some tokens sound, and messages in which such a token becomes a term once that term is trusted.
+SOUNDS = [("佳油", "jia1you2"), ("加油", "jia1you2"), ("谢谢", "xie4xie4"), ("卸卸", "xie4xie4"), ("主播", "zhu3bo1"), ("煮播", "zhu3bo1")]
+SOUNDED = ["佳油", "加油", "jiayou", "佳油啊", "加油", "佳油吧", "佳油", "佳油主播", "煮播佳油", "谢谢", "卸卸"]
+
+
+def _listed(spark: SparkSession, texts: list[str]) -> DataFrame:
+    rows = [(str(i), "listed", i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "msg_id string, stream string, seq long, raw_text string").withColumn("ts", F.timestamp_seconds("seq"))
+
+
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage makes of the golden messages; null where cleansing drops one."""
+    messages = _listed(spark, GOLDEN)
+    made = pipeline.canonical(messages).select("seq", "cleaned", "normalized", "compressed")
+    return messages.select("seq").join(made, "seq", "left")
+
+
+def sounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.createDataFrame(SOUNDS, "token string, key string")
+    words = dict(dictionaries.entries())
+    known = {t for t, _ in SOUNDS} | {w for pair in words.items() for w in pair}
+    lexicon = dictionary.Lexicon.of(words, lambda text: dictionary.segment(text, known, 8))
+    return pipeline.canonical(_listed(spark, SOUNDED), lexicon=lexicon, keys=keys).select("seq", "canonical")
+
+
 def key_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table("benchmark")(spark, sf_dir).select(F.explode(tx.tokens(F.col("text"))).alias("term"))
     return dictionary.unambiguous_keys(words.select("term", mining.sound_key(F.col("term")).alias("key")).filter("key <> ''"))
@@ -60,6 +100,11 @@ def dictionary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.replace_whole(_canonical(spark, sf_dir), dictionary.pairs(spark, dictionaries.WHOLE_TEXT | dictionaries.LATIN))
 
 
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _canonical(spark, sf_dir)
+    return vectors.neighbour_admission(lines, keywords.keywords(lines), SAMPLE_CLUSTERS)
+
+
 def dedup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     return registry.dedup_rate(pipeline.cleansed(lines), pipeline.canonical(lines))
@@ -112,29 +157,29 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drill_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content of each stream's clusters: the last members of what they hold."""
+    """Content of each stream's clusters: the last members of the first texts that they hold."""
     lines = _canonical(spark, sf_dir)
-    held = clustering.assignments(lines, SAMPLE_CLUSTERS).select("stream", "cluster_id", "canonical").distinct()
-    return held.join(registry.last_members(lines), "canonical").select("stream", "cluster_id", "canonical", "members")
+    held = clustering.assignments(lines, SAMPLE_CLUSTERS).groupBy("stream", "cluster_id", "canonical").agg(F.min("seq").alias("first_seq"))
+    return clustering.drill_through(held, registry.last_members(lines))
 
 
 #: Small intervals, so that maintenance, promotion and expiry all happen in the samples.
 BUSY_CLUSTERS = ClusterSettings(
-    centroid_threshold=0.3, anchor_threshold=0.45, hot_centroid_threshold=0.35, hot_anchor_threshold=0.5, maintenance_interval=100_000, hot_count=5, hot_ttl_seconds=2_000_000, merge_threshold=0.6, split_threshold=0.6
+    centroid_threshold=0.3, anchor_threshold=0.45, hot_centroid_threshold=0.35, hot_anchor_threshold=0.5, maintenance_interval=100_000, hot_count=5, hot_ttl_seconds=20, merge_threshold=0.6, split_threshold=0.6
 )
 
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.running_counts(pipeline.canonical(m)), "complete")
+    return engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.running_counts(pipeline.stateless(m)), "complete")
 
 
 def streamed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.assignments(pipeline.canonical(m), SAMPLE_CLUSTERS), "append", files=1)
+    out = engine.replayed(spark, _lines(spark, sf_dir), lambda m: engine.assignments(pipeline.stateless(m), SAMPLE_CLUSTERS), "append")
     return out.drop("late")
 
 
 def stage_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.stage_distances(_canonical(spark, sf_dir))
+    return simhash.stage_distances(_canonical(spark, sf_dir).select("cleaned", F.col("compressed").alias("canonical")))
 
 
 def queries() -> dict[str, Query]:
@@ -142,10 +187,13 @@ def queries() -> dict[str, Query]:
     return {
         "cleanse_messages": lambda s, d: pipeline.kept(_lines(s, d)).select("seq", "stream", "cleaned"),
         "cleanse_filtered_split": filtered_split,
-        "cycle_compress": lambda s, d: c(s, d).select("cleaned", "canonical").distinct(),
+        "normalize_messages": lambda s, d: pipeline.compressed(_lines(s, d), lexicon=SAMPLE_LEXICON).select("seq", "cleaned", "normalized", "compressed"),
+        "cycle_compress": lambda s, d: pipeline.compressed(_lines(s, d)).select("normalized", "compressed").distinct(),
+        "golden_stages": golden,
+        "homophone_replace": sounded,
         "stage_change_counts": lambda s, d: pipeline.stage_changes(_lines(s, d)),
         "whole_text_variant": dictionary_whole,
-        "token_dictionary_replace": lambda s, d: dictionary.replace_in_text(c(s, d), dictionaries.LATIN | dict(dictionaries.entries())),
+        "token_dictionary_replace": lambda s, d: dictionary.replace_in_text(c(s, d), SAMPLE_LEXICON),
         "unambiguous_key_map": key_map,
         "canonical_registry": r,
         "first_five_examples": lambda s, d: registry.first_examples(c(s, d)),
@@ -155,10 +203,12 @@ def queries() -> dict[str, Query]:
         "frequency_rank": lambda s, d: registry.frequency_rank(c(s, d)),
         "first_seen_layer": lambda s, d: registry.layers(c(s, d)),
         "running_trust": lambda s, d: registry.running_trust(c(s, d)),
-        "cache_hit_stage": lambda s, d: registry.cache_hit_stage(c(s, d)),
+        "frequency_table": lambda s, d: registry.frequency_table(c(s, d)),
+        "cache_hit_stage": lambda s, d: registry.cache_hit_stage(pipeline.canonical(_lines(s, d), lexicon=SAMPLE_LEXICON)),
         "cache_ttl_liveness": lambda s, d: registry.liveness(_events(s, d), "user_id", "ts", "event_id"),
         "duplicate_hit_rate": lambda s, d: registry.duplicate_rate(c(s, d)),
         "stage_latency_stats": lambda s, d: metrics.timing(_events(s, d), "event_type", "value", "event_id"),
+        "stage_moving_mean": lambda s, d: metrics.moving_mean(_events(s, d), "event_type", "value", "event_id"),
         "replay_pacing": lambda s, d: metrics.pacing(_events(s, d), "ts", "event_id", speed=2.0),
         "recent_log": lambda s, d: registry.recent(c(s, d)),
         "heat_ratio": lambda s, d: registry.heat(c(s, d)),
@@ -166,13 +216,15 @@ def queries() -> dict[str, Query]:
         "training_pairs": lambda s, d: dictionary.training_pairs(s),
         "variant_dictionary": lambda s, d: messages.variants(s),
         "simhash_fingerprint": lambda s, d: _prints(s, d).select("canonical", tx.hex16(F.col("fp")).alias("fp")),
-        "simhash_effective_merge": lambda s, d: simhash.merge_equal(_prints(s, d)),
+        "simhash_effective_merge": lambda s, d: simhash.merge_equal(_texts(s, d)),
         "simhash_near_dup_pairs": lambda s, d: simhash.near_pairs(_prints(s, d)),
+        "simhash_nearest_canonical": lambda s, d: simhash.nearest_canonical(_prints(s, d)),
         "hamming_histogram": stage_distances,
         "keyword_topk_per_message": keyword_top,
         "keyword_signature": lambda s, d: keywords.signature(keywords.keywords(pipeline.kept(_lines(s, d))), "stream"),
         "keyword_jaccard_pairs": lambda s, d: keywords.neighbour_similarity(keywords.keywords(pipeline.kept(_lines(s, d)))),
         "length_penalty_pairs": lambda s, d: vectors.neighbour_penalty(c(s, d)),
+        "neighbour_admission": admission,
         "vector_query_pairs": lambda s, d: vectors.query_pairs(_vectors(s, d)),
         "label_centroid_mean": lambda s, d: vectors.centroid_places(_vectors(s, d)),
         "cluster_internal_similarity": lambda s, d: vectors.internal_similarity(_vectors(s, d)),
@@ -187,7 +239,8 @@ def queries() -> dict[str, Query]:
         "maintenance_merge_split": lambda s, d: clustering.clusters(c(s, d), BUSY_CLUSTERS),
         "hot_cluster_ttl": lambda s, d: clustering.clusters(c(s, d), BUSY_CLUSTERS).filter("tier = 'p'"),
         "rendered_clusters": lambda s, d: sinks.rendered(clustering.clusters(c(s, d), SAMPLE_CLUSTERS)),
-        "stage_normalized": lambda s, d: sinks.stages(_lines(s, d))["step2_normalized"],
+        "stage_normalized": lambda s, d: sinks.stages(_lines(s, d))["step2_normalized"].select("seq", "message", "before"),
+        "stage_dedup": lambda s, d: sinks.stages(_lines(s, d))["step6_dedup"].select("seq", "message", "is_new_unique"),
         "stream_registry_counts": streamed_counts,
         "stream_leader_follower": streamed_assignments,
         "cluster_drill_through": drill_through,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dictionaries
@@ -20,18 +20,29 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT else frame
 
 
+#: Places of a document or conversation that have a seq of their own; a product that does not fit is an error.
+PLACES = 1 << 28
+
+
+def _placed(parent: Column, place: Column) -> list[Column]:
+    """seq, in the order of parents and places, and ts, a second for each parent."""
+    inside = F.when(place < PLACES, place).otherwise(F.raise_error(F.lit(f"more than {PLACES} messages in one parent")).cast("long"))
+    seq = parent.cast("long") * PLACES + inside
+    return [seq.cast("string").alias("msg_id"), seq.alias("seq"), F.timestamp_micros(parent.cast("long") * 1_000_000 + place).alias("ts")]
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message for each line of ``documents``, in order of document and line; the language is the stream."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "raw_text"))
-    seq = F.col("doc_id") * 100000 + F.col("pos")
-    return lines.select(seq.cast("string").alias("msg_id"), F.col("lang").alias("stream"), seq.alias("seq"), F.timestamp_seconds(seq).alias("ts"), "raw_text")
+    named = lines.select(*_placed(F.col("doc_id"), F.col("pos").cast("long")), F.col("lang").alias("stream"), "raw_text")
+    return named.select("msg_id", "stream", "seq", "ts", "raw_text")
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    seq = F.col("conv_id").cast("long") * 10000 + F.col("turn")
-    return turns.select(seq.cast("string").alias("msg_id"), F.col("role").alias("stream"), seq.alias("seq"), F.timestamp_seconds(seq).alias("ts"), F.col("text").alias("raw_text"))
+    named = turns.select(*_placed(F.col("conv_id"), F.col("turn").cast("long")), F.col("role").alias("stream"), F.col("text").alias("raw_text"))
+    return named.select("msg_id", "stream", "seq", "ts", "raw_text")
 
 
 def replay_csv(spark: SparkSession, path: str, limit: int | None = None, ordered: bool = True) -> DataFrame:
@@ -67,7 +78,22 @@ def variants(spark: SparkSession, entries: list[tuple[str, str]] | None = None)
     return listed.groupBy("variant").agg(F.max_by("canonical", "ord").alias("canonical"))
 
 
+def variants_yaml(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(variant, canonical) of a dictionary file ``variants: {canonical: [variant, ...]}``, in order of listing."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    listed = (yaml.safe_load(text.value) or {}).get("variants") or {} if text else {}
+    return [(str(v), str(c)) for c, vs in listed.items() for v in vs or []]
+
+
 def variants_json(spark: SparkSession, path: str) -> DataFrame:
     """An uploaded dictionary {variant: canonical}; variants in lower case."""
     text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("variant", "canonical"))
     return text.select(F.lower("variant").alias("variant"), "canonical")
+
+
+def variants_over(base: DataFrame, upload: DataFrame) -> DataFrame:
+    """variant and canonical of a dictionary with an upload laid over it: what the upload has holds."""
+    both = base.select("variant", "canonical", F.lit(0).alias("ord")).union(upload.select("variant", "canonical", F.lit(1)))
+    return both.groupBy("variant").agg(F.max_by("canonical", F.struct("ord", "canonical")).alias("canonical"))

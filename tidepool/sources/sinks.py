@@ -4,29 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Settings
-from ..functions import text as tx
 
 
 def stages(messages: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Every stage of the offline batch by name: kept and filtered messages, normalised, compressed, registered, frequencies."""
-    from ..operators import dictionary, pipeline, registry
-    from . import dictionaries
+    """Every stage of the offline batch by name: kept and filtered messages, what each stage made of them, and the frequencies."""
+    from ..operators import pipeline, registry
 
     split = pipeline.cleansed(messages, settings)
-    kept = split.filter("not filtered").select("seq", F.col("cleaned").alias("message"), F.col("raw_text").alias("original"))
-    normalised = kept.withColumnRenamed("message", "canonical")
-    normalised = normalised.join(dictionary.replace_in_text(normalised, dict(dictionaries.entries())), "seq").select("seq", F.col("normalized").alias("message"), F.col("canonical").alias("before"))
-    compressed = normalised.select("seq", tx.compress_cycle(F.col("message")).alias("message"), F.col("message").alias("before"))
-    canonical = compressed.select("seq", F.col("message").alias("canonical"))
+    made = pipeline.canonical(messages, settings)
+    date = F.date_format("ts", "yyyy-MM-dd").alias("date")
+    when = ["seq", date, "ts"]
+    step = lambda now, before: made.select(*when, F.col(now).alias("message"), F.col(before).alias("before"))
+    first = made.groupBy("canonical").agg(F.min_by("ts", "seq").alias("first_ts"))
+    counted = registry.registry(made).join(first, "canonical")
+    ranked = counted.select(F.row_number().over(Window.orderBy(F.desc("n"), "first_seq")).alias("rank"), F.col("canonical").alias("text"), F.col("n").alias("count"), F.date_format("first_ts", "yyyy-MM-dd").alias("first_date"))
     return {
-        "step1_kept": kept,
-        "step1_filtered": split.filter("filtered").select("seq", F.col("raw_text").alias("message"), F.lit("filtered").alias("reason")),
-        "step2_normalized": normalised,
-        "step3_compressed": compressed,
-        "step4_registered": registry.layers(canonical).join(compressed.select("seq", "message"), "seq").select("seq", "message", (F.col("layer") == 3).alias("is_new_unique")),
-        "step5_frequencies": registry.registry(canonical).select(F.col("canonical").alias("text"), F.col("n").alias("count"), "first_seq"),
+        "step1_kept": made.select(*when, F.col("cleaned").alias("message"), F.col("raw_text").alias("original")),
+        "step1_filtered": split.filter("filtered").select(*when, F.col("raw_text").alias("message"), F.lit("filtered").alias("reason")),
+        "step2_normalized": step("normalized", "cleaned"),
+        "step3_compressed": step("compressed", "normalized"),
+        "step4_simhash": step("canonical", "compressed"),
+        "step5_changed": made.filter("raw_text <> canonical").select(*when, F.col("canonical").alias("message"), F.col("raw_text").alias("before")),
+        "step6_dedup": registry.layers(made).join(made.select(*when, F.col("canonical").alias("message")), "seq").select("seq", "date", "ts", "message", (F.col("layer") == 3).alias("is_new_unique")),
+        "step6_frequencies": ranked,
     }
 
 
