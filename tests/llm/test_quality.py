@@ -46,6 +46,38 @@ def test_rules_are_learned_and_keep_good_documents(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.25
 
 
+def test_verdict_is_the_first_rule_that_covers(spark):
+    """The ordered conditional against rules applied row by row, on features counted the long way round."""
+    made = [(i, t, "en", "s", 0) for i, t in enumerate(cases.sample("documents", SF, 300)["text"])]
+    condition = quality_rules.Condition
+    rules = [
+        (condition("symbols_per_word", True, 0.02), condition("n_words", True, 60.0)),
+        (condition("word_length", False, 4.9), condition("repeated_share", True, 0.01)),
+        (condition("upper_share", True, 0.08), condition("bangs_per_word", True, 0.001)),
+        (condition("dup_lines_per_word", True, 0.0),),
+    ]
+
+    def features_of(text):
+        n, chars, symbols, dups, repeats, failed = base(text)
+        ratio = lambda a, b: a / b if b else 0.0
+        upper = len(re.findall("[A-Z]", text or ""))
+        return failed, dict(n_words=float(n), word_length=ratio(chars, n), symbols_per_word=ratio(symbols, n), dup_lines_per_word=ratio(dups, n), repeated_share=ratio(repeats, n), upper_share=ratio(upper, chars), bangs_per_word=ratio((text or "").count("!"), n))
+
+    want = {}
+    for i, t, *_ in made:
+        failed, row = features_of(t)
+        want[i] = not failed and not any(all(c.holds(row) for c in rule) for rule in rules)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(cases.documents(spark, made), rules).collect()}
+    assert got == want and 20 < sum(want.values()) < 280
+
+
+def test_rows_of_one_document_stand_as_one_that_exists(spark):
+    docs = cases.documents(spark, [(1, "a " * 60, "en", "s", 0), (1, "word! " * 80, "en", "s", 0)])
+    labels = spark.createDataFrame([(1, 0, 0)], LABELS)
+    (row,) = quality_rules.labelled_sample(docs, labels, 10)
+    assert (row["n_words"], row["bangs_per_word"]) in {(60.0, 0.0), (80.0, 1.0)} and row["bad"] == 1
+
+
 def test_learning_covers_a_planted_conjunction():
     rng = np.random.default_rng(4)
     rows = []
@@ -97,3 +129,35 @@ def test_dual_descent_separates():
     w, b = quality_classifier.dual_descent(rows, np.ones(300), good, 1.0, 50)
     told = np.array([w[x].sum() / len(x) ** 0.5 + b > 0 for x in rows])
     assert (told == good).mean() > 0.98
+
+
+def test_model_against_a_dense_one():
+    """Log-count ratios, unit rows and the hinge-loss optimum, written with dense matrices."""
+    rng = np.random.default_rng(5)
+    n, size = 120, quality_classifier.SIZE + quality_classifier.SHARES
+    on = rng.random((n, 40)) < np.where(np.arange(n)[:, None] % 2, 0.5, 0.3)
+    good = np.arange(n) % 2 == 1
+    rows = [np.flatnonzero(x) for x in on]
+    model = quality_classifier.fit_rows(list(range(n)), rows, good, rounds=2000)
+    counts = [np.ones(size) for _ in range(2)]
+    for x, g in zip(on, good, strict=True):
+        counts[int(g)][:40] += x
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    dense = on * ratio[:40]
+    dense /= np.maximum(1e-12, np.sqrt((dense**2).sum(axis=1, keepdims=True)))
+    y = np.where(good, 1.0, -1.0)
+
+    def loss(w, b):
+        return 0.5 * (w @ w + b * b) + np.maximum(0, 1 - y * (dense @ w + b)).sum()
+
+    # the weights that the model holds are those of the dense rows, scaled by the ratios
+    w, b = model.weight[:40] / np.where(ratio[:40] == 0, 1, ratio[:40]), model.intercept
+    best, v, c = np.inf, np.zeros(40), 0.0
+    for step in range(1, 20001):  # subgradient descent from nothing
+        out = y * (dense @ v + c) < 1
+        gv, gc = v - (y[out, None] * dense[out]).sum(axis=0), c - y[out].sum()
+        v, c = v - gv / (step + 50), c - gc / (step + 50)
+        best = min(best, loss(v, c))
+    assert loss(w, b) <= best * 1.01
+    told = np.array([model.margin(np.isin(np.arange(size), r)) for r in rows])
+    assert np.allclose(told, dense @ w + b, atol=1e-3)

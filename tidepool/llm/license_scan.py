@@ -1,11 +1,14 @@
 """Licence scan by a positional index of rare licence words.
 
-The templates below are public wordings.  Every content word of a template is posted with its place
-there.  One pass over the texts notes where these words stand; document frequencies come from that, over
-all documents.  Every licence word of a file is looked up, postings that agree on the same relative position
-(place in the file less place in the template) are intersected, and an alignment counts if the words matched
-carry enough of the template's IDF, so its rare words, and its mandatory key phrase stands there in full.
-However many templates a file holds, each is judged for itself.  All of it is DataFrame work; the postings are as small as the templates and are broadcast.
+The templates below are public wordings.  Every content word of a template is posted with its place there.  One pass
+over the texts notes where these words stand; document frequencies come from that, over all documents.
+
+A template counts only where its mandatory key phrase stands in full, so of each template the rarest word of that
+phrase (the highest IDF) is looked up in the files: every place where it stands is a candidate alignment, and none is
+lost.  The other postings are looked up at their relative places only where there is a candidate.  An alignment counts
+if the whole key phrase is there and the words matched carry enough of the template's IDF.  However many templates a
+file holds, each is judged for itself.  All of it is DataFrame work; the postings are as small as the templates and are
+broadcast.
 
 Defined cases: null and empty texts have no words, no labels and score 0.  Rows with an equal doc_id are
 scanned each for itself.  An empty table gives an empty result.
@@ -93,7 +96,7 @@ def scan(spark: SparkSession, docs: DataFrame, least_share: float = 0.6) -> Data
     read = work.write(read.withColumn("row", F.monotonically_increasing_id()), "places")
 
     n_docs = read.count()
-    hits = read.select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.place")
+    hits = read.select("row", F.explode("hits").alias("h")).select("row", "h.word", F.col("h.place").alias("hits_place"))
     frequency = hits.groupBy("word", "row").agg(F.lit(1).alias("one")).groupBy("word").agg(F.count("*").alias("n"))
     # a word that no document has is as rare as can be
     posted = _postings(spark)
@@ -102,19 +105,18 @@ def scan(spark: SparkSession, docs: DataFrame, least_share: float = 0.6) -> Data
     weighted = posted.join(F.broadcast(idf), "word")
     whole = weighted.groupBy("template").agg(F.sum("idf").alias("whole"), F.sum(F.col("mandatory").cast("int")).alias("n_mandatory"))
 
-    aligned = (
-        hits.withColumnRenamed("place", "stands")
-        .join(F.broadcast(weighted), "word")
-        .groupBy("row", "template", (F.col("stands") - F.col("place")).alias("shift"))
-        .agg(F.sum("idf").alias("matched"), F.sum(F.col("mandatory").cast("int")).alias("keys"))
-    )
+    rarest = weighted.filter("mandatory").groupBy("template").agg(F.max_by(F.struct("word", "place"), F.struct("idf", -F.col("place"), "word")).alias("a")).select("template", "a.word", "a.place")
+    candidates = hits.join(F.broadcast(rarest), "word").select("row", "template", (F.col("hits_place") - F.col("place")).alias("shift"))
+    asked = candidates.join(F.broadcast(weighted), "template").select("row", "template", "shift", "word", (F.col("shift") + F.col("place")).alias("hits_place"), "idf", "mandatory")
+    aligned = asked.join(hits, ["row", "word", "hits_place"]).groupBy("row", "template", "shift").agg(F.sum("idf").alias("matched"), F.sum(F.col("mandatory").cast("int")).alias("keys"))
     labels = spark.createDataFrame([(t, x[0]) for t, x in enumerate(TEMPLATES)], T.StructType([T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType())]))
+    share = F.round(F.col("matched") / F.col("whole"), 6)  # sums of decimals differ in their last places with their order
     kept = (
         aligned.join(F.broadcast(whole), "template")
-        .filter((F.col("keys") == F.col("n_mandatory")) & (F.col("matched") >= least_share * F.col("whole")))
+        .filter((F.col("keys") == F.col("n_mandatory")) & (share >= least_share))
         .join(F.broadcast(labels), "template")
         .groupBy("row")
-        .agg(F.collect_set("label").alias("found"), F.max(F.col("matched") / F.col("whole")).alias("share"))
+        .agg(F.collect_set("label").alias("found"), F.max(share).alias("share"))
     )
     none = F.array().cast("array<string>")
     base = F.array_distinct(F.transform("base", lambda b: b["label"]))

@@ -194,9 +194,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, seed:
     )
     of_these = texts_of(docs).join(F.broadcast(chosen.select("labelled_id")), F.col("doc_id") == F.col("labelled_id"), "left_semi")
     found = text_statistics(of_these).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    # rows with an equal doc_id could pass the bound: the first of them stands for all
-    once = found.groupBy("labelled_id", "bad", "prune").agg(*(F.min(feature(k)).alias(k) for k in FEATURES))
-    return [r.asDict() for r in once.orderBy("labelled_id").collect()]
+    # rows with an equal doc_id could pass the bound: the one of the least statistics stands for all
+    once = found.groupBy("labelled_id", "bad", "prune").agg(F.min(F.struct(*(feature(k).alias(k) for k in FEATURES))).alias("of"))
+    return [r.asDict() for r in once.select("labelled_id", "bad", "prune", "of.*").orderBy("labelled_id").collect()]
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000) -> list[Rule]:

@@ -110,6 +110,36 @@ select h.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as
 from h left join q on h.doc_id = q.doc_id"""
 
 
+def _op4() -> str:
+    """Every alignment of every template with every file, without an index."""
+    quoted = lambda x: "'" + str(x) + "'"
+    posted, phrases = [], []
+    for t, (label, wording, key) in enumerate(license_scan.TEMPLATES):
+        words, keys = wording.split(), key.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(keys)] == keys)
+        posted += [f"({quoted(w)}, {t}, {i}, {int(at <= i < at + len(keys))}, {quoted(label)})" for i, w in enumerate(words) if w not in license_scan.STOP or at <= i < at + len(keys)]
+    for phrase, label in license_scan.BASE.items():
+        phrases += [f"({quoted(label)}, {quoted(phrase)}, {len(phrase.split())})"]
+    return rf"""
+with d as (select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{license_scan.CAPITALS}', '{license_scan.LOWER}'), '{license_scan.BETWEEN}'), lambda x: x <> '') as ws from documents),
+p as (select * from (values {", ".join(posted)}) v(word, template, place, mandatory, label)),
+ph as (select * from (values {", ".join(phrases)}) v(label, phrase, size)),
+x as (select r, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from d),
+h as (select x.* from x where word in (select word from p)),
+f as (select p.word, ln(((select count(*) from d) + 1.0) / (count(distinct h.r) + 0.5)) as idf from (select distinct word from p) p left join h on h.word = p.word group by p.word),
+wp as (select p.*, f.idf from p join f on f.word = p.word),
+wh as (select template, sum(idf) as whole, sum(mandatory) as n_mandatory from wp group by template),
+al as (select h.r, wp.template, h.i - wp.place as shift, any_value(wp.label) as label, sum(wp.idf) as matched, sum(wp.mandatory) as keys from h join wp on wp.word = h.word group by h.r, wp.template, h.i - wp.place),
+kp as (select al.r, al.label, round(matched / whole, 6) as share from al join wh on wh.template = al.template where keys = n_mandatory and round(matched / whole, 6) >= 0.6),
+b as (select d.r, x.i, ph.label from d join x on x.r = d.r join ph on x.word = string_split(ph.phrase, ' ')[1] where array_to_string(d.ws[x.i + 1:x.i + ph.size], ' ') = ph.phrase),
+bs as (select r, count(*) as n, min(i) as first_word, max(i) as last_word, list_sort(list(distinct label)) as labels from b group by r),
+ks as (select r, list(distinct label) as labels, max(share) as share from kp group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(bs.n, 0)::bigint as n_base, bs.first_word::bigint as first_word, bs.last_word::bigint as last_word, coalesce(array_to_string(bs.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bs.labels, []), coalesce(ks.labels, [])))), ','), '') as labels,
+  case when bs.n > 0 then 1.0 else least(1.0, coalesce(ks.share, 0.0)) end::double as score
+from d left join bs on bs.r = d.r left join ks on ks.r = d.r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can express: no XXH64, tokenizer, learned model or greedy template is among it."""
-    return {"op1_substring_dedup": OP1, "op7_suffix_array_dedup": OP7}
+    return {"op1_substring_dedup": OP1, "op4_license_scan": _op4(), "op7_suffix_array_dedup": OP7}
