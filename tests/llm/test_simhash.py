@@ -115,3 +115,39 @@ def test_repeated_lines_do_not_part_equal_sets(spark):
     made = [(k, "\n".join([text, *[line] * n]), "en", "s", 0) for k, n in enumerate((2, 10, 30, 100))]
     assert len({simhash_dedup.simhash(r[1], 5, 16, distinct=True) for r in made}) == 1
     assert [r.doc_id for r in simhash_dedup.keep_one(spark, cases.documents(spark, made)).select("doc_id").collect()] == [0]
+
+
+def test_recall_by_similarity(spark):
+    """Pairs whose sets of shingles are of a known similarity: which share of each band loses its copy."""
+    rng = np.random.default_rng(12)
+    made, band = [], {}
+    for k in range(240):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 260)]
+        copy = list(words)
+        for at in rng.choice(50, int(rng.integers(1, 7)), replace=False).tolist():
+            copy[5 * at + 2] = f"c{k}x{at}"
+        a, b = (simhash_dedup.shingle_set(" ".join(x), 5) for x in (words, copy))
+        similar = simhash_dedup.similarity(a, b)
+        if similar >= 0.8:
+            band[2 * k + 1] = min(int((similar - 0.8) / 0.05), 2)
+        made += [(2 * k, " ".join(words), "en", "s", 0), (2 * k + 1, " ".join(copy), "en", "s", 0)]
+    kept = {r.doc_id for r in simhash_dedup.keep_one(spark, cases.documents(spark, made)).select("doc_id").collect()}
+    assert {2 * k for k in range(240)} <= kept and all(d in kept for d in range(1, 480, 2) if d not in band)
+    for low, least in ((0, 0.9), (1, 0.97), (2, 0.99)):
+        found = [d not in kept for d, b in band.items() if b == low]
+        assert len(found) > 20 and np.mean(found) >= least
+
+
+def test_different_words_of_one_fingerprint_stay_apart(spark):
+    rows = [(1, 10, 5, 7, b"a"), (2, 20, 5, 8, b"b"), (3, 30, 6, 9, b"c"), (4, 40, 5, 7, b"a")]
+    prints = spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "doc_id long, tie long, node long, check long, fp binary")
+    told, classes = simhash_dedup._apart(Workspace(spark, "test"), prints)
+    node = {r.doc_id: r.node for r in told.collect()}
+    assert node[1] == node[4] != node[2] and len(set(node.values())) == 3 and node[3] == 6
+    assert {(r.node, r.least, r.tie) for r in classes.collect()} == {(node[1], 1, 10), (node[2], 2, 20), (6, 3, 30)}
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    made = [(1, "a b c", lang, "s", 0) for lang in ("en", "de", "fr")]
+    kept = {tuple(r) for parts in (1, 2, 3) for r in simhash_dedup.keep_one(spark, spark.createDataFrame(made, cases.SCHEMA).repartition(parts)).collect()}
+    assert len(kept) == 1

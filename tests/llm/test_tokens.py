@@ -122,3 +122,13 @@ def test_best_fit_takes_the_tightest_window():
         fits = [r for r in room.values() if r >= size]
         assert room.get(w, 64) == (min(fits) if fits else 64) and o == 64 - room.get(w, 64)
         room[w] = 64 - o - size
+
+
+def test_rows_without_a_doc_id_are_dealt_to_many_groups(spark):
+    """Equal pieces share no group by their being equal, and each comes out once."""
+    made = [(None, "", "en", "s", 0)] * 300 + [(7, "two words", "en", "s", 0)] * 300
+    got = packing.pack(cases.documents(spark, made), PATH, group_docs=20).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == {(None, 1): 300, (7, 3): 300}
+    groups = Counter(r.sequence_id % 30 for r in got)
+    assert len(groups) > 20 and max(groups.values()) < 60
+    assert len({(r.sequence_id, r.offset) for r in got}) == 600

@@ -2,8 +2,8 @@
 
 Each text is encoded once, where it lies.  A document longer than a window is first cut into full
 windows, which need no packing; what is left of it (less than a window) is one piece.  Only the sizes
-of pieces are shuffled.  Documents are dealt by a hash of doc_id into groups of about ``group_docs``
-documents, so that no task grows with the corpus, and inside a group the pieces are placed from the
+of pieces are shuffled.  Pieces are dealt by a hash into groups of about ``group_docs`` documents' pieces, so
+that no task grows with the corpus, however many rows share a doc_id or have none, and inside a group the pieces are placed from the
 longest to the shortest, each into the open window with the least room that still holds it.  A segment
 tree over the room left finds that window in log2(window) steps.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import blocks, texts_of
 from .token_counts import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, json_path: str, window: int, end_id: int = 0) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(json_path)
-        for batch in batches:
+        for batch, _, _ in blocks(batches):
             rows: list[tuple[int | None, int, int, int, int]] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4")
@@ -103,7 +103,10 @@ def pack(docs: DataFrame, json_path: str, window: int = 1024, group_docs: int =
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     groups = max(1, -(-docs.count() // group_docs))
     cut = pieces(docs, json_path, window, end_id)
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # equal pieces, of rows without a doc_id or with one that is there again, are counted before they are dealt, each to a place of its own
+    same = [c.split()[0] for c in PIECE.split(", ")]
+    every = cut.groupBy(*same).agg(F.count("*").cast("int").alias("n")).select(*same, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    dealt = every.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "copy"), F.lit(groups))).drop("copy")
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

@@ -25,15 +25,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, _mixed, texts_of
+from .common import Workspace, _mixed, blocks, texts_of
 from .components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 50_000
+_ROWS = 255
 
 
 def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42, distinct: bool = False) -> bytes:
@@ -51,12 +54,11 @@ def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42, distinc
     if distinct:
         hashes = np.unique(hashes)
     counts = np.zeros(8 * n_bytes, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK]
-        for w in range(n_bytes // 8):
-            x = part if not w else _mixed(part.astype(np.uint64) + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype(">u8")
-            bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1)
-            counts[64 * w : 64 * w + 64] += bits.sum(axis=0, dtype=np.uint32)
+    more = (np.arange(n_bytes // 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), _ROWS):  # so few rows that a byte holds the sum of their bits
+        part = hashes[at : at + _ROWS].astype(np.uint64)[:, None]
+        x = np.concatenate((part, _mixed(part + more[:, 1:])), axis=1).astype(">u8")
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
@@ -64,9 +66,9 @@ def fingerprints(docs: DataFrame, words: int, n_bytes: int) -> DataFrame:
     """doc_id and fp for each row that has a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [simhash(x, words, n_bytes) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+        for rows, _, _ in blocks(batches):
+            fps = [simhash(x, words, n_bytes) for x in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     return texts_of(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary")
 
@@ -144,9 +146,12 @@ def _spanning(fp: np.ndarray, max_bits: int, least_shared: int, steps: int) -> l
     return links
 
 
-def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16, steps: int = 1, tell: bool = False) -> DataFrame:
+def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, least_shared: int, large: int = 16, steps: int = 1, tell: bool = False, carried: int | None = None) -> DataFrame:
     """Pairs (a, b) of class representatives that span all links found in any posting; classes: rep, fp.
 
+    Postings are by triples of positions of the whole fingerprint; its first ``carried`` bytes, or all, go with a
+    posting, and links are told by them.
+
     tell adds the column large: whether the pair comes from a forest, which stands for more links than it has.
     """
     chosen = np.array(triples)
@@ -158,7 +163,7 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
             fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
             keys = np.arange(len(chosen)) << 24 | fp[:, chosen[:, 0]] << 16 | fp[:, chosen[:, 1]] << 8 | fp[:, chosen[:, 2]]
             rows = np.repeat(np.arange(n), len(chosen))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("rep").take(pa.array(rows)), batch.column("fp").take(pa.array(rows))], ["key", "rep", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("rep").take(pa.array(rows)), pc.binary_slice(batch.column("fp"), 0, carried or fp.shape[1]).take(pa.array(rows))], ["key", "rep", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,9 +255,9 @@ def shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
     """node and shingles for each node; keyed: node, text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x, words).astype("<u4").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+        for rows, _, _ in blocks(batches):
+            found = [shingle_set(x, words).astype("<u4").tobytes() for x in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
     return keyed.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
@@ -328,36 +333,39 @@ def displaced_links(work: Workspace, held: DataFrame, forest: DataFrame, found:
     return side(nodes.filter("part <> most"), "x", "y").cogroup(side(nodes, "y", "x")).applyInArrow(compare, "a long, b long")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float = 0.8, n_bytes: int = 16, max_bits: int = 28, postings: int = 256) -> DataFrame:
+def keep_one(
+    spark: SparkSession, docs: DataFrame, words: int = 5, least: float = 0.8, n_bytes: int = 64, carried: int = 16, max_bits: int = 30, postings: int = 256
+) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id, with all its columns.
 
     Documents are linked if their sets of 5-word shingles have a similarity of at least 0.8.  Such sets have SimHashes
-    that differ in some 15 % of their bits, 18 of 128, so fingerprints within 28 bits are candidates.  No number of
-    bytes is shared for certain then: 256 triples of bytes should meet at similarity 0.8 to 0.85 with probability 0.94
-    and at 0.85 to 0.9 with 0.99 (80 of them met with 0.59 and 0.78), and links inside a group add to that.  Candidates
-    are verified on the sets, and so fingerprints are those of the sets, in which a repeated shingle counts once.
-    In postings of more than 16 texts a forest of close candidates is verified first; what stays apart in it is then
-    compared set by set with all that the forest spans, so no link is lost by the choice of the forest.
+    that differ in some 15 % of their bits, 19 of 128, so fingerprints within 30 of the first 128 bits are candidates.
+    No number of bytes is shared for certain then: 256 triples of bytes of a fingerprint of 512 bits meet by chance, and
+    a test measures how often (``test_recall_by_similarity``: at least 0.9 of the pairs of similarity 0.8 to 0.85, 0.97 at
+    0.85 to 0.9 and 0.99 above).  Candidates are verified on the sets, and so fingerprints are those of the sets, in which a
+    repeated shingle counts once.  In postings of more than 16 texts a forest of close candidates is verified first; what
+    stays apart in it is then compared set by set with all that the forest spans, so no link is lost by the choice of
+    the forest.
 
     Texts of the same words are one node.  Rows without a doc_id stay.  Rows with one doc_id and text become one.
     """
     work = Workspace(spark, "copies")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(_words(x))) for x in texts], np.uint64).view(np.int64)
+        for rows, _, _ in blocks(batches):
+            texts = rows.column("text").to_pylist()
+            nodes, checks = (np.array([xxhash.xxh64_intdigest(b" ".join(_words(x)), seed) for x in texts], np.uint64).view(np.int64) for seed in (0, 1))
             fps = [simhash(x, words, n_bytes, distinct=True) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(nodes), pa.array(fps, pa.binary())], ["doc_id", "key", "node", "fp"])
-
-    keyed = texts_of(docs).filter("doc_id is not null").withColumn("key", key)
-    prints = work.write(keyed.mapInArrow(run, "doc_id long, key long, node long, fp binary"), "fingerprints")
-    classes = work.write(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min_by("key", "doc_id").alias("key")), "classes")
-    found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 3, steps=4, tell=True), "candidates")
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(classes, "node").select("node", F.col("key").alias("text_key"))
-    # merge joins at every size: texts are dealt by key once, and what they meet grows with the corpus
-    chosen = keyed.join(ends.hint("merge"), F.col("key") == F.col("text_key")).select("node", "text")
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(nodes), pa.array(checks), pa.array(fps, pa.binary())], ["doc_id", "tie", "node", "check", "fp"])
+
+    # a row is known by its doc_id and a fingerprint of its text, a text's words by two fingerprints
+    keyed = texts_of(docs).filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
+    prints = work.write(keyed.mapInArrow(run, "doc_id long, tie long, node long, check long, fp binary"), "fingerprints")
+    prints, classes = _apart(work, prints)
+    found = work.write(links(classes.select(F.col("node").alias("rep"), "fp"), spread_triples(n_bytes, postings), max_bits, 0, steps=4, tell=True, carried=carried), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(classes, "node").select("node", F.col("least").alias("text_doc"), F.col("tie").alias("text_tie"))
+    # merge joins at every size: texts are dealt by their row once, and what they meet grows with the corpus
+    chosen = keyed.join(ends.hint("merge"), (F.col("doc_id") == F.col("text_doc")) & (F.col("tie") == F.col("text_tie"))).select("node", "text")
     held = work.write(shingle_sets(chosen, words), "shingles")
     linked_pairs = work.write(similar_links(held, found.select("a", "b"), least), "links")
     more = work.write(displaced_links(work, held, found.filter("large").select("a", "b"), linked_pairs, least), "displaced")
@@ -366,11 +374,25 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, least: float
     of_root = work.write(of_root, "roots")
     first = work.write(of_root.groupBy("root").agg(F.min("least").alias("first")), "first")
     named = work.write(of_root.join(first, "root").select("node", "first"), "named")
-    others = work.write(prints.join(named, "node").filter("doc_id <> first").select(F.col("key").alias("copy_key")).distinct(), "others")
-    whole = docs.select(F.struct("*").alias("document"), key.alias("document_key"))
-    kept = whole.join(others.hint("merge"), F.col("document_key") == F.col("copy_key"), "left_anti")
-    repeated = work.write(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("repeated_key")), "repeated")
-    if not repeated.isEmpty():  # rows that are there more than once
-        again = F.col("document_key") == F.col("repeated_key")
-        kept = kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["document_key"]))
+    others = work.write(prints.join(named, "node").filter("doc_id <> first").select(F.col("doc_id").alias("copy_doc"), F.col("tie").alias("copy_tie")).distinct(), "others")
+    whole = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("document_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("document_tie"))
+    of = lambda a: (F.col("document_doc") == F.col(f"{a}_doc")) & (F.col("document_tie") == F.col(f"{a}_tie"))
+    kept = whole.join(others.hint("merge"), of("copy"), "left_anti")
+    repeated = work.write(prints.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated_doc"), F.col("tie").alias("repeated_tie")), "repeated")
+    if not repeated.isEmpty():  # of rows that are there more than once one stays, the same one in every run
+        first_of = Window.partitionBy("document_doc", "document_tie").orderBy(F.xxhash64(F.to_json("document")))
+        once = kept.join(repeated, of("repeated"), "left_semi").withColumn("rank", F.row_number().over(first_of)).filter("rank = 1")
+        kept = kept.join(repeated, of("repeated"), "left_anti").select("document").union(once.select("document"))
     return kept.select(*(F.col(f"document.`{c}`").alias(c) for c in docs.columns))
+
+
+def _apart(work: Workspace, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """prints, and its classes of equal words (node, fp, least doc_id and its tie); different words with one node get nodes of their own."""
+    once = prints.groupBy("node", "check").agg(F.min(F.struct("doc_id", "tie")).alias("of"), F.min("fp").alias("fp"))
+    classes = work.write(once.select("node", "check", "fp", F.col("of.doc_id").alias("least"), F.col("of.tie").alias("tie")), "classes")
+    clash = work.write(classes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("clash")), "clashes")
+    if clash.isEmpty():
+        return prints, classes
+    own = F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    told = lambda rows: rows.join(clash, F.col("node") == F.col("clash"), "left").withColumn("node", own).drop("clash")
+    return told(prints), told(classes)
