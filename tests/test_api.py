@@ -9,6 +9,7 @@ from tidepool.engine import Engine
 from tidepool.operators import clustering, pipeline, registry
 from tidepool.sources import sinks
 from tidepool.streaming import engine as streaming
+from tidepool.streaming.push import Inbox
 
 from .test_engine import chat, said
 
@@ -100,3 +101,12 @@ def test_expiry(spark, tmp_path):
     out = streaming.fresh_only(read, "canonical", "ts").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).outputMode("append")
     out.trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.canonical for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_inbox_refuses_when_full_and_is_drained_in_order(spark, tmp_path):
+    inbox = Inbox(size=3)
+    assert [inbox.offer(t) for t in ("hello there", "12345", "hello there", "too many")] == [True, True, True, False]
+    one = Engine(spark, str(tmp_path), timed=False)
+    assert [(s, c) for s, c, *_ in one.drain(inbox, 2)] == [(0, "hello there")]
+    assert inbox.offer("now there is room") and inbox.refused == 1
+    assert [s for s, *_ in one.drain(inbox)] == [2, 3] and one.drain(inbox) == [] and one.total == 4

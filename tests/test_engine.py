@@ -201,7 +201,7 @@ def test_published_batches(spark, tmp_path):
 def test_mining(spark):
     found = spark.createDataFrame([("hello", 5), ("hallo", 2), ("xyz", 9), ("zz", 4)], "canonical string, n long")
     pairs = mining.confusable_pairs(mining.candidates(found)).collect()
-    assert ("hallo", "hello", "pinyin") in {(r.a, r.b, r.kind) for r in pairs}
+    assert ("hallo", "hello", "sound") in {(r.a, r.b, r.kind) for r in pairs}
     terms = mining.new_terms(found, spark.createDataFrame([("xyz",)], "canonical string"))
     assert {r.canonical for r in terms.collect()} == {"hello", "hallo"}
     kept = mining.confirmed(spark.createDataFrame([("hallo", "hello"), ("p", "q")], "a string, b string"), found).collect()
@@ -335,3 +335,15 @@ def test_stage_timer():
         pass
     assert timer.stats()["a"] == {"avg_ms": 3.0, "recent_avg_ms": 4.0, "min_ms": 1.0, "max_ms": 6.0, "count": 3}
     assert list(timer.stats()) == ["a", "b"] and off.stats() == {}
+
+
+def test_paced_replay_writes_files_in_time(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 100), ("b", 101), ("c", 104), ("d", 110)], "raw_text string, t long").select("raw_text", F.timestamp_seconds("t").alias("ts"))
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(round(seconds, 3))
+        now[0] += seconds
+
+    assert engine.paced(rows, str(tmp_path / "in"), speed=2.0, clock=lambda: now[0], sleep=sleep) == 3
+    assert slept == [0.0, 2.0, 3.0] and sorted(r.raw_text for r in spark.read.parquet(str(tmp_path / "in")).collect()) == ["a", "b", "c", "d"]

@@ -18,7 +18,7 @@ from .config import Settings
 from .operators import clustering, pipeline
 from .operators.leader import Embed, LeaderFollower, hashed_ngrams
 from .operators.metrics import StageTimer
-from .streaming.push import Channel
+from .streaming.push import Channel, Inbox
 
 
 class Engine:
@@ -93,6 +93,15 @@ class Engine:
             out.append((r.seq, r.canonical, d.cluster_id, d.slot_id, d.is_new, d.hot))
         return out
 
+    def drain(self, inbox: Inbox, most: int = 1000) -> list[tuple]:
+        """Fold in what waits in an inbox, up to ``most`` messages; their decisions."""
+        held = inbox.drain(most)
+        if not held:
+            return []
+        rows = [(str(n), "inbox", n, text) for n, text in held]
+        messages = self.spark.createDataFrame(rows, "msg_id string, stream string, seq long, raw_text string")
+        return self.ingest(messages.withColumn("ts", F.current_timestamp()))
+
     def ask(self, text: str) -> tuple[str, str | None] | None:
         """One message typed in: its canonical text and the cluster it came to, or None if it is dropped."""
         rows = [("typed", "typed", 0, text)]

@@ -19,12 +19,12 @@ def candidates(registry: DataFrame, sample: int = 2000) -> DataFrame:
 
 
 def confusable_pairs(candidates: DataFrame, low: float = 0.5, high: float = 0.75, edits: int = 3) -> DataFrame:
-    """a < b, similarity and kind among the sampled candidates: "emb" if the similarity of their trigrams is between
-    low and high, "pinyin" if it is lower and their keys differ in at most ``edits`` edits."""
+    """a < b, similarity and kind among the sampled candidates: "spelling" if the similarity of their trigrams is between
+    low and high, "sound" if it is lower and their keys differ in at most ``edits`` edits."""
     side = lambda s: candidates.select(F.col("canonical").alias(s), tx.ngrams(F.col("canonical")).alias(f"g_{s}"), sound_key(F.col("canonical")).alias(f"k_{s}"))
-    met = tx.dealt(side("a")).join(F.broadcast(side("b")), F.col("a") < F.col("b"))
+    met = tx.dealt(side("a")).join(side("b"), F.col("a") < F.col("b"))
     scored = met.withColumn("similarity", F.round(tx.jaccard(F.array_distinct("g_a"), F.array_distinct("g_b")), 6))
-    kind = F.when(F.col("similarity").between(low, high), "emb").when((F.col("similarity") < low) & (F.levenshtein("k_a", "k_b") <= edits), "pinyin")
+    kind = F.when(F.col("similarity").between(low, high), "spelling").when((F.col("similarity") < low) & (F.levenshtein("k_a", "k_b") <= edits), "sound")
     return scored.withColumn("kind", kind).filter("kind is not null").select("a", "b", "similarity", "kind")
 
 

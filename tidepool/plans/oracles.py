@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
             """, cand as (select canonical as t from g where length(canonical) between 3 and 16 and n >= 2 order by md5(canonical) limit 2000),
             side as (select t, list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) as grams, regexp_replace(lower(t), '[^a-z]|[aeiou]', '', 'g') as key from cand),
             met as (select a.t as a, b.t as b, a.key as ka, b.key as kb, round(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), 6) as similarity from side a join side b on a.t < b.t)
-            select a, b, similarity, case when similarity between 0.5 and 0.75 then 'emb' else 'pinyin' end as kind from met
+            select a, b, similarity, case when similarity between 0.5 and 0.75 then 'spelling' else 'sound' end as kind from met
             where similarity between 0.5 and 0.75 or (similarity < 0.5 and levenshtein(ka, kb) <= 3)"""
         ),
         "new_term_candidates": _canonical("select canonical, n from g where length(canonical) between 3 and 16 and n >= 2 and canonical not in (select unnest(string_split(text, chr(10))) from benchmark)"),

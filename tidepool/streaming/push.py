@@ -1,4 +1,8 @@
-"""A push channel: every client has a queue of bounded size, and a client that does not keep up loses messages, not the others."""
+"""Bounded queues at both ends of an engine.
+
+What comes in waits in an inbox, which refuses messages when it is full, so that senders hear of it.  What goes out is
+offered to clients that have a queue each; a client that does not keep up loses messages, the others do not.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,33 @@ from collections.abc import Callable
 from threading import Lock
 
 
+class Inbox:
+    """Messages that wait to be folded in."""
+
+    def __init__(self, size: int = 10_000):
+        self.waiting: deque[str] = deque()
+        self.size, self.refused, self.taken = size, 0, 0
+        self._lock = Lock()
+
+    def offer(self, text: str) -> bool:
+        """Queue a message; False if the inbox is full and the sender has to wait."""
+        with self._lock:
+            if len(self.waiting) >= self.size:
+                self.refused += 1
+                return False
+            self.waiting.append(text)
+            return True
+
+    def drain(self, most: int) -> list[tuple[int, str]]:
+        """Up to ``most`` messages in the order in which they came, numbered from the first one on."""
+        with self._lock:
+            out = []
+            while self.waiting and len(out) < most:
+                out.append((self.taken, self.waiting.popleft()))
+                self.taken += 1
+            return out
+
+
 class Client:
     """The messages that wait for one client, the state at its arrival first."""
 
