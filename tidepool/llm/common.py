@@ -49,7 +49,9 @@ class Workspace:
 
     A lost executor takes no written table with it, and a table cuts the lineage.  While a table
     is written, Spark is told to drop the shuffle files of that query as soon as it has ended,
-    so that the disk holds one phase of a job at a time.
+    so that the disk holds one phase of a job at a time.  That is a setting of the session: other
+    queries that end in this time lose their shuffle files too, and would run their maps again if
+    they were read anew.
     """
 
     _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -13,9 +13,9 @@ fingerprints that agree in three bytes meet in a task.  There, neighbours in sev
 linked first and pairs are compared only across the parts that remain apart; a posting yields a spanning
 forest of its links, not all pairs.  Components are then found by alternating stars.
 
-Defined cases: null and empty texts have fingerprint zero, linked like any other.  Rows without a doc_id
-are left out.  Rows with one doc_id are one document in components and come out each.  An empty table gives
-an empty result.
+Defined cases: null and empty texts have fingerprint zero, linked like any other.  Rows without a doc_id link
+others and get the least doc_id that they reach, or null.  Rows with one doc_id come out each.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,14 +63,14 @@ def simhash(text: str, words: int = 4, n_bytes: int = 8, seed: int = 42, distinc
 
 
 def fingerprints(docs: DataFrame, words: int, n_bytes: int) -> DataFrame:
-    """doc_id and fp for each row that has a doc_id."""
+    """doc_id and fp for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in blocks(batches):
             fps = [simhash(x, words, n_bytes) for x in rows.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return texts_of(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, fp binary")
 
 
 def covering_triples() -> list[tuple[int, ...]]:
@@ -224,11 +224,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, n_byte
     work = Workspace(spark, "simhash")
     triples = covering_triples() if triples is None else triples
     prints = work.write(fingerprints(docs, words, n_bytes), "fingerprints")
-    classes = work.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = links(classes, triples, max_bits, max(3, n_bytes - max_bits))
+    # a class of equal fingerprints is a node by its fingerprint, as rows without a doc_id may be all that it has
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if n_bytes == 8 else F.xxhash64("fp")
+    classes = work.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node), "classes")
+    edges = links(classes.select(F.col("node").alias("rep"), "fp"), triples, max_bits, max(3, n_bytes - max_bits))
     roots = components(work, edges)
-    named = work.write(classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    named = work.write(classes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "named")
+    least = work.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    told = work.write(named.join(least, "root").select("fp", "component_id"), "told")
+    return prints.join(told, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def _words(text: str) -> list[bytes]:
