@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidepool.llm import line_dedup, quality_classifier
+from tidepool.llm.common import Workspace
 
 from . import cases
 from ..conftest import SF_MID as SF
@@ -100,3 +101,23 @@ def test_whole_pipeline(spark):
     marked = cases.sample("labels", SF)
     bad = {d for d, q in zip(marked["doc_id"], marked["quality"], strict=True) if not q}
     assert len(bad & set(tokens)) <= 0.2 * len(bad)
+
+
+class _Cluster:
+    """As much of a session as a folder is chosen by."""
+
+    class _Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, name, default=None):
+            return default
+
+    sparkContext = conf = _Context()
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        Workspace(_Cluster(), "test")

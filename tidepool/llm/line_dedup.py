@@ -185,7 +185,8 @@ def templates(distinct: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                yield from leaves(False)
+                if held[0].column("leaf")[0] != batch.column("leaf")[-1]:  # else one leaf goes on
+                    yield from leaves(False)
         if held:
             yield from leaves(True)
 

@@ -208,7 +208,8 @@ def links(classes: DataFrame, triples: list[tuple[int, ...]], max_bits: int, lea
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                yield from pairs(False)
+                if held[0].column("key")[0] != batch.column("key")[-1]:  # else one posting goes on
+                    yield from pairs(False)
         if held:
             yield from pairs(True)
 
