@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.config import ClusterSettings, Settings
@@ -110,3 +111,23 @@ def test_inbox_refuses_when_full_and_is_drained_in_order(spark, tmp_path):
     assert [(s, c) for s, c, *_ in one.drain(inbox, 2)] == [(0, "hello there")]
     assert inbox.offer("now there is room") and inbox.refused == 1
     assert [s for s, *_ in one.drain(inbox)] == [2, 3] and one.drain(inbox) == [] and one.total == 4
+
+
+class Cluster:
+    """As much of a session as a folder is chosen by."""
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getConf(self):
+            return self
+
+        def get(self, name, default=None):
+            return default
+
+    sparkContext = conf = Context()
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        streaming.shared_folder(Cluster(), "test")
