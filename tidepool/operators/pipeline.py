@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Settings
 from ..functions import text as tx
@@ -61,8 +62,8 @@ def merges(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """compressed and merged for texts that another text with the same fingerprint came before; texts: compressed, first_seq."""
     long_enough = texts.filter(F.length("compressed") >= settings.simhash.min_length).withColumnRenamed("compressed", "canonical")
     prints = simhash.fingerprints(long_enough, settings.simhash)
-    first = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("canonical", F.struct("first_seq", "canonical")).alias("merged")).filter("n > 1")
-    return prints.join(first, "fp").filter("canonical <> merged").select(F.col("canonical").alias("compressed"), "merged")
+    first = F.first("canonical").over(Window.partitionBy("fp").orderBy("first_seq", "canonical"))
+    return prints.withColumn("merged", first).filter("canonical <> merged").select(F.col("canonical").alias("compressed"), "merged")
 
 
 def canonical(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON, keys: DataFrame | None = None) -> DataFrame:
@@ -78,8 +79,9 @@ def canonical(messages: DataFrame, settings: Settings = Settings(), lexicon: Lex
 def counted(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:
     """canonical, n, first_seq, last_seq: the registry of ``canonical``, merged text by text and not message by message."""
     texts = compressed(messages, settings, lexicon).groupBy("compressed").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    met = texts.join(merges(texts, settings), "compressed", "left")
-    return met.groupBy(F.coalesce("merged", "compressed").alias("canonical")).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+    prints = simhash.fingerprints(texts.withColumnRenamed("compressed", "canonical"), settings.simhash)
+    merged = simhash.merge_equal(prints, settings.simhash, "n", "first_seq", "last_seq")
+    return merged.groupBy(F.col("merged").alias("canonical")).agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 
 def stage_changes(messages: DataFrame, settings: Settings = Settings(), lexicon: Lexicon = VARIANT_LEXICON) -> DataFrame:

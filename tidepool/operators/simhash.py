@@ -10,38 +10,39 @@ from ..config import SimhashSettings
 from ..functions import text as tx
 
 
-#: The bits of each byte value, each in a byte of its own: added up, eight counters in one number.
-_SPREAD = [sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)]
 #: A counter has 7 bits in the topmost byte.
 _COUNTED = 127
 
 
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+#: The bits of each byte value, each in a byte of its own: added up, eight counters in one number.
+_SPREAD = [sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)]
+
+
 def fingerprint(text: Column, ngram: int = 3) -> Column:
     """64 votes: a bit is set if more n-grams have it than have it not."""
     hashes = F.transform(tx.ngrams(text, ngram), tx.token_hash)
-    bit = lambda at, there: F.when(there, F.lit(1 << at if at < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long"))
+    shift = lambda x, by: F.call_function("shiftrightunsigned", x, by)
+    every = F.sequence(F.lit(0), F.lit(63))
 
-    def joined(bits: list[Column]) -> Column:
-        out = bits[0]
-        for b in bits[1:]:
-            out = out.bitwiseOR(b)
-        return out
+    def joined(votes, n: Column) -> Column:
+        bit = lambda i: F.when(2 * votes(i) > n, F.call_function("shiftleft", _long(1), i)).otherwise(_long(0))
+        return F.aggregate(every, _long(0), lambda s, i: s.bitwiseOR(bit(i)))
 
     def packed(h: Column) -> Column:
-        spread = F.array(*(F.lit(x).cast("long") for x in _SPREAD))
-        byte = lambda x, j: (F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255).cast("long")) + 1).cast("int")
-        none = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in range(8)))
-        add = lambda s, x: F.struct(*((s[f"c{j}"] + F.element_at(spread, byte(x, j))).alias(f"c{j}") for j in range(8)))
-
-        def of(sums: Column) -> Column:
-            votes = lambda j, i: F.shiftrightunsigned(sums[f"c{j}"], 8 * i).bitwiseAND(F.lit(255).cast("long"))
-            return joined([bit(8 * j + i, 2 * votes(j, i) > F.size(h)) for j in range(8) for i in range(8)])
-
-        return F.transform(F.array(F.aggregate(h, none, add)), of)[0]
+        none = F.struct(*(_long(0).alias(f"c{j}") for j in range(8)))
+        byte = lambda x, j: (F.shiftrightunsigned(x, 8 * j).bitwiseAND(_long(255)) + 1).cast("int")
+        add = lambda of: lambda s, x: F.struct(*((s[f"c{j}"] + F.element_at(of, byte(x, j))).alias(f"c{j}") for j in range(8)))
+        together = lambda s: F.array(*(s[f"c{j}"] for j in range(8)))
+        sums = F.transform(F.array(F.array(*map(_long, _SPREAD))), lambda of: F.aggregate(h, none, add(of), together))
+        votes = lambda c, i: shift(F.element_at(c, (F.floor(i / 8) + 1).cast("int")), 8 * (i % 8)).bitwiseAND(_long(255))
+        return F.transform(sums, lambda c: joined(lambda i: votes(c, i), F.size(h)))[0]
 
     def plain(h: Column) -> Column:
-        votes = lambda i: F.aggregate(h, F.lit(0), lambda s, x: s + F.getbit(x, F.lit(i)).cast("int"))
-        return joined([bit(i, 2 * votes(i) > F.size(h)) for i in range(64)])
+        return joined(lambda i: F.aggregate(h, F.lit(0), lambda s, x: s + F.getbit(x, i).cast("int")), F.size(h))
 
     return F.transform(F.array(hashes), lambda h: F.when(F.size(h) <= _COUNTED, packed(h)).otherwise(plain(h)))[0]
 
@@ -51,11 +52,11 @@ def fingerprints(texts: DataFrame, settings: SimhashSettings = SimhashSettings()
     return tx.once(tx.dealt(texts), "fp", fingerprint(F.col("canonical"), settings.ngram))
 
 
-def merge_equal(prints: DataFrame, settings: SimhashSettings = SimhashSettings()) -> DataFrame:
-    """canonical and merged: texts long enough with one fingerprint become the one that was seen first."""
+def merge_equal(prints: DataFrame, settings: SimhashSettings = SimhashSettings(), *more: str) -> DataFrame:
+    """canonical, merged and more columns: texts long enough with one fingerprint become the one that was seen first."""
     long_enough = F.length("canonical") >= settings.min_length
     same = Window.partitionBy(F.when(long_enough, F.col("fp")).otherwise(F.xxhash64("canonical")), long_enough, F.when(~long_enough, F.col("canonical"))).orderBy("first_seq", "canonical")
-    return prints.select("canonical", F.first("canonical").over(same).alias("merged"))
+    return prints.select("canonical", F.first("canonical").over(same).alias("merged"), *more)
 
 
 def bands(fp: Column, n: int) -> Column:
