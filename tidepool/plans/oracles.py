@@ -172,6 +172,17 @@ def oracle_sql() -> dict[str, str]:
     registry = "select canonical, n, first_seq, last_seq from g"
     return {
         "cleanse_messages": _lines("select seq, stream, cleaned from k"),
+        "event_messages": _lines("select raw as raw_text, count(*) as n from m where seq % 3 <> 0 and raw <> '' group by raw"),
+        "query_string_messages": _lines("select raw as raw_text, count(*) as n from m where raw <> '' group by raw"),
+        "replay_csv_messages": _lines(
+            "select trim(raw) as raw_text, doc_id * 1000 + (seq % 268435456) // 1000 as at_ms, strftime(make_timestamp(doc_id * 1000000 + seq % 268435456), '%Y-%m-%d') as date from m where trim(raw) <> ''"
+        ),
+        "text_file_messages": _lines("select trim(raw) as raw_text, count(*) as n from m where trim(raw) <> '' group by trim(raw)"),
+        "cleanse_lite_messages": """
+            select doc_id * 268435456 + pos - 1 as seq, t as cleaned from (
+              select doc_id, pos, trim(regexp_replace(regexp_replace(line, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g'), '\\s+', ' ', 'g')) as t from (
+                select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents))
+            where t <> '' and length(t) <= 128 and not regexp_full_match(t, '[0-9]{5,}')""",
         "cleanse_filtered_split": _lines("select m.seq, k.seq is null as filtered, case when k.seq is null then 'filtered' else 'kept' end as part from m left join k on m.seq = k.seq"),
         "normalize_messages": _sample("select seq, cleaned, normalized, compressed from r"),
         "cycle_compress": _canonical("select distinct normalized, compressed from r"),
@@ -235,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         + _fingerprints("g0", "e").strip()
         + "\nselect canonical, case when length(canonical) >= 8 then first_value(canonical) over (partition by fp, length(canonical) >= 8 order by first_seq, canonical) else canonical end as merged from ep",
         "simhash_near_dup_pairs": _prints(f"select canonical_a, canonical_b, distance, kind from ({_NEAR})"),
+        "simhash_kinds": _prints(f"select kind, count(*) as n from ({_NEAR}) group by kind"),
         "simhash_nearest_canonical": _prints(
             f"select canonical_b as canonical, canonical_a as nearest, distance, case when distance > 2 then 'candidate' when n_a < n_b then 'replace' else 'merge' end as kind from ("
             f"select *, row_number() over (partition by canonical_b order by distance, seq_a, canonical_a) as rn from ({_NEAR})) where rn = 1"

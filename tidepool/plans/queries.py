@@ -178,6 +178,44 @@ def streamed_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("late")
 
 
+def counted_texts(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("raw_text").agg(F.count("*").alias("n"))
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as JSON events, every third of which is no message, read as a source of messages."""
+    kind = F.when(F.col("seq") % 3 == 0, "ping").otherwise("message")
+    events = _lines(spark, sf_dir).select(F.to_json(F.struct(kind.alias("type"), F.col("raw_text").alias("message"))).alias("value"))
+    return counted_texts(messages.json_events(events))
+
+
+def query_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as requests with the text as a parameter."""
+    urls = _lines(spark, sf_dir).select(F.concat(F.lit("http://localhost/ingest?msg_id=1&text="), F.url_encode("raw_text")).alias("url"))
+    return counted_texts(messages.query_string(urls, "url"))
+
+
+def csv_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as a CSV with a time in milliseconds, replayed from there in order of time."""
+    folder = engine.shared_folder(spark, "csv")
+    rows = _lines(spark, sf_dir).select(F.col("raw_text").alias("message"), F.unix_millis("ts").cast("string").alias("timestamp"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    rows.write.option("header", True).option("escape", '"').csv(f"{folder}/replay")
+    replayed = messages.replay_csv(spark, f"{folder}/replay")
+    return replayed.select("raw_text", F.unix_millis("ts").alias("at_ms"), "date")
+
+
+def file_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as a file and read line by line."""
+    folder = engine.shared_folder(spark, "text")
+    _table("documents")(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value")).write.text(f"{folder}/lines")
+    return counted_texts(messages.text_lines(spark, f"{folder}/lines"))
+
+
+def lite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The browser's cleansing."""
+    return _lines(spark, sf_dir).select("seq", tx.cleanse_lite(F.col("raw_text")).alias("cleaned")).filter("cleaned is not null")
+
+
 def stage_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.stage_distances(_canonical(spark, sf_dir).select("cleaned", F.col("compressed").alias("canonical")))
 
@@ -186,6 +224,11 @@ def queries() -> dict[str, Query]:
     c, r = _canonical, _registry
     return {
         "cleanse_messages": lambda s, d: pipeline.kept(_lines(s, d)).select("seq", "stream", "cleaned"),
+        "event_messages": event_messages,
+        "query_string_messages": query_messages,
+        "replay_csv_messages": csv_messages,
+        "text_file_messages": file_messages,
+        "cleanse_lite_messages": lite,
         "cleanse_filtered_split": filtered_split,
         "normalize_messages": lambda s, d: pipeline.compressed(_lines(s, d), lexicon=SAMPLE_LEXICON).select("seq", "cleaned", "normalized", "compressed"),
         "cycle_compress": lambda s, d: pipeline.compressed(_lines(s, d)).select("normalized", "compressed").distinct(),
@@ -218,6 +261,7 @@ def queries() -> dict[str, Query]:
         "simhash_fingerprint": lambda s, d: _prints(s, d).select("canonical", tx.hex16(F.col("fp")).alias("fp")),
         "simhash_effective_merge": lambda s, d: simhash.merge_equal(_texts(s, d)),
         "simhash_near_dup_pairs": lambda s, d: simhash.near_pairs(_prints(s, d)),
+        "simhash_kinds": lambda s, d: simhash.near_pairs(_prints(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
         "simhash_nearest_canonical": lambda s, d: simhash.nearest_canonical(_prints(s, d)),
         "hamming_histogram": stage_distances,
         "keyword_topk_per_message": keyword_top,

@@ -47,7 +47,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_csv(spark: SparkSession, path: str, limit: int | None = None, ordered: bool = True) -> DataFrame:
     """A header CSV (message, timestamp in ms, date): blanks trimmed, empty messages dropped, cut to limit, then ordered by time."""
-    rows = spark.read.schema("message string, timestamp string, date string").option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    rows = spark.read.schema("message string, timestamp string, date string").option("header", True).option("encoding", "UTF-8").option("escape", '"').option("enforceSchema", False).csv(path)
     rows = rows.select(F.trim("message").alias("raw_text"), F.timestamp_millis(F.coalesce(F.expr("try_cast(timestamp as bigint)"), F.lit(0))).alias("ts"), F.coalesce("date", F.lit("")).alias("date"))
     rows = rows.filter("raw_text <> ''")
     rows = rows.limit(limit) if limit else rows
