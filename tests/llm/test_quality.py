@@ -29,7 +29,8 @@ def base(text):
 
 
 def test_statistics_against_brute_force(spark):
-    made = cases.rows()
+    rng = np.random.default_rng(2)
+    made = cases.rows() + [(600 + k, " ".join(f"w{x}" for x in rng.integers(0, k + 3, 12 * (k + 1))), "en", "s", 0) for k in range(25)]
     got = quality_rules.judge(cases.clashing(cases.documents(spark, made)), []).collect()
     of = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got)
     assert of == Counter((r[0], *base(r[1]), not base(r[1])[-1]) for r in made)

@@ -36,23 +36,42 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: So many different repeated windows are looked for one by one; more are told by their order.
+_FEW = 64
+
+
 def _repeated(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.  Windows are told apart by a 64-bit hash."""
 
-    def covered(windows: Column) -> Column:
+    def words_in(at: Column) -> Column:
+        """Words that lie in windows at these places, which are in order."""
+        steps = lambda p: F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, k - 1))))
+        return _bound(at, lambda p: F.aggregate(steps(p), F.lit(0), lambda a, x: a + x))
+
+    def looked_for(windows: Column, twins: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(windows) - 1)
+        return words_in(F.filter(places, lambda i: F.array_contains(twins, F.get(windows, i))))
+
+    def ordered(windows: Column) -> Column:
         def marked(ordered: Column) -> Column:
             last = F.size(ordered) - 1
             twin = lambda e, k: (F.when(k > 0, ordered[k - 1]["h"] == e["h"]).otherwise(False)) | (F.when(k < last, ordered[k + 1]["h"] == e["h"]).otherwise(False))
             at = F.transform(F.filter(F.transform(ordered, lambda e, k: F.struct(e["at"].alias("at"), twin(e, k).alias("twin"))), lambda e: e["twin"]), lambda e: e["at"])
-            steps = lambda p: F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, k - 1))))
-            return _bound(F.sort_array(at), lambda p: F.aggregate(steps(p), F.lit(0), lambda a, x: a + x))
+            return words_in(F.sort_array(at))
+
+        return _bound(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), marked)
+
+    def covered(windows: Column) -> Column:
+        again = lambda x: F.array_distinct(F.filter(x, lambda h, k: F.when(k > 0, F.get(x, k - 1) == h).otherwise(False)))
+        twins = _bound(F.sort_array(windows), again)
+        told = _bound(twins, lambda t: F.when(F.size(t) <= _FEW, looked_for(windows, t)).otherwise(ordered(windows)))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(told)
 
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
-            _bound(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), marked)
-        )
+    def of_hashes(h: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
+        return F.when(F.size(h) < 3, F.lit(0)).otherwise(_bound(windows, covered))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_bound(windows, covered))
+    return _bound(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
 def _duplicate_lines(text: Column) -> Column:
