@@ -202,6 +202,10 @@ def test_mining(spark):
     found = spark.createDataFrame([("hello", 5), ("hallo", 2), ("xyz", 9), ("zz", 4)], "canonical string, n long")
     pairs = mining.confusable_pairs(mining.candidates(found)).collect()
     assert ("hallo", "hello", "sound") in {(r.a, r.b, r.kind) for r in pairs}
+    near = lambda texts: np.array([[1.0, 0.0] if t.startswith("h") else [0.6, 0.8] for t in texts])
+    keys = spark.createDataFrame([("hello", "k1"), ("xyz", "k2")], "token string, key string")
+    by_vector = mining.confusable_pairs(mining.candidates(found), embed=near, keys=keys).collect()
+    assert {(r.a, r.b, r.similarity, r.kind) for r in by_vector} == {("hallo", "xyz", 0.6, "spelling"), ("hello", "xyz", 0.6, "spelling")}
     terms = mining.new_terms(found, spark.createDataFrame([("xyz",)], "canonical string"))
     assert {r.canonical for r in terms.collect()} == {"hello", "hallo"}
     kept = mining.confirmed(spark.createDataFrame([("hallo", "hello"), ("p", "q")], "a string, b string"), found).collect()

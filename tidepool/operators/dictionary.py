@@ -19,9 +19,9 @@ def pairs(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
 
 
 def replace_whole(canonical: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """seq and normalized: the text, or what the dictionary has for it in lower case.  The dictionary is a fixed small table."""
+    """seq and normalized: the text, or what the dictionary has for it in lower case."""
     of = canonical.withColumn("variant", F.lower("canonical"))
-    return of.join(F.broadcast(dictionary), "variant", "left").select("seq", F.coalesce("replacement", "canonical").alias("normalized"))
+    return of.join(dictionary, "variant", "left").select("seq", F.coalesce("replacement", "canonical").alias("normalized"))
 
 
 def segment(text: str, vocabulary: set[str], longest: int) -> list[str]:
