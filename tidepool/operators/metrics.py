@@ -20,9 +20,10 @@ def timing(measured: DataFrame, stage: str, value: str, order: str, recent: int
 
 
 def moving_mean(measured: DataFrame, stage: str, value: str, order: str, recent: int = 100) -> DataFrame:
-    """order, stage and the mean of the last ``recent`` measurements of the stage up to each."""
+    """order, stage and the mean of the last ``recent`` measurements of the stage up to each; halves of the sixth place go
+    up, in whatever order the sum was made."""
     last = Window.partitionBy(stage).orderBy(order).rowsBetween(-(recent - 1), 0)
-    return measured.select(order, stage, F.round(F.avg(value).over(last), 6).alias("recent_ms"))
+    return measured.select(order, stage, F.round(F.avg(value).over(last) + 1e-9, 6).alias("recent_ms"))
 
 
 def pacing(events: DataFrame, ts: str, order: str, speed: float = 1.0) -> DataFrame:

@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "stage_latency_stats": """
             with l as (select *, row_number() over (partition by event_type order by event_id desc) as rn from events)
             select event_type, count(*) as n, round(avg(value), 6) as avg_ms, min(value) as min_ms, max(value) as max_ms, round(avg(value) filter (where rn <= 100), 6) as recent_ms from l group by event_type""",
-        "stage_moving_mean": "select event_id, event_type, round(avg(value) over (partition by event_type order by event_id rows between 99 preceding and current row), 6) as recent_ms from events",
+        "stage_moving_mean": "select event_id, event_type, round(avg(value) over (partition by event_type order by event_id rows between 99 preceding and current row) + 1e-9, 6) as recent_ms from events",
         "replay_pacing": "select event_id, round((epoch_us(ts) - (select min(epoch_us(ts)) from events)) / 2e6, 3) as offset_s from events",
         "recent_log": _canonical("select seq, raw as raw_text, canonical from r order by seq desc limit 200"),
         "heat_ratio": _canonical("select canonical, round(log10(1 + 9 * n / (select max(n) from g)), 6) as heat from g"),
