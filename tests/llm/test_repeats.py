@@ -151,7 +151,7 @@ def test_paths_without_branches_compact_by_joins(spark):
     assert [(r.doc, r.head, r.end) for r in paths.collect()] == [(1, 2, 889)]
     found = substring_dedup.spans(pieces)
     assert [(r.doc_id, r.start, r["count"], r.source_doc, r.source_start) for r in found.collect()] == [(2, 0, 888, 1, 2)]
-    parts = sorted((r.source_start, r["count"], r.start) for r in substring_dedup.parts_of(found, paths, 13).collect())
+    parts = sorted((r.source_start, r["count"], r.start) for r in substring_dedup.parts_of(Workspace(spark, "test"), found, paths, 13).collect())
     assert sum(n for _, n, _ in parts) == 900 and parts[0][0] == 2 and all(a + n == b for (a, n, _), (b, _, _) in zip(parts, parts[1:], strict=False))
     assert all(s == a - 2 and n <= 64 for a, n, s in parts)
 
@@ -170,7 +170,7 @@ def test_branches_end_paths(spark):
     made = [(k, f"{stem} {one if k % 2 else two}", "en", "s", 0) for k in range(4)]
     paths, pieces = _found(spark, made)
     assert {(r.doc, r.head, r.end) for r in paths.collect()} == {(0, 0, 27), (0, 28, 67), (1, 28, 67)}
-    parts = substring_dedup.parts_of(substring_dedup.spans(pieces), paths, 13)
+    parts = substring_dedup.parts_of(Workspace(spark, "test"), substring_dedup.spans(pieces), paths, 13)
     cut = {r.source_start for r in parts.filter("doc_id = 2").collect()}
     assert {0, 28, 40} <= cut  # where paths begin and end
 

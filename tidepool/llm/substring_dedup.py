@@ -283,7 +283,7 @@ def spans(pieces: DataFrame) -> DataFrame:
     return found.select("doc_id", "tie", "start", (F.col("stop") - F.col("start")).alias("count"), "source_doc", "source_tie", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
-def parts_of(found: DataFrame, paths: DataFrame, size: int) -> DataFrame:
+def parts_of(work: Workspace, found: DataFrame, paths: DataFrame, size: int) -> DataFrame:
     """doc_id, tie, start, count (of words), source_doc, source_tie, source_start: the words of spans in parts, cut where
     the source's paths begin and end and at multiples of ``PIECE`` words of the source.
 
@@ -293,7 +293,8 @@ def parts_of(found: DataFrame, paths: DataFrame, size: int) -> DataFrame:
     of_span = found.select("*", words.alias("words"), cells(F.col("source_start"), F.col("source_start") + words - 1).alias("cell"))
     of_path = paths.select(F.col("doc").alias("source_doc"), F.col("tie").alias("source_tie"), "head", "end", cells(F.col("head"), F.col("end") + size - 1).alias("cell"))
     edges = of_path.groupBy("source_doc", "source_tie", "cell").agg(F.array_union(F.collect_set("head"), F.collect_set(F.col("end") + size)).alias("cuts"))
-    met = of_span.join(edges, ["source_doc", "source_tie", "cell"], "left")
+    # a table, so that the join is one of two shuffles and adaptive execution can split a source that very many copies have
+    met = of_span.join(work.write(edges, "cuts"), ["source_doc", "source_tie", "cell"], "left")
     low = F.greatest("source_start", F.col("cell") * PIECE)
     high = F.least(F.col("source_start") + F.col("words"), (F.col("cell") + 1) * PIECE)
     inside = F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: (c > F.col("low")) & (c < F.col("high")))
@@ -338,7 +339,7 @@ def repeated_words(work: Workspace, keyed_docs: DataFrame, size: int, seed: int,
     paths = work.write(compacted(work, links(graph)), "paths")
     found = work.write(spans(pieces), f"spans-{salt}")
     work.drop("edges")
-    if mismatches(work, keyed_docs, parts_of(found, paths, size)).isEmpty():
+    if mismatches(work, keyed_docs, parts_of(work, found, paths, size)).isEmpty():
         return found
     return repeated_words(work, keyed_docs, size, seed, shards, salt + 1)
 
