@@ -1,6 +1,5 @@
 """Substring dedup of words and of bytes against brute force."""
 
-import hashlib
 from collections import Counter
 
 import duckdb
