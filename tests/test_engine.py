@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidepool.config import ClusterSettings
 from tidepool.operators import clustering, metrics, mining, ordered, pipeline, registry, simhash, vectors
 from tidepool.operators.leader import LeaderFollower, hashed_ngrams, model, register_model, two_means
-from tidepool.sources import messages
+from tidepool.sources import messages, sinks
 from tidepool.streaming import engine
 
 from .conftest import SF
@@ -351,3 +351,63 @@ def test_paced_replay_writes_files_in_time(spark, tmp_path):
 
     assert engine.paced(rows, str(tmp_path / "in"), speed=2.0, clock=lambda: now[0], sleep=sleep) == 3
     assert slept == [0.0, 2.0, 3.0] and sorted(r.raw_text for r in spark.read.parquet(str(tmp_path / "in")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_a_message_costs_the_same_however_much_a_slot_has_seen():
+    class Looked(dict):
+        times = 0
+
+        def __getitem__(self, key):
+            Looked.times += 1
+            return super().__getitem__(key)
+
+    fold = LeaderFollower(ClusterSettings(hot_count=10**9, centroid_threshold=0.01, anchor_threshold=0.01, keyword_weight=1.0))
+    e = np.array([1.0, 0.0])
+    fold.take(0, 0.0, "t", "word", e)
+    slot = fold.regular["t"]
+    slot.words = Looked(slot.words)
+    said = [f"{'word ' * (k % 3)}{'then ' * (k % 2)}a{k} b{k} c{k}" for k in range(1, 400)]
+    for k, text in enumerate(said, 1):
+        fold.take(k, float(k), text, text, e)
+    assert slot.count == 400 and len(slot.canonicals) == 400 and len(slot.words) > 1000
+    assert Looked.times < 400 * 4 * 5
+    assert slot.top_words == sorted(dict(slot.words), key=lambda w: -dict.__getitem__(slot.words, w))[:5]
+
+
+def test_absorbed_words_and_stored_folds():
+    fold = LeaderFollower(ClusterSettings(merge_threshold=0.9))
+    e = np.array([1.0, 0.0])
+    fold.take(0, 0.0, "a", "one two", e)
+    other = LeaderFollower()
+    other.take(1, 1.0, "b", "three two", e)
+    target, source = fold.regular["a"], other.regular["b"]
+    fold._absorb(target, source)
+    assert (target.top_words, list(target.canonicals), target.count) == (["two", "one", "three"], ["a", "b"], 2)
+    state = target.__getstate__() | {"canonicals": ["a", "b"]}  # as it was stored when these were a list
+    again = type(target).__new__(type(target))
+    again.__setstate__(state)
+    again.note("three", 5, ["three"])
+    assert again.top_words == ["two", "three", "one"] and list(again.canonicals) == ["a", "b"]
+
+
+def test_spread_is_judged_as_by_similarity():
+    rng = np.random.default_rng(3)
+    fold = LeaderFollower(ClusterSettings(anchor_threshold=-1.0, centroid_threshold=-1.0, split_threshold=-1.0, max_members=8, hot_count=10**9, maintenance_interval=10**9))
+    for k in range(60):
+        e = rng.normal(size=8)
+        fold.take(k, float(k), f"t{k}", "xx", e / np.sqrt(e @ e))
+        for slot in fold.regular.values():
+            want = float(np.mean([x @ slot.centroid for x, _ in slot.members])) if len(slot.members) > 1 else 1.0
+            assert slot.similarity() == want and all(slot.spread(b) == (want < b) for b in (-2.0, want - 1e-3, want, want + 1e-12, want + 1e-3, 2.0))
+
+
+def test_rendering_folds_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return hashed_ngrams(texts)
+
+    made = pipeline.canonical(said(spark, ["hello there", "good morning", "one more line"]))
+    assert len(sinks.rendered(clustering.clusters(made, embed=embed)).collect()) == 3
+    assert asked.value == 3

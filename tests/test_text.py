@@ -110,3 +110,19 @@ def test_browser_profile(spark):
     got = dictionary.replace_whole(table, dictionary.pairs(spark, dictionaries.WHOLE_TEXT)).collect()
     assert {r.seq: r.normalized for r in got} == {1: "笑死我了", 2: "other"}
     assert column(spark, ["x\u0007y", "12345", "１２３４５"], tx.cleanse_lite) == ["xy", None, "１２３４５"]
+
+
+def test_cycles_of_every_length(spark):
+    units = ["".join(chr(97 + (k * k + j) % 26) if k % 5 else "é" for k in range(j)) for j in (1, 2, 9, 10, 11, 20, 21, 22, 31, 32, 33, 41, 42, 43, 50)]
+    said = [f"{head}{unit * times}{tail}" for unit in units for times in (2, 3, 4) for head in ("", "<") for tail in ("", ">>", "x" * 40)]
+    assert column(spark, said, tx.compress_cycle) == [re.sub(r"(.+?)\1{2,}", r"\1", t) for t in said]
+
+
+def test_words_are_mentioned_whole(spark):
+    words = ["nb", "yyds", "666", "牛批", "绝绝子", "🐂a", "b🍺", "a.b"]
+    said = [f"{a}{w}{b}" for w in words for a in ("", "x", "9", "啊", " ", "é") for b in ("", "x", "9", "啊", " ", "é")] + ["", "n b", "牛", "axb"]
+    latin = "0-9A-Za-z"
+    ends = lambda c: c.isascii() and c.isalnum()
+    naive = "|".join((f"(?<![{latin}])" if ends(w[0]) else "") + re.escape(w) + (f"(?![{latin}])" if ends(w[-1]) else "") for w in words)
+    assert column(spark, said, lambda c: tx.mentions(c, words)) == [bool(re.search(naive, t)) for t in said]
+    assert column(spark, ["nb"], lambda c: tx.mentions(c, [])) == [False]

@@ -44,7 +44,9 @@ def dump_stages(messages: DataFrame, folder: str, settings: Settings = Settings(
 def rendered(slots: DataFrame) -> DataFrame:
     """Slots as lines of a terminal table, hot ones first, then by falling count."""
     line = F.format_string("%-3s %-6s %6d  %-24s %s", "tier", "cluster_id", "total_count", F.substring("canonical_text", 1, 24), F.array_join("top_keywords", " "))
-    return slots.select("stream", "tier", "total_count", "slot_ord", line.alias("line")).orderBy("stream", F.desc("tier"), F.desc("total_count"), "slot_ord").select("stream", "line")
+    # a global sort reads its input twice, first for a sample: the second time from this exchange and not by another fold
+    lines = slots.select("stream", "tier", "total_count", "slot_ord", line.alias("line")).repartition("stream")
+    return lines.orderBy("stream", F.desc("tier"), F.desc("total_count"), "slot_ord").select("stream", "line")
 
 
 def append_variants(spark: SparkSession, pairs: DataFrame, path: str) -> None:
